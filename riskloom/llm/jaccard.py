@@ -1,14 +1,14 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 Two sets link when ``den * |A n B| >= num * |A u B|``. For two sets of one size
-band the number of differing shingles is at most ``k``. The shingle domain is
-cut into ``n1`` ranges and each range into ``n2 = 2`` parts; of ``n1`` ranges at
-least ``n1 - floor(k / 2)`` hold at most one difference, and in such a range one of the
-subsets of ``n2 - 1`` parts is the same on both sides. Each set emits a
-signature per range and subset, so linked sets share a signature. ``n1`` is
-``floor(k / 2) + 1 + e``: with ``e`` spare ranges a set may leave out signatures
-of parts with fewer than two shingles as long as at most ``e`` of its ranges hold
-such a part, which keeps near-empty parts from pairing strangers.
+band (or neighbouring bands) at most ``k`` shingles differ. The shingle domain is cut
+into ``n1`` ranges and each range into ``n2`` parts. At least ``n1 - floor(k / (k2 + 1))``
+ranges hold at most ``k2`` differences, and in such a range one of the subsets of
+``n2 - k2`` parts is the same on both sides. Each set emits a signature per range and
+subset, so linked sets share one. With ``n1 = floor(k / (k2 + 1)) + 1 + e`` linked
+sets agree in ``1 + e`` ranges; a set of which at most ``e`` ranges have a subset of
+fewer than two shingles leaves such subsets out, which keeps near-empty ones from
+pairing strangers, and still meets every partner in another range.
 
 Scale: signatures are combined inside each map task (only the least set of a
 bucket and a spanning star travel on), a bucket yields a star and never all
@@ -25,7 +25,8 @@ an empty table gives no rows. Set ids are 64-bit hashes of the whole set.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import lru_cache, partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ class Bands:
     def __init__(self, num: int, den: int):
         if not 0 < num <= den:
             raise ValueError("the threshold must lie above 0 and at most 1")
-        self.num, self.den, self.ends, self._n1 = num, den, [0], {}
+        self.num, self.den, self.ends, self._parts = num, den, [0], {}
 
     def index(self, size: int) -> int:
         while self.ends[-1] < size:
@@ -62,25 +63,31 @@ class Bands:
         high = self.ends[band]
         return (high + high * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """(n1, e) for a band: spare ranges for about two deviations of near-empty parts."""
-        if band not in self._n1:
+    def parts(self, band: int) -> tuple[int, int, int, int]:
+        """(n1, n2, k2, e) for a band.
+
+        Few differences: larger subsets of a few ranges. Many: three parts a range, one
+        left out, and spare ranges for about two deviations of near-empty subsets.
+        """
+        if band not in self._parts:
             k = self.differences(band)
-            base = k // 2 + 1
-            n1, e = base, 0
-            low = self.ends[band - 1] + 1 if band else 1
-            for _ in range(20):
-                mean = low / (2 * n1)
-                light = 1 - (1 - np.exp(-mean) * (1 + mean)) ** 2
-                new = int(np.ceil(n1 * light + 2 * np.sqrt(n1 * light * (1 - light)))) if k else 0
-                if new > base:  # too small a set for spare ranges
-                    n1, e = base, 0
-                    break
-                if new == e:
-                    break
-                n1, e = base + new, new
-            self._n1[band] = (n1, e)
-        return self._n1[band]
+            if k < 8:
+                k2 = min(k, 3)
+                self._parts[band] = (k // (k2 + 1) + 1, k2 + 3, k2, 0)
+            elif k < 40:
+                self._parts[band] = (k // 3 + 1, 5, 2, 0)
+            else:
+                base = k // 2 + 1
+                middle = (self.ends[band - 1] + self.ends[band]) / 2
+                e = 0
+                while e < base:
+                    mean = middle / (base + e) * 2 / 3
+                    light = min(1.0, 2.6 * np.exp(-mean) * (1 + mean))
+                    if e >= (base + e) * light + 2 * np.sqrt((base + e) * light * (1 - light)):
+                        break
+                    e += 1
+                self._parts[band] = (base + e, 3, 1, e)
+        return self._parts[band]
 
     def keys(self, size: int) -> list[int]:
         """Bands under which a set of this size emits: its own, and the one below if a linked set may lie there."""
@@ -96,6 +103,16 @@ def set_id(s: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
+@lru_cache
+def _subsets(n2: int, k2: int) -> np.ndarray:
+    """Columns mark the subsets of n2 - k2 out of n2 parts."""
+    kept = list(combinations(range(n2), n2 - k2))
+    out = np.zeros((n2, len(kept)), np.int64)
+    for i, c in enumerate(kept):
+        out[list(c), i] = 1
+    return out
+
+
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     """PartEnum signatures of one sorted set of uint64 shingles."""
     out = []
@@ -104,20 +121,21 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     np.cumsum(mixed, out=running[1:], dtype=_U)
     top = (s >> _U(11)).astype(np.float64)  # 53 bits, exact and in order
     for band in bands.keys(len(s)):
-        n1, spare = bands.parts(band)
+        n1, n2, k2, spare = bands.parts(band)
         if bands.differences(band) == 0:
             out.append(mix(running[-1:] + mix(np.array([band + 1], _U))))
             continue
-        edges = np.searchsorted(top, np.arange(2 * n1 + 1) * (2.0**53 / (2 * n1)))
+        edges = np.searchsorted(top, np.arange(n1 * n2 + 1) * (2.0**53 / (n1 * n2)))
         edges[0], edges[-1] = 0, len(s)
-        count = np.diff(edges)
+        chosen = _subsets(n2, k2)
+        count = np.diff(edges).reshape(n1, n2) @ chosen
+        content = (running[edges[1:]] - running[edges[:-1]]).reshape(n1, n2) @ chosen.astype(_U)
         light = count < 2
-        content = running[edges[1:]] - running[edges[:-1]]
-        place = np.arange(2 * n1, dtype=_U) + (_U(band) << _U(32))
+        place = np.arange(content.size, dtype=_U).reshape(content.shape) + (_U(band) << _U(32))
         sig = mix(content + mix(place + _U(1)))
-        if light.any() and int((light.reshape(-1, 2)).any(axis=1).sum()) <= spare:
+        if int(light.any(axis=1).sum()) <= spare:
             sig = sig[~light]
-        out.append(sig)
+        out.append(sig.ravel())
     return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
 
 
@@ -332,7 +350,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         partial(_signature_rows, width=width, num=num, den=den, parts=parts), "part int, sigs binary, ids binary, pairs binary"
     )
     pairs = blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidate_rows, "a long, b long")
-    groups = connected_components(pairs.distinct())  # candidate groups
+    pairs = materialize(pairs.distinct(), "jaccard-pairs")
+    groups = connected_components(pairs)  # candidate groups
 
     members = groups.join(sets, groups.node == sets.sid).select("sid", F.col("component").alias("grp"), "first", "n")
     members = materialize(members, "jaccard-members")
