@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.llm.chat import chat_digests, format_chats
 from riskloom.llm.jaccard import jaccard_components
+from riskloom.llm.packing import pack_documents
 from riskloom.llm.quality import quality_report
+from riskloom.llm.tokens import prefix_token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +22,17 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts at every prefix of every whole document; cut_chars answers the limit of 2048."""
+    counts = prefix_token_counts(_read(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048, store=False)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "cut_chars")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack_documents(_read(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and certified cutoffs per language over every whole document."""
     return quality_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -36,6 +49,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_token_counts": op4_token_counts,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
