@@ -362,8 +362,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = materialize(wanted.select("sid", "grp", "first", "blocks", "block"), "jaccard-blocks")
 
     def texts(rows: DataFrame) -> DataFrame:
-        """The text of each row's document; repeated ids give repeated sets, which do no harm."""
-        return rows.join(docs, rows["first"] == docs["doc_id"]).drop("doc_id", "first")
+        """The text of each row's document; repeated ids give repeated sets, which do no harm.
+
+        Members grow with the corpus, so they are never broadcast, whatever a small run allows.
+        """
+        return rows.hint("merge").join(docs, rows["first"] == docs["doc_id"]).drop("doc_id", "first")
 
     key = F.struct("grp", "block")
     first_links = _grouped_links(texts(wanted).select(F.xxhash64(key).alias("grp"), "sid", F.col("sid").alias("label"), "text"), width, num, den)
