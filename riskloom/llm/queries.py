@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.llm.chat import chat_digests, format_chats
 from riskloom.llm.jaccard import jaccard_components
+from riskloom.llm.mixing import mixing_plan
 from riskloom.llm.packing import pack_documents
 from riskloom.llm.pii import find_pii
 from riskloom.llm.quality import quality_report
 from riskloom.llm.tokens import prefix_token_counts
+from riskloom.llm.toxicity import score_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +41,21 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole document; rows with crc32(doc_id) mod 3 = 1 teach nothing."""
+    scores = score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ~_held_out())
+    return scores.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan that repeats no source more than twice as often as another and loses no document."""
+    return mixing_plan(_read(spark, sf_dir, "documents"), max_repeats=2.0)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and certified cutoffs per language over every whole document."""
     return quality_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -58,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_pii_spans": op5_pii_spans,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
 }

@@ -17,6 +17,8 @@ CHUNK_BYTES = 2 << 20
 _U = np.uint64
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Every ASCII byte that is no letter or digit: a coarser cut for bag-of-words features.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 _rng = np.random.default_rng(20240229)
@@ -68,11 +70,11 @@ def text_chunks(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, off: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the index of each row's first word (rows + 1 entries)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -83,23 +85,21 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash per word; ``fold`` lower-cases A-Z only."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, head: int | None = None) -> np.ndarray:
+    """A 64-bit hash per word, or of its first ``head`` bytes; ``fold`` lower-cases A-Z only."""
     if not len(starts):
         return np.zeros(0, _U)
     values = _VALUES[_FOLD[data] if fold else data]
-    lengths = ends - starts
+    lengths = ends - starts if head is None else np.minimum(ends - starts, head)
     power = _pow(int(lengths.max()))
-    # the position of each byte in its word, 0 between words
+    # the position of each byte after the last word's start; only bytes of (the head of) a word count
     place = np.arange(len(data), dtype=np.int64)
-    gap_to = np.append(starts[1:], len(data))
-    place[starts[0] :] -= np.repeat(starts, gap_to - starts)
-    inside = ~_SEPARATOR[data]
-    place[~inside] = 0
-    values = values * power[np.minimum(place, len(power) - 1)]
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
+    limit = np.zeros(len(data), np.int64)
+    limit[starts[0] :] = np.repeat(lengths, np.diff(np.append(starts, len(data))))
+    inside = place < limit
+    values = values * power[np.where(inside, place, 0)]
     values[~inside] = 0
-    if starts[0]:
-        values[: starts[0]] = 0
     return mix(np.add.reduceat(values, starts) + lengths.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
