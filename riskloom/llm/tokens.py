@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import accumulate
 
 import numpy as np
@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words, runs and prefixes remembered by a Python worker; a full memo starts afresh.
-MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES = 250_000, 400_000, 250_000
+MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS = 500_000, 400_000, 300_000, 500_000
 #: Texts are cut at these characters only: white space for every version of Unicode.
 _BREAKS = str.maketrans("\t\n\r", "   ")
 _RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -65,6 +65,21 @@ def _byte_chars() -> dict[int, str]:
     return table
 
 
+class _Words(dict):
+    """Counts of words, computed when first asked for."""
+
+    def __init__(self, count: Callable[[str], bytes | np.ndarray]):
+        super().__init__({"": b"\0"})
+        self.count = count
+
+    def __missing__(self, word: str) -> bytes | np.ndarray:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+            self[""] = b"\0"
+        found = self[word] = self.count(word)
+        return found
+
+
 class PrefixCounter:
     """Exact token counts of all prefixes of words."""
 
@@ -89,10 +104,11 @@ class PrefixCounter:
         self.longest = max(map(len, self.vocab))
         self.byte_chars = _byte_chars()
         self.low = {c: chr(c).lower() for c in range(0x250)}  # per character, as the library folds
-        self.states: dict[str, tuple[int, int]] = {}
-        self.ends: dict[str, int] = {}
-        self.runs: dict[str, list[int] | bytes] = {}
-        self.words: dict[str, bytes | np.ndarray] = {"": b"\0"}
+        self.states: dict[str, tuple[int, int, int]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.runs: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}  # runs of the generation before
+        self.words = _Words(self.word_counts)
 
     def compatible(self, x: int, y: int) -> bool:
         """Whether tokens x, y side by side stay two tokens: undo their merges, latest first."""
@@ -109,34 +125,53 @@ class PrefixCounter:
             else:
                 return True
 
-    def _last(self, p: str, table: dict[str, int]) -> tuple[int, int]:
-        n = len(p)
-        for size in range(min(n, self.longest), 0, -1):
-            t = table.get(p[n - size :])
-            if t is None:
-                continue
-            if size == n:
-                return 1, t
-            count, before = self.states[p[: n - size]]
-            if self.compatible(before, t):
-                return count + 1, t
-        raise ValueError(f"no token ends {p!r}")
+    def _state(self, run: str, i: int, before: list) -> tuple[int, int, int]:
+        """(count without the mark, last token, count with the mark) of run[:i], given those of shorter prefixes."""
+        inner, final, pairs = self.inner, self.final, self.pairs
+        open_count = last = end_count = 0
+        for j in range(max(0, i - self.longest), i):
+            t = run[j:i]
+            if not open_count and (x := inner.get(t)) is not None:
+                if not j:
+                    open_count, last = 1, x
+                else:
+                    key = before[j][1] << 32 | x
+                    good = pairs.get(key)
+                    if good is None:
+                        good = pairs[key] = self.compatible(before[j][1], x)
+                    if good:
+                        open_count, last = before[j][0] + 1, x
+            if not end_count and (x := final.get(t)) is not None:
+                if not j:
+                    end_count = 1
+                else:
+                    key = before[j][1] << 32 | x
+                    good = pairs.get(key)
+                    if good is None:
+                        good = pairs[key] = self.compatible(before[j][1], x)
+                    if good:
+                        end_count = before[j][0] + 1
+            if open_count and end_count:
+                return open_count, last, end_count
+        raise ValueError(f"no token ends {run[:i]!r}")
 
     def run_counts(self, run: str) -> list[int]:
         """Counts of the prefixes of a run of byte characters, each as a text of its own."""
-        states, ends, out = self.states, self.ends, []
+        states = self.states
         if len(states) > MEMO_PREFIXES:
             states.clear()
-            ends.clear()
+        if len(self.pairs) > MEMO_PAIRS:
+            self.pairs.clear()
+        before: list = [None]
         for i in range(1, len(run) + 1):
             p = run[:i]
-            if p not in states:
-                states[p] = self._last(p, self.inner)
-            n = ends.get(p)
-            if n is None:
-                n = ends[p] = self._last(p, self.final)[0]
-            out.append(n)
-        return out
+            found = states.get(p)
+            if found is None:
+                found = self._state(run, i, before)
+                if i < 64:  # long runs share nothing worth keeping
+                    states[p] = found
+            before.append(found)
+        return [x[2] for x in before[1:]]
 
     def _by_library(self, word: str) -> list[int]:
         """Encoding from the last sure cut on: the last run start that white space would not move."""
@@ -150,10 +185,12 @@ class PrefixCounter:
         """Counts of a lower-case run of letters below U+0250 as bytes; None where they do not fit."""
         found = self.runs.get(run, 0)
         if found == 0:
+            found = self.older.get(run, 0)
+            if found == 0:
+                found = bytes(self._run_chars(run)) if len(run) < 256 else None
             if len(self.runs) > MEMO_RUNS:
-                self.runs.clear()
-            part = self._run_chars(run)
-            found = self.runs[run] = bytes(part) if len(run) < 256 else None
+                self.older, self.runs = self.runs, {}
+            self.runs[run] = found
         return found
 
     def _run_chars(self, run: str) -> list[int]:
@@ -167,23 +204,16 @@ class PrefixCounter:
 
     def word_counts(self, word: str) -> bytes | np.ndarray:
         """Counts at every prefix of a word, and once more for the character after it; bytes if all are below 256."""
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > MEMO_WORDS:
-                self.words = {"": b"\0"}
-            stem = word[:-1] if word[-1] in ".," else word
-            low = stem.lower()
-            if stem.isalpha() and len(low) == len(stem) and max(low) < "ɐ" > max(stem) and (part := self._letters(low)):
-                n = part[-1]
-                found = part + (bytes((n,)) if len(stem) == len(word) else bytes((n + 1, n + 1)))
-            else:
-                counts = self._dp(word)
-                if counts is None:
-                    counts = self._by_library(word)
-                counts.append(counts[-1])
-                found = bytes(counts) if max(counts) < 256 else np.array(counts, np.int32)
-            self.words[word] = found
-        return found
+        stem = word[:-1] if word[-1] in ".," else word
+        low = stem.lower()
+        if stem.isalpha() and len(low) == len(stem) and max(low) < "ɐ" > max(stem) and (part := self._letters(low)):
+            n = part[-1]
+            return part + (bytes((n,)) if len(stem) == len(word) else bytes((n + 1, n + 1)))
+        counts = self._dp(word)
+        if counts is None:
+            counts = self._by_library(word)
+        counts.append(counts[-1])
+        return bytes(counts) if max(counts) < 256 else np.array(counts, np.int32)
 
     def _dp(self, word: str) -> list[int] | None:
         plain = max(word) < "ɐ"
@@ -215,12 +245,10 @@ class PrefixCounter:
     def text_counts(self, text: str) -> np.ndarray:
         """Token count of text[:i] for every i from 1 on."""
         words = text.translate(_BREAKS).split(" ")
-        known = self.words
         try:
-            joined = b"".join(map(known.__getitem__, words))
-        except (KeyError, TypeError):  # new words, or counts beyond a byte
-            parts = list(map(self.word_counts, words))
-            joined = None if any(isinstance(x, np.ndarray) for x in parts) else b"".join(parts)
+            joined = b"".join(map(self.words.__getitem__, words))
+        except TypeError:  # counts beyond a byte
+            joined, parts = None, [self.words[w] for w in words]
         if joined is None:
             counts = np.concatenate([x if isinstance(x, np.ndarray) else np.frombuffer(x, np.uint8).astype(np.int32) for x in parts])
         else:
@@ -231,8 +259,14 @@ class PrefixCounter:
         return counts[:-1]
 
 
+@lru_cache(1)
+def _worker_counter(tokenizer: str) -> PrefixCounter:
+    """One per Python worker, so that its memos serve all tasks there."""
+    return PrefixCounter(tokenizer)
+
+
 def _count_rows(batches: Iterable[pa.RecordBatch], tokenizer: str, limit: int, store: bool) -> Iterator[pa.RecordBatch]:
-    counter = PrefixCounter(tokenizer)
+    counter = _worker_counter(tokenizer)
     for b in batches:
         n_bytes, n_tokens, cut, stored = [], [], [], []
         for text in b.column(1).to_pylist():
@@ -274,8 +308,9 @@ def tokens_of_prefix(prefix_tokens: Column, chars: Column) -> Column:
     return F.when(chars <= 0, 0).otherwise(F.element_at(prefix_tokens, F.least(chars, F.size(prefix_tokens)).cast("int")))
 
 
+@lru_cache(1)
 def token_id_bytes(tokenizer: str) -> Callable[[list[str]], Iterator[bytes]]:
-    """Encoder of texts to little-endian 32-bit ids, with a bounded memo of words."""
+    """Encoder of texts to little-endian 32-bit ids, with a bounded memo of words; one per Python worker."""
     library = load_tokenizer(tokenizer)
     memo: dict[str, bytes] = {"": b""}
 
