@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.shared import materialize
-from riskloom.llm.tokens import token_id_bytes
+from riskloom.llm.tokens import worker_encoder
 
 GROUP_PIECES = 16_000
 
@@ -90,7 +90,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 
 def _piece_rows(batches: Iterable[pa.RecordBatch], tokenizer: str, tokens: int, separator: int) -> Iterator[pa.RecordBatch]:
-    encode = token_id_bytes(tokenizer)
+    encode = worker_encoder(tokenizer).encode
     end = int(separator).to_bytes(4, "little")
     for b in batches:
         docs, pieces, starts, lengths, sums = [], [], [], [], []

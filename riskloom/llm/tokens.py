@@ -35,7 +35,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Words, runs and prefixes remembered by a Python worker; a full memo starts afresh.
 MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS = 500_000, 400_000, 300_000, 500_000
 #: Texts are cut at these characters only: white space for every version of Unicode.
-_BREAKS = str.maketrans("\t\n\r", "   ")
+def _split(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 _RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -206,7 +209,7 @@ class PrefixCounter:
         """Counts at every prefix of a word, and once more for the character after it; bytes if all are below 256."""
         stem = word[:-1] if word[-1] in ".," else word
         low = stem.lower()
-        if stem.isalpha() and len(low) == len(stem) and max(low) < "ɐ" > max(stem) and (part := self._letters(low)):
+        if stem.isalpha() and (stem.isascii() or len(low) == len(stem) and max(low) < "ɐ" > max(stem)) and (part := self._letters(low)):
             n = part[-1]
             return part + (bytes((n,)) if len(stem) == len(word) else bytes((n + 1, n + 1)))
         counts = self._dp(word)
@@ -244,7 +247,7 @@ class PrefixCounter:
 
     def text_counts(self, text: str) -> np.ndarray:
         """Token count of text[:i] for every i from 1 on."""
-        words = text.translate(_BREAKS).split(" ")
+        words = _split(text)
         try:
             joined = b"".join(map(self.words.__getitem__, words))
         except TypeError:  # counts beyond a byte
@@ -308,25 +311,76 @@ def tokens_of_prefix(prefix_tokens: Column, chars: Column) -> Column:
     return F.when(chars <= 0, 0).otherwise(F.element_at(prefix_tokens, F.least(chars, F.size(prefix_tokens)).cast("int")))
 
 
-@lru_cache(1)
-def token_id_bytes(tokenizer: str) -> Callable[[list[str]], Iterator[bytes]]:
-    """Encoder of texts to little-endian 32-bit ids, with a bounded memo of words; one per Python worker."""
-    library = load_tokenizer(tokenizer)
-    memo: dict[str, bytes] = {"": b""}
-
-    def encode(texts: list[str]) -> Iterator[bytes]:
+class IdEncoder:
+    """Texts to little-endian 32-bit token ids, with bounded memos of words and of their bare stems.
+
+    Stems (lower-case letters below U+0250) are encoded many at a time in one text: each is
+    one run, so its ids end at the token with the end-of-word mark.
+    """
+
+    def __init__(self, tokenizer: str):
+        self.library = load_tokenizer(tokenizer)
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = {c: self._plain([c])[0] for c in ".,"}
+
+    def _plain(self, some: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _encode_stems(self, some: list[str]) -> None:
+        for k in range(0, len(some), 5000):
+            part = some[k : k + 5000]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) != len(part):
+                raise RuntimeError("a stem was not one run")
+            raw = ids.tobytes()
+            self.stems.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
+
+    def _learn(self, fresh: set[str]) -> None:
+        if len(self.words) + len(fresh) > MEMO_WORDS:
+            self.words = {"": b""}
+        if len(self.stems) > MEMO_RUNS:
+            self.older, self.stems = self.stems, {}
+        stems, older, derived, other, ask = self.stems, self.older, [], [], set()
+        for w in fresh:
+            bare = w[:-1] if w[-1] in ".," else w
+            low = bare.lower()
+            if bare.isalpha() and (bare.isascii() or len(low) == len(bare) and max(low) < "ɐ" > max(bare)):
+                derived.append((w, low))
+                if low not in stems:
+                    old = older.get(low)
+                    if old is None:
+                        ask.add(low)
+                    else:
+                        stems[low] = old
+            elif w:
+                other.append(w)
+        self._encode_stems(list(ask))
+        words, marks = self.words, self.marks
+        for w, low in derived:
+            words[w] = stems[low] if len(w) == len(low) else stems[low] + marks[w[-1]]
+        words.update(zip(other, self._plain(other), strict=True))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         for a in range(0, len(texts), 200):
-            split = [t.translate(_BREAKS).split(" ") for t in texts[a : a + 200]]
-            fresh = list({w for words in split for w in words}.difference(memo))
-            if len(memo) + len(fresh) > MEMO_WORDS:
-                memo.clear()
-                memo[""] = b""
-                fresh = list({w for words in split for w in words if w})
-            for k in range(0, len(fresh), 20_000):
-                some = fresh[k : k + 20_000]
-                for w, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    memo[w] = np.array(e.ids, "<u4").tobytes()
+            split = list(map(_split, texts[a : a + 200]))
+            fresh = set().union(*split)
+            missing = fresh.difference(self.words)
+            if missing:
+                if len(self.words) + len(missing) > MEMO_WORDS:
+                    missing = fresh
+                self._learn(missing)
+            get = self.words.__getitem__
             for words in split:
-                yield b"".join(map(memo.__getitem__, words))
+                yield b"".join(map(get, words))
 
-    return encode
+
+@lru_cache(1)
+def worker_encoder(tokenizer: str) -> IdEncoder:
+    """One per Python worker, so that its memos serve all tasks there."""
+    return IdEncoder(tokenizer)
