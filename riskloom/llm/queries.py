@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskloom.llm.ann import nearest
 from riskloom.llm.chat import chat_digests, format_chats
 from riskloom.llm.jaccard import jaccard_components
 from riskloom.llm.mixing import mixing_plan
@@ -20,6 +21,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector whose id is divisible by 20."""
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, similarity 0.85, over every whole document."""
     return jaccard_components(_read(spark, sf_dir, "documents"), width=4, num=85, den=100)
@@ -71,6 +77,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_counts": op4_token_counts,
     "op5_pii_spans": op5_pii_spans,
