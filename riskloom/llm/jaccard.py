@@ -380,6 +380,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return table.join(known, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_per_component(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The document of least id of each group of near copies, with all its columns.
+
+    Documents without words link with nothing and stay; rows that share a doc_id are one
+    document, of which one row stays; rows without doc_id stay.
+    """
+    marked = jaccard_components(docs.where("doc_id is not null"), width=width, num=num, den=den)
+    kept = marked.where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return known.unionByName(docs.where("doc_id is null"))
+
+
 def _across_blocks(large: DataFrame, links: DataFrame, texts, width: int, num: int, den: int) -> DataFrame:
     """Links between the blocks of groups that need more than one block."""
 

@@ -5,7 +5,7 @@ a = 1 keeps the corpus as it is, a = 0 weighs sources alike. The exponent is bis
 (PROBES points a pass, one distributed aggregate over the per-source totals each) to
 meet a target entropy, or the smallest one whose weights repeat no source more often than a limit.
 The weights are then realised within a token budget: every source is dealt into blocks
-of about BLOCK_TOKENS, and each epoch is a permutation of blocks and of the documents inside
+of about BLOCK_TOKENS (at most MAX_BLOCKS, larger ones then), and each epoch is a permutation of blocks and of the documents inside
 them; a source gives whole epochs and the first part of a last one until its quota
 is met (overshooting by less than one document). ``mix_key`` orders the result so that every
 prefix holds about the target weights.
@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from riskloom.functions.shared import materialize
 from riskloom.llm.native import SPACES
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS, MAX_BLOCKS = 250_000, 20_000
 PROBES = 15
 
 
@@ -97,7 +97,7 @@ def mixing_plan(
     quota = F.col("weight") * whole
     near = F.round(quota / F.col("tokens")) * F.col("tokens")
     quota = F.when(F.abs(quota - near) < 1e-9 * near, near).otherwise(quota)
-    quotas = quotas.select("source", "tokens", "weight", quota.alias("quota"), F.ceil(F.col("tokens") / BLOCK_TOKENS).alias("blocks"))
+    quotas = quotas.select("source", "tokens", "weight", quota.alias("quota"), F.ceil(F.least(F.col("tokens") / BLOCK_TOKENS, F.lit(MAX_BLOCKS))).alias("blocks"))
     quotas = materialize(quotas, "mix-quotas")
 
     mark = lambda *c: F.xxhash64(*c, F.lit(seed))

@@ -13,6 +13,7 @@ from riskloom.llm.mixing import mixing_plan
 from riskloom.llm.packing import pack_documents
 from riskloom.llm.pii import find_pii
 from riskloom.llm.quality import quality_report
+from riskloom.llm.scoring import score_documents
 from riskloom.llm.tokens import prefix_token_counts
 from riskloom.llm.toxicity import score_toxicity
 
@@ -26,6 +27,11 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op2_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every whole document."""
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, similarity 0.85, over every whole document."""
     return jaccard_components(_read(spark, sf_dir, "documents"), width=4, num=85, den=100)
@@ -78,6 +84,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_masked_likelihood": op2_masked_likelihood,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_token_counts": op4_token_counts,
     "op5_pii_spans": op5_pii_spans,
