@@ -55,11 +55,13 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
         return bins, offsets
     if lengths.max() > capacity.tokens or float(lengths.max()) ** 2 > capacity.attention or capacity.documents < 1:
         raise ValueError("a piece exceeds the capacity of an empty sequence")
-    order = np.argsort(-lengths, kind="stable")
+    full = np.flatnonzero(lengths == capacity.tokens)  # nothing joins a full piece
+    bins[full] = np.arange(len(full))
+    order = np.argsort(-lengths, kind="stable")[len(full) :]
     least = int(lengths.min())
     room = np.empty((1024, 3))  # residual capacities of open bins
     name = np.empty(1024, np.int64)
-    n_open = used = 0
+    n_open, used = 0, len(full)
     for i in order.tolist():
         size = int(lengths[i])
         item = np.array([size, 1.0, float(size) * size])

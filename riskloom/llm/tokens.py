@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words, runs and prefixes remembered by a Python worker; a full memo starts afresh.
-MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS = 500_000, 400_000, 300_000, 500_000
+MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS, MEMO_STEMS = 500_000, 400_000, 300_000, 500_000, 600_000
 #: Texts are cut at these characters only: white space for every version of Unicode.
 def _split(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -324,8 +324,8 @@ class IdEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {"": b""}
         self.marks = {c: self._plain([c])[0] for c in ".,"}
 
     def _plain(self, some: list[str]) -> list[bytes]:
@@ -344,8 +344,6 @@ class IdEncoder:
     def _learn(self, fresh: set[str]) -> None:
         if len(self.words) + len(fresh) > MEMO_WORDS:
             self.words = {"": b""}
-        if len(self.stems) > MEMO_RUNS:
-            self.older, self.stems = self.stems, {}
         stems, older, derived, other, ask = self.stems, self.older, [], [], set()
         for w in fresh:
             bare = w[:-1] if w[-1] in ".," else w
@@ -366,18 +364,53 @@ class IdEncoder:
             words[w] = stems[low] if len(w) == len(low) else stems[low] + marks[w[-1]]
         words.update(zip(other, self._plain(other), strict=True))
 
+    @staticmethod
+    def _runs(text: str) -> list[str] | None:
+        """The runs of a plain text, or None: Latin-1 letters and digits, spaces, line ends and single . or , only.
+
+        There a mark is always a run of its own, and folding the whole text is folding each word.
+        """
+        rest = text.replace(" ", "").replace("\n", "").replace(".", "").replace(",", "")
+        if rest and not rest.isalnum() or ".." in text or ",," in text or ".," in text or ",." in text:
+            return None
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        return text.lower().replace(".", " . ").replace(",", " , ").replace("\n", " ").split(" ")
+
+    def _learn_runs(self, fresh: set[str]) -> None:
+        older, stems, ask, other = self.older, self.stems, [], []
+        for w in fresh:
+            old = older.get(w)
+            if old is not None:
+                stems[w] = old
+            elif w.isalpha():
+                ask.append(w)
+            else:
+                other.append(w)
+        self._encode_stems(ask)
+        stems.update(zip(other, self._plain(other), strict=True))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for a in range(0, len(texts), 200):
-            split = list(map(_split, texts[a : a + 200]))
-            fresh = set().union(*split)
-            missing = fresh.difference(self.words)
-            if missing:
+            part = texts[a : a + 200]
+            runs = list(map(self._runs, part))
+            if len(self.stems) > MEMO_STEMS:
+                self.older, self.stems = self.stems, {"": b""}
+            self._learn_runs(set().union(*[r for r in runs if r is not None]).difference(self.stems))
+            split = {i: _split(part[i]) for i, r in enumerate(runs) if r is None}
+            if split:
+                fresh = set().union(*split.values())
+                missing = fresh.difference(self.words)
                 if len(self.words) + len(missing) > MEMO_WORDS:
                     missing = fresh
-                self._learn(missing)
-            get = self.words.__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
+                if missing:
+                    self._learn(missing)
+            get, get_run = self.words.__getitem__, self.stems.__getitem__
+            for i, r in enumerate(runs):
+                yield b"".join(map(get, split[i])) if r is None else b"".join(map(get_run, r))
 
 
 @lru_cache(1)
