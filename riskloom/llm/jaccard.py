@@ -37,9 +37,9 @@ from riskloom.llm.textbytes import mix, shingle_sets
 from riskloom.operators.components import connected_components
 
 #: Signatures held by a map task before they are combined and sent on.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 #: Bounds of one block of a candidate group.
-BLOCK_SHINGLES, BLOCK_DOCS = 4_000_000, 8192
+BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 8192
 _U = np.uint64
 
 
@@ -139,14 +139,90 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
 
 
+#: The share of the shingle domain in which frequencies are counted for the prefilter: the hashes below this.
+COUNTED = _U(2**64 // 3)
+
+
 def _doc_rows(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = list(shingle_sets(b.column(1), width))
         sizes = [len(s) for s in sets]
         ids = [set_id(s) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "sid"]
-        )
+        counted = [int(np.searchsorted(s, COUNTED)) for s in sets]
+        columns = [pa.array(c, pa.int64()) for c in (sizes, ids, counted)]
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], ["doc_id", "n_shingles", "sid", "n_counted"])
+
+
+def _frequency_rows(batches: Iterable[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The counted shingles of all sets by range: 32 hash bits each and the set they belong to."""
+    held: list[np.ndarray] = []
+    owners: list[int] = []
+    n, seen = 0, set()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        flat = np.concatenate(held)
+        owner = np.repeat(np.array(owners, np.int64), [len(s) for s in held])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        edges = np.searchsorted(flat.astype(np.float64), np.arange(parts + 1) * (float(COUNTED) / parts))
+        edges[0], edges[-1] = 0, len(flat)
+        value = (mix(flat) & _U(0xFFFFFFFF)).astype(np.uint32)
+        rows: list[tuple] = []
+        for p in range(parts):
+            a, b = edges[p], edges[p + 1]
+            if b > a:
+                who, place = np.unique(owner[a:b], return_inverse=True)
+                kind = np.uint16 if len(who) < 65536 else np.uint32
+                rows.append((p, value[a:b].tobytes(), len(who).to_bytes(4, "little") + who.tobytes() + place.astype(kind).tobytes()))
+        held.clear()
+        owners.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "vals", "ids"])
+
+    for b in batches:
+        for s in shingle_sets(b.column(0), width):
+            if len(s) and (i := set_id(s)) not in seen:
+                seen.add(i)
+                held.append(s[: np.searchsorted(s, COUNTED)])
+                owners.append(i)
+                n += len(held[-1])
+                if n >= FLUSH:
+                    yield from flush()
+                    n, seen = 0, set()
+    yield from flush()
+
+
+def _unpack_ids(i: bytes, n: int) -> np.ndarray:
+    m = int.from_bytes(i[:4], "little")
+    return np.frombuffer(i, np.int64, m, 4)[np.frombuffer(i, np.uint16 if m < 65536 else np.uint32, n, 4 + 8 * m)]
+
+
+def _shared_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per range and set: how many of its shingles another set may have too; sets without any give no row."""
+    part, vals, ids = None, [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if vals:
+            value, owner = np.concatenate(vals), np.concatenate(ids)
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], owner[order]
+            twin = np.zeros(len(value), bool)
+            same = value[1:] == value[:-1]
+            twin[1:] |= same
+            twin[:-1] |= same
+            who, n = np.unique(owner[twin], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(n)], ["sid", "shared"])
+
+    for b in batches:
+        for p, v, i in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            if p != part:
+                yield from close()
+                part, vals, ids = p, [], []
+            vals.append(np.frombuffer(v, np.uint32))
+            ids.append(_unpack_ids(i, len(v) // 4))
+    yield from close()
 
 
 def _star(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,9 +299,7 @@ def _candidate_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 part, sigs, ids, pairs = p, [], [], []
             n = int.from_bytes(s[:4], "little")
             sigs.append(np.frombuffer(s, np.uint32, n, 4).astype(_U) | (np.frombuffer(s, np.uint16, n, 4 + 4 * n).astype(_U) << _U(32)))
-            m = int.from_bytes(i[:4], "little")
-            who = np.frombuffer(i, np.int64, m, 4)
-            ids.append(who[np.frombuffer(i, np.uint16 if m < 65536 else np.uint32, n, 4 + 8 * m)])
+            ids.append(_unpack_ids(i, n))
             pairs.append(np.frombuffer(q, np.int64).reshape(-1, 2))
     yield from close()
 
@@ -333,19 +407,30 @@ def _grouped_links(rows: DataFrame, width: int, num: int, den: int) -> DataFrame
     return dealt.mapInArrow(partial(_link_rows, width=width, num=num, den=den), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, prefilter: bool = False) -> DataFrame:
     """Every document with its shingle count and the least document id reachable over links.
 
-    Returns (doc_id, n_shingles, component_id).
+    Returns (doc_id, n_shingles, component_id). With ``prefilter`` sets that cannot have a partner
+    get no signatures: a linked set has at most (1 - threshold) of its shingles to itself, so one with
+    more shingles of its own than that in the counted third of the domain has no link. The result is the
+    same; it pays for low thresholds, whose many signatures have few shingles each.
     """
     spark = docs.sparkSession
     _small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = materialize(docs.mapInArrow(partial(_doc_rows, width=width), "doc_id long, n_shingles long, sid long"), "jaccard-docs")
-    sets = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
+    table = materialize(docs.mapInArrow(partial(_doc_rows, width=width), "doc_id long, n_shingles long, sid long, n_counted long"), "jaccard-docs")
+    sets = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.max("n_counted").alias("n_counted"))
 
     total = table.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(16, int(total * 0.45 / 2_000_000) + 1)
+    if prefilter:
+        counted = docs.select("text").mapInArrow(partial(_frequency_rows, width=width, parts=parts), "part int, vals binary, ids binary")
+        shared = counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared_rows, "sid long, shared long")
+        shared = shared.groupBy("sid").agg(F.sum("shared").alias("shared"))
+        own = F.col("n_counted") - F.coalesce("shared", F.lit(0))
+        open_sets = sets.join(shared, "sid", "left").where(den * own <= (den - num) * F.col("n")).select(F.col("first").alias("_first"))
+        docs = docs.join(open_sets.hint("merge"), F.col("doc_id") == F.col("_first"), "left_semi")
+        docs = materialize(docs, "jaccard-open")
     blobs = docs.select("text").mapInArrow(
         partial(_signature_rows, width=width, num=num, den=den, parts=parts), "part int, sigs binary, ids binary, pairs binary"
     )
@@ -386,7 +471,7 @@ def one_per_component(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     Documents without words link with nothing and stay; rows that share a doc_id are one
     document, of which one row stays; rows without doc_id stay.
     """
-    marked = jaccard_components(docs.where("doc_id is not null"), width=width, num=num, den=den)
+    marked = jaccard_components(docs.where("doc_id is not null"), width=width, num=num, den=den, prefilter=True)
     kept = marked.where("doc_id = component_id").select("doc_id").distinct()
     known = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return known.unionByName(docs.where("doc_id is null"))

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words, runs and prefixes remembered by a Python worker; a full memo starts afresh.
-MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS, MEMO_STEMS = 500_000, 400_000, 300_000, 500_000, 600_000
+MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS, MEMO_STEMS, MEMO_ODD = 400_000, 300_000, 300_000, 300_000, 300_000, 150_000
 #: Texts are cut at these characters only: white space for every version of Unicode.
 def _split(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -342,7 +342,7 @@ class IdEncoder:
             self.stems.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
 
     def _learn(self, fresh: set[str]) -> None:
-        if len(self.words) + len(fresh) > MEMO_WORDS:
+        if len(self.words) + len(fresh) > MEMO_ODD:
             self.words = {"": b""}
         stems, older, derived, other, ask = self.stems, self.older, [], [], set()
         for w in fresh:
@@ -404,7 +404,7 @@ class IdEncoder:
             if split:
                 fresh = set().union(*split.values())
                 missing = fresh.difference(self.words)
-                if len(self.words) + len(missing) > MEMO_WORDS:
+                if len(self.words) + len(missing) > MEMO_ODD:
                     missing = fresh
                 if missing:
                     self._learn(missing)
