@@ -1,6 +1,4 @@
-"""Registered queries of the graph-analytics operators and their DuckDB counterparts."""
+"""All registered queries of the graph-analytics operators and their DuckDB counterparts."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from riskloom.plans import building, evaluation, events, retrieval, simulation, text  # noqa: F401
+from riskloom.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
