@@ -78,7 +78,7 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(F.count("*").alias("n_nodes"))
     m = edges.agg(F.count("*").alias("n_edges"))
     row = n.crossJoin(m).crossJoin(wcc)  # one row each
-    return row.withColumns({"connected": F.col("n_components") == 1, "edges_per_node": F.col("n_edges") / F.col("n_nodes")})
+    return row.withColumns({"connected": F.col("n_components") == 1, "edges_per_node": F.coalesce(F.try_divide("n_edges", "n_nodes"), F.lit(0.0))})
 
 
 def bfs_distances(edges: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:

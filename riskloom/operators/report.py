@@ -50,7 +50,7 @@ def detect_event(questions: DataFrame, events: DataFrame, order: str = "place")
     words = F.array_distinct(F.filter(F.concat(F.split(F.lower("scenario"), "_"), split(F.col("name")), F.filter(split(F.col("description")), lambda w: F.length(w) >= 4)), lambda w: w != ""))
     known = events.select("scenario", order, F.explode(words).alias("word"))
     scored = questions.select("question").crossJoin(F.broadcast(known))  # a stated library of events
-    hit = F.lower("question").rlike(F.concat(F.lit(r"\b\Q"), "word", F.lit(r"\E\b")))
+    hit = F.regexp_like(F.lower("question"), F.concat(F.lit(r"\b\Q"), "word", F.lit(r"\E\b")))
     total = scored.groupBy("question", "scenario", order).agg(F.count_if(hit).alias("n"))
     return total.groupBy("question").agg(F.min(F.struct((-F.col("n")).alias("n"), order, "scenario")).alias("b")).select("question", F.col("b.scenario").alias("scenario"))
 

@@ -129,7 +129,7 @@ def _pack_sentences(batches: Iterable[pd.DataFrame], doc: str, size: int, overla
 
 def sentence_chunks(docs: DataFrame, doc: str, text: Column, size: int = 2400, overlap: int = 300) -> DataFrame:
     """(doc, chunk, piece): sentences packed up to ``size``; a chunk repeats trailing ones up to ``overlap``."""
-    parts = docs.select(F.col(doc), sentences(F.regexp_replace(text, "[ \\t]+", " ")).alias("parts"))
+    parts = docs.select(F.col(doc), sentences(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t]+", " ")).alias("parts"))
     return parts.mapInPandas(partial(_pack_sentences, doc=doc, size=size, overlap=overlap), f"{doc} {dict(docs.dtypes)[doc]}, chunk long, piece string")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import text as x, triples as tr
 from riskloom.plans.base import query
+from riskloom.sources.connectors import clean_country_name
 from riskloom.sources.fixtures import table
 
 WORDS = ["the", "licensed", "que", "der ", "est", "idiot", "and there"]
@@ -190,12 +191,11 @@ def keyword_relation(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", rel.alias("relation"))
 
 
-@query("clean_country", r"SELECT n_nationkey, regexp_replace(regexp_replace(replace(n_name || CASE n_nationkey % 3 WHEN 0 THEN '12, 3' WHEN 1 THEN 'Ne' ELSE chr(160) END, chr(160), ' '), '[0-9, ]+$', ''), '([b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])e$', '\1') AS name FROM nation")
+@query("clean_country", r"SELECT n_nationkey, trim(regexp_replace(trim(regexp_replace(trim(replace(n_name || CASE n_nationkey % 3 WHEN 0 THEN '12, 3' WHEN 1 THEN 'Ne' ELSE chr(160) END, chr(160), ' ')), '[0-9,]+$', '')), '([^aeiouAEIOU ])e$', '\1')) AS name FROM nation")
 def clean_country(spark, sf_dir):
     """Trailing footnote marks of country names."""
-    raw = F.concat("n_name", F.when(F.col("n_nationkey") % 3 == 0, "12, 3").when(F.col("n_nationkey") % 3 == 1, "Ne").otherwise(" "))
-    name = F.regexp_replace(F.regexp_replace(F.replace(raw, F.lit(" "), F.lit(" ")), "[0-9, ]+$", ""), "([b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])e$", "$1")
-    return table(spark, sf_dir, "nation").select("n_nationkey", name.alias("name"))
+    tail = F.when(F.col("n_nationkey") % 3 == 0, "12, 3").when(F.col("n_nationkey") % 3 == 1, "Ne").otherwise("\u00a0")
+    return table(spark, sf_dir, "nation").select("n_nationkey", clean_country_name(F.concat("n_name", tail)).alias("name"))
 
 
 @query("null_tokens", "SELECT l_returnflag, count(CASE WHEN l_linestatus IN ('O', '', '-', 'W', 'NA') THEN NULL ELSE 1 END) AS n FROM lineitem GROUP BY l_returnflag")
