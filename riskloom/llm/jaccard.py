@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.functions.shared import materialize
 from riskloom.llm.textbytes import mix, shingle_sets
+from riskloom.llm.workers import enter
 from riskloom.operators.components import connected_components
 
 #: Signatures held by a map task before they are combined and sent on.
@@ -144,6 +145,7 @@ COUNTED = _U(2**64 // 3)
 
 
 def _doc_rows(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    enter("jaccard")
     for b in batches:
         sets = list(shingle_sets(b.column(1), width))
         sizes = [len(s) for s in sets]

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.shared import materialize
 from riskloom.llm.tokens import worker_encoder
+from riskloom.llm.workers import enter, remember
 
 GROUP_PIECES = 16_000
 
@@ -92,6 +93,8 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 
 def _piece_rows(batches: Iterable[pa.RecordBatch], tokenizer: str, tokens: int, separator: int) -> Iterator[pa.RecordBatch]:
+    enter("token ids")
+    remember("token ids", worker_encoder.cache_clear)
     encode = worker_encoder(tokenizer).encode
     end = int(separator).to_bytes(4, "little")
     for b in batches:

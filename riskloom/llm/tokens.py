@@ -32,8 +32,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskloom.llm.workers import enter, remember
+
 #: Words, runs and prefixes remembered by a Python worker; a full memo starts afresh.
-MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS, MEMO_STEMS, MEMO_ODD = 400_000, 300_000, 300_000, 300_000, 300_000, 150_000
+MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS, MEMO_STEMS, MEMO_ODD = 400_000, 300_000, 300_000, 300_000, 500_000, 150_000
 #: Texts are cut at these characters only: white space for every version of Unicode.
 def _split(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -71,11 +73,11 @@ def _byte_chars() -> dict[int, str]:
 class _Words(dict):
     """Counts of words, computed when first asked for."""
 
-    def __init__(self, count: Callable[[str], bytes | np.ndarray]):
+    def __init__(self, count: Callable[[str], bytes | tuple[np.ndarray]]):
         super().__init__({"": b"\0"})
         self.count = count
 
-    def __missing__(self, word: str) -> bytes | np.ndarray:
+    def __missing__(self, word: str) -> bytes | tuple[np.ndarray]:
         if len(self) > MEMO_WORDS:
             self.clear()
             self[""] = b"\0"
@@ -167,11 +169,11 @@ class PrefixCounter:
             self.pairs.clear()
         before: list = [None]
         for i in range(1, len(run) + 1):
-            p = run[:i]
+            p = run[:i] if i < 64 else ""  # long runs share nothing worth keeping
             found = states.get(p)
             if found is None:
                 found = self._state(run, i, before)
-                if i < 64:  # long runs share nothing worth keeping
+                if p:
                     states[p] = found
             before.append(found)
         return [x[2] for x in before[1:]]
@@ -205,7 +207,7 @@ class PrefixCounter:
             return every
         return [every[s - 1] for s in accumulate(len(c.encode()) for c in run)]
 
-    def word_counts(self, word: str) -> bytes | np.ndarray:
+    def word_counts(self, word: str) -> bytes | tuple[np.ndarray]:
         """Counts at every prefix of a word, and once more for the character after it; bytes if all are below 256."""
         stem = word[:-1] if word[-1] in ".," else word
         low = stem.lower()
@@ -216,7 +218,8 @@ class PrefixCounter:
         if counts is None:
             counts = self._by_library(word)
         counts.append(counts[-1])
-        return bytes(counts) if max(counts) < 256 else np.array(counts, np.int32)
+        # no byte string, so that joining notices it
+        return bytes(counts) if max(counts) < 256 else (np.array(counts, np.int32),)
 
     def _dp(self, word: str) -> list[int] | None:
         plain = max(word) < "ɐ"
@@ -253,7 +256,7 @@ class PrefixCounter:
         except TypeError:  # counts beyond a byte
             joined, parts = None, [self.words[w] for w in words]
         if joined is None:
-            counts = np.concatenate([x if isinstance(x, np.ndarray) else np.frombuffer(x, np.uint8).astype(np.int32) for x in parts])
+            counts = np.concatenate([x[0] if isinstance(x, tuple) else np.frombuffer(x, np.uint8).astype(np.int32) for x in parts])
         else:
             counts = np.frombuffer(joined, np.uint8).astype(np.int32)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -269,6 +272,8 @@ def _worker_counter(tokenizer: str) -> PrefixCounter:
 
 
 def _count_rows(batches: Iterable[pa.RecordBatch], tokenizer: str, limit: int, store: bool) -> Iterator[pa.RecordBatch]:
+    enter("prefix counts")
+    remember("prefix counts", _worker_counter.cache_clear)
     counter = _worker_counter(tokenizer)
     for b in batches:
         n_bytes, n_tokens, cut, stored = [], [], [], []
@@ -342,6 +347,7 @@ class IdEncoder:
             self.stems.update(zip(part, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
 
     def _learn(self, fresh: set[str]) -> None:
+        fresh.discard("")
         if len(self.words) + len(fresh) > MEMO_ODD:
             self.words = {"": b""}
         stems, older, derived, other, ask = self.stems, self.older, [], [], set()
