@@ -121,7 +121,7 @@ def _candidates_of(kind: str, text: Column, pattern: str, base: bool) -> Column:
         if kind == "secret":
             strict = F.when(value.rlike("^AKIA[0-9A-Z]{16}$"), 1).otherwise(0)
             shape = F.when((digits >= 3) & (letters >= 3) & ~value.rlike("[/_-]") & (value.rlike("^[0-9a-f]+$") | value.rlike("^[0-9A-Z]+$") | (digits * 5 >= F.length(value))), 1).otherwise(-1)
-            veto = F.when((digits < 2) | value.rlike(r"^(.)\1*$") | value.rlike("[A-Za-z]{12}"), -1).otherwise(0)
+            veto = F.when((digits < 2) | value.rlike(r"^(.)\1*$") | value.rlike("[A-Za-z]?[a-z]{11}"), -1).otherwise(0)
         else:
             strict = F.lit(1 if base else 0)
             shape = F.when(clean, 1).otherwise(-1)
@@ -210,11 +210,16 @@ def fit_classifier(found: DataFrame, labelers: DataFrame) -> DataFrame:
     """Naive Bayes from soft labels; one row: model and log-odds per feature (a bounded set of buckets)."""
     spans = found.select(F.explode("cands").alias("c")).crossJoin(F.broadcast(labelers))
     spans = spans.select("c.kind", "c.features", posterior(F.col("model"), F.col("c.kind"), F.col("c.votes")).alias("q"))
-    names = F.array_append(F.transform("features", lambda f: f), F.concat(F.lit("kind "), F.col("kind").cast("string")))
-    sums = spans.select(F.explode(names).alias("feature"), "q").groupBy("feature")
-    sums = sums.agg(F.sum(F.round(F.col("q"), 6).cast("decimal(28,6)")).cast("double").alias("yes"), F.count("*").cast("double").alias("n"))
-    odds = F.log((F.col("yes") + SMOOTH) / (F.col("n") - F.col("yes") + SMOOTH))
-    table = sums.agg(F.map_from_entries(F.collect_list(F.struct("feature", odds.alias("odds")))).alias("odds"))
+    exact = F.round(F.col("q"), 6).cast("decimal(28,6)")  # sums that do not depend on their order
+    sums = spans.select("kind", F.explode("features").alias("feature"), exact.alias("q")).groupBy("kind", "feature")
+    sums = sums.agg(F.sum("q").cast("double").alias("yes"), F.count("*").cast("double").alias("n"))
+    whole = spans.select("kind", exact.alias("q")).groupBy("kind").agg(F.sum("q").cast("double").alias("yes"), F.count("*").cast("double").alias("n"))
+    whole = whole.select("kind", ((F.col("yes") + SMOOTH) / (F.col("n") + 2 * SMOOTH)).alias("rate"))
+    # a rarely seen bucket leans to its kind, so that being rare alone says nothing
+    yes, no = F.col("yes") + SMOOTH * F.col("rate"), F.col("n") - F.col("yes") + SMOOTH * (1 - F.col("rate"))
+    odds = sums.join(F.broadcast(whole), "kind").select("feature", F.log(yes / no).alias("odds"))  # one row per kind
+    named = whole.select(F.concat(F.lit("kind "), F.col("kind").cast("string")).alias("feature"), F.log(F.col("rate") / (1 - F.col("rate"))).alias("odds"))
+    table = odds.unionByName(named).agg(F.map_from_entries(F.collect_list(F.struct("feature", "odds"))).alias("odds"))
     return table.crossJoin(F.broadcast(labelers))
 
 
@@ -250,7 +255,8 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found, model = fit_pii(docs, text_col)
     spans = found.crossJoin(F.broadcast(model)).select("doc_id", accepted(F.col("cands"), F.col("odds")).alias("all"))
     spans = spans.withColumn("own", F.filter("all", lambda s: s["base"]))
-    counts = [F.size(F.filter("own", lambda s, k=i: s["kind"] == k)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
+    of_kind = lambda i: F.size(F.filter("own", lambda s: s["kind"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
     return spans.select(
         "doc_id", *counts, F.sha2(_joined(F.col("own")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"),
         (F.size("all") - F.size("own")).cast("long").alias("n_added"),
