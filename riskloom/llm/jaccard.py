@@ -40,7 +40,7 @@ from riskloom.operators.components import connected_components
 #: Signatures held by a map task before they are combined and sent on.
 FLUSH = 1_000_000
 #: Bounds of one block of a candidate group.
-BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 8192
+BLOCK_SHINGLES, BLOCK_DOCS = 4_000_000, 8192
 _U = np.uint64
 
 
@@ -448,19 +448,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = members.join(sizes.select("grp", "blocks"), "grp").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     wanted = materialize(wanted.select("sid", "grp", "first", "blocks", "block"), "jaccard-blocks")
 
-    def texts(rows: DataFrame) -> DataFrame:
-        """The text of each row's document; repeated ids give repeated sets, which do no harm.
-
-        Members grow with the corpus, so they are never broadcast, whatever a small run allows.
-        """
-        return rows.hint("merge").join(docs, rows["first"] == docs["doc_id"]).drop("doc_id", "first")
-
-    key = F.struct("grp", "block")
-    first_links = _grouped_links(texts(wanted).select(F.xxhash64(key).alias("grp"), "sid", F.col("sid").alias("label"), "text"), width, num, den)
-    links = materialize(first_links, "jaccard-links")
-    large = wanted.where("blocks > 1")
+    # The text of each member's document, fetched once; repeated ids give repeated sets, which do no
+    # harm. Members grow with the corpus, so they are never broadcast, whatever a small run allows.
+    held = wanted.hint("merge").join(docs, wanted["first"] == docs["doc_id"]).select("sid", "grp", "blocks", "block", "text")
+    held = materialize(held, "jaccard-texts")
+    key = F.xxhash64("grp", "block")
+    links = _grouped_links(held.select(key.alias("grp"), "sid", F.col("sid").alias("label"), "text"), width, num, den)
+    links = materialize(links, "jaccard-links")
+    large = held.where("blocks > 1")
     if not large.isEmpty():
-        links = _across_blocks(large, links, texts, width, num, den)
+        links = _across_blocks(large, links, width, num, den)
     labels = connected_components(links)
     known = sets.join(labels, sets.sid == labels.node, "left").select("sid", "first", F.coalesce("component", "sid").alias("label"))
     known = known.join(known.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("sid", "component_id")
@@ -479,8 +476,8 @@ def one_per_component(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     return known.unionByName(docs.where("doc_id is null"))
 
 
-def _across_blocks(large: DataFrame, links: DataFrame, texts, width: int, num: int, den: int) -> DataFrame:
-    """Links between the blocks of groups that need more than one block."""
+def _across_blocks(large: DataFrame, links: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between the blocks of groups that need more than one block; ``large`` has their texts."""
 
     def labelled(found: DataFrame) -> DataFrame:
         named = connected_components(found)
@@ -488,19 +485,23 @@ def _across_blocks(large: DataFrame, links: DataFrame, texts, width: int, num: i
 
     # one member for each (block, component), brought together in new blocks
     state = labelled(links)
-    heads = state.groupBy("grp", "block", "label").agg(F.min(F.struct("sid", "first")).alias("h"))
-    heads = heads.select("grp", "block", "label", "h.sid", "h.first")
-    spread = F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(16))
+    heads = state.groupBy("grp", "block", "label").agg(F.min("sid").alias("sid"))
     some = heads.groupBy("grp").agg(F.count("*").alias("heads"))
-    heads = heads.join(some, "grp").withColumn("cell", F.when(F.col("heads") <= BLOCK_DOCS, F.lit(0)).otherwise(spread))
-    more = _grouped_links(texts(heads).select(F.xxhash64("grp", "cell", F.lit("heads")).alias("grp"), "sid", "label", "text"), width, num, den)
+    cell = F.pmod(F.xxhash64("sid", F.lit(1)), F.ceil(F.col("heads") / BLOCK_DOCS)).cast("int")
+    heads = heads.join(some, "grp").withColumn("cell", cell).join(large.select("sid", "text").hint("merge"), "sid")
+    more = _grouped_links(heads.select(F.xxhash64("grp", "cell", F.lit("heads")).alias("grp"), "sid", "label", "text"), width, num, den)
     links = materialize(links.unionByName(more), "jaccard-links")
-    # groups that still have two components: every pair of blocks
-    state = labelled(links)
-    open_groups = state.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("grp")
-    state = materialize(state.join(open_groups, "grp", "left_semi"), "jaccard-open")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    state = state.withColumn("other", others).where("other != block or blocks = 1")
-    pair = F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"), F.lit("pair"))
-    more = _grouped_links(texts(state).select(pair.alias("grp"), "sid", "label", "text"), width, num, den)
+    # Where a group still has two components, every open pair has an end outside the group's largest
+    # one: those outsiders, in cells of bounded size, visit all blocks of their group.
+    state = materialize(labelled(links), "jaccard-state")
+    sizes = state.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.where(F.col("all") > F.col("most")).withColumn("cells", F.ceil((F.col("all") - F.col("most")) / (BLOCK_DOCS // 2)).cast("int"))
+    state = state.join(main.select("grp", "main", "cells"), "grp")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    residents = state.withColumn("cell", every("cells"))
+    visitors = state.where("label <> main").withColumn("cell", F.pmod(F.xxhash64("sid", F.lit(2)), F.col("cells")).cast("int"))
+    visitors = visitors.withColumn("own", F.col("block")).drop("block").withColumn("block", every("blocks")).where("block <> own").drop("own")
+    met = residents.unionByName(visitors.select(*residents.columns))
+    more = _grouped_links(met.select(F.xxhash64("grp", "block", "cell", F.lit("visit")).alias("grp"), "sid", "label", "text"), width, num, den)
     return materialize(links.unionByName(more), "jaccard-links")
