@@ -10,8 +10,8 @@ from riskloom.plans.simulation import _sql as spread_sql, spread
 from riskloom.sources.fixtures import table
 
 #: Gold and predicted triples from order lines: predictions lose some, turn some, add some.
-_GOLD = "SELECT l_orderkey * 10 + l_linenumber AS seq, concat('doc ', l_orderkey % 40) AS source, concat('S', l_suppkey % 30) AS head, CASE l_returnflag WHEN 'A' THEN 'supplies' WHEN 'N' THEN 'located_in' ELSE 'affected_by' END AS relation, concat('P', l_partkey % 50) AS tail, 'Supplier' AS head_type, CASE WHEN l_partkey % 2 = 0 THEN 'Part' ELSE 'Region' END AS tail_type FROM {t} WHERE l_orderkey % 16 = 0"
-_PRED = "SELECT l_orderkey * 10 + l_linenumber AS seq, concat(' Doc ', l_orderkey % 40) AS source, CASE WHEN l_partkey % 9 = 0 THEN concat('P', l_partkey % 50) ELSE concat('s', l_suppkey % 30, '.') END AS head, CASE l_returnflag WHEN 'A' THEN 'Supplies' WHEN 'N' THEN 'located in' ELSE 'affected-by' END AS relation, CASE WHEN l_partkey % 9 = 0 THEN concat('S', l_suppkey % 30) WHEN l_partkey % 7 = 0 THEN 'other' ELSE concat('p', l_partkey % 50) END AS tail, 'supplier' AS head_type, 'part' AS tail_type, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE 'seen' END AS evidence, CASE WHEN l_partkey % 6 = 0 THEN 'high' WHEN l_partkey % 6 = 1 THEN '1.5' ELSE '0.5' END AS confidence FROM {t} WHERE l_orderkey % 16 = 0 AND l_suppkey % 8 <> 3"
+_GOLD = "SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS seq, concat('doc ', l_orderkey % 40) AS source, concat('S', l_suppkey % 30) AS head, CASE l_returnflag WHEN 'A' THEN 'supplies' WHEN 'N' THEN 'located_in' ELSE 'affected_by' END AS relation, concat('P', l_partkey % 50) AS tail, 'Supplier' AS head_type, CASE WHEN l_partkey % 2 = 0 THEN 'Part' ELSE 'Region' END AS tail_type FROM {t}"
+_PRED = "SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS seq, concat(' Doc ', l_orderkey % 40) AS source, CASE WHEN l_partkey % 9 = 0 THEN concat('P', l_partkey % 50) ELSE concat('s', l_suppkey % 30, '.') END AS head, CASE l_returnflag WHEN 'A' THEN 'Supplies' WHEN 'N' THEN 'located in' ELSE 'affected-by' END AS relation, CASE WHEN l_partkey % 9 = 0 THEN concat('S', l_suppkey % 30) WHEN l_partkey % 7 = 0 THEN 'other' ELSE concat('p', l_partkey % 50) END AS tail, 'supplier' AS head_type, 'part' AS tail_type, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE 'seen' END AS evidence, CASE WHEN l_partkey % 6 = 0 THEN 'high' WHEN l_partkey % 6 = 1 THEN '1.5' ELSE '0.5' END AS confidence FROM {t} WHERE l_tax > 0.01"
 _C = r"trim(regexp_replace(lower(trim({0})), '\s+', ' ', 'g'), ' ,;:.')"
 _K = f"{_C.format('source')} AS source, {_C.format('head')} AS head, replace(replace({_C.format('relation')}, '-', '_'), ' ', '_') AS relation, {_C.format('tail')} AS tail"
 _BASE = f"""gold AS MATERIALIZED ({_GOLD.format(t='lineitem')}), pred AS MATERIALIZED ({_PRED.format(t='lineitem')}),
@@ -78,11 +78,11 @@ def validity_ratios(spark, sf_dir):
 _WORD = r"regexp_extract(text, '[A-Za-z]{6,}')"
 
 
-@query("retrieval_coverage", f"SELECT source, count(*) AS expected, count(*) FILTER (hit) AS hit, count(*) FILTER (hit)::DOUBLE / count(*) AS coverage FROM (SELECT DISTINCT source, name, source IN (SELECT source FROM documents d WHERE lower({_WORD}) = name AND doc_id % 2 = 0 AND d.source = t.source) AS hit FROM (SELECT source, lower({_WORD}) AS name FROM documents WHERE {_WORD} <> '') t) GROUP BY source")
+@query("retrieval_coverage", f"SELECT source, count(*) AS expected, count(*) FILTER (hit) AS hit, count(*) FILTER (hit)::DOUBLE / count(*) AS coverage FROM (SELECT DISTINCT source, name, source IN (SELECT source FROM documents d WHERE lower({_WORD}) = name AND n_chars > 1000 AND d.source = t.source) AS hit FROM (SELECT source, lower({_WORD}) AS name FROM documents WHERE {_WORD} <> '') t) GROUP BY source")
 def retrieval_coverage(spark, sf_dir):
     """Expected names of each query that were retrieved."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.lower(F.regexp_extract("text", "[A-Za-z]{6,}", 0)).alias("name")).where("name <> ''")
-    return a.coverage(d.select("source", "name").distinct(), d.where("doc_id % 2 = 0"), "source")
+    d = table(spark, sf_dir, "documents").select("n_chars", "source", F.lower(F.regexp_extract("text", "[A-Za-z]{6,}", 0)).alias("name")).where("name <> ''")
+    return a.coverage(d.select("source", "name").distinct(), d.where("n_chars > 1000"), "source")
 
 
 @query("report_coverage", "SELECT item_id, count(*) FILTER (contains(lower(d.text), lower(b.text))) AS n FROM benchmark b, documents d GROUP BY item_id")

@@ -32,16 +32,16 @@ def topk_ip(spark, sf_dir):
     return v.search(_index(spark, sf_dir).select("id", "vector"), _queries(spark, sf_dir, "id = 7"), 10)
 
 
-@query("batch_topk", _top_sql("q.vec_id % 10 = 3", 5))
+@query("batch_topk", _top_sql("q.vec_id % 100 = 0", 5))
 def batch_topk(spark, sf_dir):
     """V4: top-5 of a batch of queries."""
-    return v.search(_index(spark, sf_dir).select("id", "vector"), _queries(spark, sf_dir, "id % 10 = 3"), 5)
+    return v.search(_index(spark, sf_dir).select("id", "vector"), _queries(spark, sf_dir, "id % 100 = 0"), 5)
 
 
-@query("filtered_search", _top_sql("q.vec_id % 50 = 1 AND e.label = 2", 5, "score >= 0.05"))
+@query("filtered_search", _top_sql("q.vec_id % 100 = 0 AND e.label = 2", 5, "score >= 0.05"))
 def filtered_search(spark, sf_dir):
     """V7, V8: search within one type and above a threshold."""
-    return v.search(_index(spark, sf_dir).where("label = 2").select("id", "vector"), _queries(spark, sf_dir, "id % 50 = 1"), 5, 0.05)
+    return v.search(_index(spark, sf_dir).where("label = 2").select("id", "vector"), _queries(spark, sf_dir, "id % 100 = 0"), 5, 0.05)
 
 
 @query("cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS sim FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id + 20 = b.vec_id")
@@ -52,10 +52,10 @@ def cosine_pairs(spark, sf_dir):
     return a.join(b, ["a", "label"]).select("a", "b", v.cosine(F.col("va"), F.col("vb")).alias("sim"))
 
 
-@query("cache_hits", _top_sql("q.vec_id % 25 = 0 AND e.vec_id % 5 = 0", 1, "score >= 0.92"))
+@query("cache_hits", _top_sql("q.vec_id % 100 = 0", 1, "score >= 0.92"))
 def cache_hits(spark, sf_dir):
     """Best cached entry of each query, if near enough."""
-    best = v.search(_index(spark, sf_dir).where("id % 5 = 0").select("id", "vector"), _queries(spark, sf_dir, "id % 25 = 0"), 1)
+    best = v.search(_index(spark, sf_dir).select("id", "vector"), _queries(spark, sf_dir, "id % 100 = 0"), 1)
     return best.where("score >= 0.92")
 
 
@@ -70,18 +70,18 @@ def prototype_route(spark, sf_dir):
     return idx.crossJoin(F.broadcast(p)).select("id", (v.dot(F.col("vector"), F.col("g")) > v.dot(F.col("vector"), F.col("l"))).alias("is_global"))
 
 
-_LEAD = f"""items AS (SELECT vec_id AS id, vec_id AS place, embedding FROM embeddings WHERE label < 3),
-pairs AS MATERIALIZED (SELECT a.id AS first, b.id AS then_id FROM items a JOIN items b ON a.id < b.id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3),
+_LEAD = f"""items AS (SELECT vec_id AS id, vec_id AS place, label, embedding FROM embeddings),
+pairs AS MATERIALIZED (SELECT a.id AS first, b.id AS then_id FROM items a JOIN items b ON a.label = b.label AND a.id < b.id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3),
 l0 AS MATERIALIZED (SELECT id FROM items)"""
 _LEADS = ",\n".join(f"l{i} AS MATERIALIZED (SELECT id FROM items WHERE id NOT IN (SELECT then_id FROM pairs WHERE first IN (SELECT id FROM l{i - 1})))" for i in range(1, 31))
 
 
 @query("leader_clusters", f"WITH {_LEAD},\n{_LEADS}\nSELECT id, CASE WHEN id IN (SELECT id FROM l30) THEN id ELSE (SELECT min(first) FROM pairs WHERE then_id = items.id AND first IN (SELECT id FROM l30)) END AS leader FROM items")
 def leader_clusters(spark, sf_dir):
-    """Greedy leader clustering by cosine (unit vectors), in id order."""
-    items = _index(spark, sf_dir).where("label < 3").select("id", "vector", F.col("id").alias("place"))
-    a, b = items.select(F.col("id").alias("a"), F.col("vector").alias("va")), items.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    pairs = a.join(b, F.col("a") < F.col("b")).where(v.dot(F.col("va"), F.col("vb")) >= 0.3).select("a", "b")
+    """Greedy leader clustering by cosine (unit vectors) within each type, in id order."""
+    items = _index(spark, sf_dir).select("id", "vector", "label", F.col("id").alias("place"))
+    a, b = items.select("label", F.col("id").alias("a"), F.col("vector").alias("va")), items.select("label", F.col("id").alias("b"), F.col("vector").alias("vb"))
+    pairs = a.join(b, "label").where(F.col("a") < F.col("b")).where(v.dot(F.col("va"), F.col("vb")) >= 0.3).select("a", "b")
     return v.leader_clusters(items.select("id", "place"), pairs)
 
 
