@@ -147,3 +147,16 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["d"], r["country"]): r["n"] for r in spark.sql("select date_format(window.start, 'yyyyMMdd') d, country, n from risk_counts").collect()}
     want = {(r["day"], r["country"]): r["count"] for r in risk.risk_events(events).groupBy("day", "country").count().collect()}
     assert got == want
+
+
+def test_extraction_default(spark):
+    from riskloom.operators import extract
+
+    d = spark.createDataFrame([(1, "Acme Corp supplies Bolt Works. Bolt Works depends on Steel Co."), (2, None), (3, "")], "k int, t string")
+    got = sorted((r["k"], r["head"], r["relation"], r["tail"]) for r in extract.extract_triples(d, "k", "t").collect())
+    assert got == [(1, "Acme Corp", "supplies", "Bolt Works"), (1, "Bolt Works", "depends_on", "Steel Co")]
+
+
+def test_guide_text(spark):
+    d = spark.sql("select array(struct('Open' as title, array(struct('lift lid' as text_raw), struct('turn' as text_raw)) as lines)) as steps")
+    assert d.select(connectors.guide_text(F.col("steps"))).first()[0] == "Open lift lid turn"
