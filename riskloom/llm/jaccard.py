@@ -30,11 +30,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.shared import materialize
 from riskloom.llm.textbytes import mix, shingle_sets
-from riskloom.llm.workers import enter
+from riskloom.llm.workers import enter, small_batches
 from riskloom.operators.components import connected_components
 
 #: Signatures held by a map task before they are combined and sent on.
@@ -395,13 +395,6 @@ def _link_rows(batches: Iterable[pa.RecordBatch], width: int, num: int, den: int
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that very long texts do not meet in one buffer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 1000 or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, "1000")
-
-
 def _grouped_links(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Link the sets of each group exactly; ``rows`` has (grp, sid, label, text)."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -418,7 +411,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same; it pays for low thresholds, whose many signatures have few shingles each.
     """
     spark = docs.sparkSession
-    _small_batches(spark)
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = materialize(docs.mapInArrow(partial(_doc_rows, width=width), "doc_id long, n_shingles long, sid long, n_counted long"), "jaccard-docs")
     sets = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.max("n_counted").alias("n_counted"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.shared import materialize
 from riskloom.llm.tokens import worker_encoder
-from riskloom.llm.workers import enter, remember
+from riskloom.llm.workers import enter, remember, small_batches
 
 GROUP_PIECES = 16_000
 
@@ -123,6 +123,7 @@ def _pack_group(rows: pd.DataFrame, capacity: Capacity) -> pd.DataFrame:
 
 def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", tokens: int = 2048, separator: int = 0) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         partial(_piece_rows, tokenizer=tokenizer, tokens=tokens, separator=separator), schema

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.textbytes import text_chunks, word_bounds, word_hashes
+from riskloom.llm.workers import small_batches
 
 BUCKETS = 1 << 17
 TOP_WORDS, SHAPES = 48, 48
@@ -186,6 +187,7 @@ def _score_rows(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.Record
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, log_likelihood (summed), mean_log_prob (per token)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit_scorer(docs))  # fixed size
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         partial(_score_rows, shared=shared), "doc_id long, n_words long, log_likelihood double, mean_log_prob double"

@@ -22,6 +22,7 @@ library; repeated rows stay; an empty table gives no rows; extra columns are ign
 from __future__ import annotations
 
 import json
+import string
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, partial
@@ -32,11 +33,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.llm.workers import enter, remember
+from riskloom.llm.workers import enter, remember, small_batches
 
 #: Words, runs and prefixes remembered by a Python worker; a full memo starts afresh.
-MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS, MEMO_STEMS, MEMO_ODD = 400_000, 300_000, 300_000, 300_000, 500_000, 150_000
+MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS, MEMO_STEMS, MEMO_ODD = 400_000, 300_000, 300_000, 300_000, 500_000, 300_000
 #: Texts are cut at these characters only: white space for every version of Unicode.
+_MARKS = string.punctuation
+
+
 def _split(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
@@ -300,6 +304,7 @@ def prefix_token_counts(
     """Per document: doc_id, n_bytes, n_tokens, cut_chars (longest prefix of at most ``limit``
     tokens, in code points) and, with ``store``, prefix_tokens (the count at every prefix)."""
     schema = "doc_id long, n_bytes long, n_tokens long, cut_chars long" + (", prefix_tokens array<int>" if store else "")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long"), text_col)
     return rows.mapInArrow(partial(_count_rows, tokenizer=tokenizer, limit=limit, store=store), schema)
 
@@ -331,7 +336,7 @@ class IdEncoder:
         self.words: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {"": b""}
-        self.marks = {c: self._plain([c])[0] for c in ".,"}
+        self.marks: dict[str, bytes] = {}
 
     def _plain(self, some: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
@@ -352,7 +357,7 @@ class IdEncoder:
             self.words = {"": b""}
         stems, older, derived, other, ask = self.stems, self.older, [], [], set()
         for w in fresh:
-            bare = w[:-1] if w[-1] in ".," else w
+            bare = w.rstrip(_MARKS)  # what follows a run of letters is a run of its own
             low = bare.lower()
             if bare.isalpha() and (bare.isascii() or len(low) == len(bare) and max(low) < "ɐ" > max(bare)):
                 derived.append((w, low))
@@ -366,8 +371,12 @@ class IdEncoder:
                 other.append(w)
         self._encode_stems(list(ask))
         words, marks = self.words, self.marks
+        if len(marks) > MEMO_ODD:
+            marks.clear()
+        ends = list({w[len(low) :] for w, low in derived}.difference(marks))
+        marks.update(zip(ends, self._plain(ends), strict=True))
         for w, low in derived:
-            words[w] = stems[low] if len(w) == len(low) else stems[low] + marks[w[-1]]
+            words[w] = stems[low] + marks[w[len(low) :]]
         words.update(zip(other, self._plain(other), strict=True))
 
     @staticmethod

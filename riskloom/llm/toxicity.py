@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.llm.textbytes import PUNCTUATION, mix, text_chunks, word_bounds, word_hashes
+from riskloom.llm.workers import small_batches
 
 MAX_EXAMPLES, MAX_EXAMPLE_WORDS = 2000, 4000
 MAX_TERMS, MIN_G2, HEAD = 4096, 25.0, 5
@@ -232,6 +233,7 @@ def _score_rows(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.Record
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None) -> DataFrame:
     """Per document: doc_id, score in [0, 1], evidence (ids of the nearest examples)."""
+    small_batches(docs.sparkSession)
     may_learn = F.lit(True) if may_learn is None else may_learn
     model = fit_toxicity(docs.select("doc_id", "text"), labels, may_learn)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_TERMS

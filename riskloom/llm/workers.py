@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import SparkSession
+
+BATCH_ROWS = 1000
 _memos: dict[str, Callable[[], None]] = {}
 
 
@@ -16,3 +19,10 @@ def enter(operator: str) -> None:
     """Called by a task: drop the memory of all other operators."""
     for name in [n for n in _memos if n != operator]:
         _memos.pop(name)()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows for this session, so that very long texts do not meet in one buffer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
