@@ -13,7 +13,7 @@ Extractor = Callable[[str], list[tuple[str, str, str, float]]]
 
 #: Default relation phrases between two capitalised names.
 PHRASES = (("supplies", r"suppl(?:y|ies|ied)"), ("depends_on", r"(?:depends?|rel(?:y|ies)) on"), ("located_in", r"(?:is )?(?:located|based) in"), ("ships_through", r"ships? (?:through|via)"))
-_NAME = r"([A-Z][\w&.-]*(?: [A-Z][\w&.-]*)*)"
+_NAME = r"([A-Z][\w&-]*(?: [A-Z][\w&-]*)*)"
 
 
 def regex_extractor(text: str) -> list[tuple[str, str, str, float]]:

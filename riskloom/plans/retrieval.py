@@ -117,15 +117,15 @@ def seeds(spark, sf_dir):
 @query("khop", graph_sql("SELECT DISTINCT name FROM near", _SEEDS, _HOPS))
 def khop(spark, sf_dir):
     """Q2: union of the seeds' two-hop neighbourhoods."""
-    _, edges = graph(spark, sf_dir)
-    return bfs_distances(edges, _seeds(spark, sf_dir), 2).select("name")
+    nodes, edges = graph(spark, sf_dir)
+    return bfs_distances(edges, _seeds(spark, sf_dir).join(nodes, "name", "left_semi"), 2).select("name")
 
 
 @query("bfs_dist", graph_sql("SELECT name, dist FROM near", _SEEDS, _HOPS))
 def bfs_dist(spark, sf_dir):
     """Q3: hops from the nearest seed."""
-    _, edges = graph(spark, sf_dir)
-    return bfs_distances(edges, _seeds(spark, sf_dir), 2)
+    nodes, edges = graph(spark, sf_dir)
+    return bfs_distances(edges, _seeds(spark, sf_dir).join(nodes, "name", "left_semi"), 2)
 
 
 @query("fusion", graph_sql("SELECT * FROM scored", _SEEDS, _HOPS))
