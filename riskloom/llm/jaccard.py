@@ -45,12 +45,15 @@ _U = np.uint64
 
 
 class Bands:
-    """Size bands and partition numbers for a threshold of num / den."""
+    """Size bands and partition numbers for a threshold of num / den.
 
-    def __init__(self, num: int, den: int):
+    ``few`` says that few sets are left to sign, so that many signatures of large subsets are affordable.
+    """
+
+    def __init__(self, num: int, den: int, few: bool = False):
         if not 0 < num <= den:
             raise ValueError("the threshold must lie above 0 and at most 1")
-        self.num, self.den, self.ends, self._parts = num, den, [0], {}
+        self.num, self.den, self.few, self.ends, self._parts = num, den, few, [0], {}
 
     def index(self, size: int) -> int:
         while self.ends[-1] < size:
@@ -75,6 +78,10 @@ class Bands:
             if k < 8:
                 k2 = min(k, 3)
                 self._parts[band] = (k // (k2 + 1) + 1, k2 + 3, k2, 0)
+            elif self.few:  # four of seven parts; some spare ranges
+                base = k // 4 + 1
+                e = int(0.15 * base)
+                self._parts[band] = (base + e, 7, 3, e)
             elif k < 40:
                 self._parts[band] = (k // 3 + 1, 5, 2, 0)
             else:
@@ -267,8 +274,9 @@ def _flush(held: list[tuple[np.ndarray, int]], parts: int) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOB.types, strict=True)], schema=_BLOB)
 
 
-def _signature_rows(batches: Iterable[pa.RecordBatch], width: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
-    bands, held, n, seen = Bands(num, den), [], 0, set()
+def _signature_rows(batches: Iterable[pa.RecordBatch], width: int, num: int, den: int, parts: int, few: bool) -> Iterator[pa.RecordBatch]:
+    enter("jaccard")
+    bands, held, n, seen = Bands(num, den, few), [], 0, set()
     for b in batches:
         for s in shingle_sets(b.column(0), width):
             if len(s) and (i := set_id(s)) not in seen:
@@ -427,7 +435,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         docs = docs.join(open_sets.hint("merge"), F.col("doc_id") == F.col("_first"), "left_semi")
         docs = materialize(docs, "jaccard-open")
     blobs = docs.select("text").mapInArrow(
-        partial(_signature_rows, width=width, num=num, den=den, parts=parts), "part int, sigs binary, ids binary, pairs binary"
+        partial(_signature_rows, width=width, num=num, den=den, parts=parts, few=prefilter), "part int, sigs binary, ids binary, pairs binary"
     )
     pairs = blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidate_rows, "a long, b long")
     pairs = materialize(pairs.distinct(), "jaccard-pairs")

@@ -117,8 +117,8 @@ def test_jaccard_documents_and_odd_texts(spark):
 
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(1)
-    for num, den in ((85, 100), (80, 100), (60, 100)):
-        bands = jaccard.Bands(num, den)
+    for num, den, few in ((85, 100, False), (80, 100, False), (80, 100, True), (60, 100, False)):
+        bands = jaccard.Bands(num, den, few)
         for _ in range(300):
             n = int(rng.choice([1, 2, 5, 12, 30, 70, 200, 900]))
             base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
