@@ -1,17 +1,20 @@
-"""Masked pseudo-likelihood of documents under a bidirectional window network.
+"""Masked pseudo-likelihood of documents under a network over embedded words.
 
-Every word (``[^\\x20\\x09-\\x0D]+``, A-Z folded for its identity) has a class: the TOP_WORDS most
-frequent words of the corpus have their own, others share one by shape (ending, capital,
-length, digits). A network (embeddings of the classes on both sides, a tanh layer, a
-softmax over classes) is trained in numpy to predict the class of every token from its two
-neighbours; its training data are the counts of all (left, token, right) class triples of the whole
-corpus, at most CLASSES^3 numbers however large the corpus. Within a class, words have their corpus
-probability (counts in BUCKETS hash buckets, one added to each seen class). A document's score is the
-sum over its tokens of log p(class | left, right) + log p(word | class); document borders are a
-class of their own.
+Words are maximal runs outside ``[\\x20\\x09-\\x0D]``, A-Z folded. Words that occur at least
+MIN_COUNT times (the most frequent MAX_WORDS if more do) are the vocabulary; each has an embedding and a
+leaf in a binary tree of its own, weight-balanced over the words in order of their endings. Of each token, the
+embeddings of up to WINDOW words on either side, weighted by position, pass a tanh layer; the token's
+probability is the product of the branches on the way to its leaf, each a logistic function of that layer. A
+rarer word goes to the leaf of its shape (ending, capital, length, digits) and is then spelled byte by
+byte, each byte given the one before and the shape; no words share a probability by hashing. Words beyond a document's
+ends are a border that has an embedding too.
 
-Scale: three scans of whole texts; each task sends its non-zero counts, summed by Spark; the
-model that workers get has fixed size.
+Training reads every token of the corpus in streamed batches: in each of ROUNDS rounds, every task trains on its
+rows of that round from the same weights, and the changes of each row of weights are averaged over the tasks that
+touched it. Corpora of fewer than SMALL tokens are gone over more often.
+
+Scale: scans of whole texts; word counts and weight changes are summed by Spark. Drivers and workers
+hold the model, of at most MAX_WORDS embeddings and branches.
 
 Defined results: null, empty and word-free texts have no tokens, a sum of 0 and a null mean;
 repeated rows count and are scored alike; an empty table gives no rows; extra columns are ignored.
@@ -20,82 +23,322 @@ repeated rows count and are scored alike; an empty table gives no rows; extra co
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from riskloom.functions.shared import materialize, release
 from riskloom.llm.textbytes import text_chunks, word_bounds, word_hashes
 from riskloom.llm.workers import small_batches
 
-BUCKETS = 1 << 17
 TOP_WORDS, SHAPES = 48, 48
 BORDER = TOP_WORDS + SHAPES
 CLASSES = BORDER + 1
 EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 48, 60, 256, 0.01
+MIN_COUNT, MAX_WORDS, DIM, WINDOW = 5, 1 << 19, 24, 3
+ROUNDS, SMALL, LEAST, MOST, SPEED = 2, 1_000_000, 64, 8192, 0.15
+ROWS, FLUSH, BYTES = 512, 1 << 20, 257
+_U = np.uint64
 _ASCII = np.arange(256)
 _UPPER = (_ASCII >= 65) & (_ASCII <= 90)
 _DIGIT = (_ASCII >= 48) & (_ASCII <= 57)
 _ENDING = np.where(_ASCII == ord("."), 1, np.where(_ASCII == ord(","), 2, np.where((_ASCII < 128) & ~_UPPER & ~_DIGIT & ~((_ASCII >= 97) & (_ASCII <= 122)), 3, 0)))
 
 
-def _tokens(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk of rows: bucket and shape of every word, and the first word of each row."""
-    for _, data, off in text_chunks(text):
-        starts, ends, first = word_bounds(data, off)
-        if not len(starts):
-            yield np.zeros(0, np.int64), np.zeros(0, np.int64), first
-            continue
-        bucket = (word_hashes(data, starts, ends) >> np.uint64(47)).astype(np.int64)
-        digits = np.append(0, np.cumsum(_DIGIT[data]))
-        length = ends - starts
-        band = (length > 3).astype(np.int64) + (length > 7)
-        shape = ((_ENDING[data[ends - 1]] * 2 + _UPPER[data[starts]]) * 3 + band) * 2 + (digits[ends] > digits[starts])
-        yield bucket, shape, first
+def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    digits = np.append(0, np.cumsum(_DIGIT[data]))
+    length = ends - starts
+    band = (length > 3).astype(np.int64) + (length > 7)
+    return ((_ENDING[data[ends - 1]] * 2 + _UPPER[data[starts]]) * 3 + band) * 2 + (digits[ends] > digits[starts])
 
 
-def _triples(cls: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right classes of every word; BORDER at the ends of rows."""
-    left, right = np.full(len(cls), BORDER), np.full(len(cls), BORDER)
-    left[1:], right[:-1] = cls[:-1], cls[1:]
-    opening = first[:-1][first[1:] > first[:-1]]
-    left[opening] = BORDER
-    right[opening[opening > 0] - 1] = BORDER
-    return left, right
+def _words(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per chunk of rows: bytes, starts and ends of all words, and the first word of each row."""
+    for _, data, off in text_chunks(text):
+        yield data, *word_bounds(data, off)
 
 
-def _sparse(counts: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(counts)
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["code", "n"])
+def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word, count and last three bytes (the last one leads), summed over up to FLUSH words."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, n, tail = (np.concatenate(x) for x in zip(*held, strict=True))
+        word, at, back = np.unique(h, return_index=True, return_inverse=True)
+        return word, np.bincount(back, n, len(word)).astype(np.int64), tail[at]
+
+    def batch(word: np.ndarray, n: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n), pa.array(tail)], ["word", "n", "tail"])
 
-def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (bucket, shape): the word counts of the task."""
-    counts = np.zeros(BUCKETS * SHAPES, np.int64)
     for b in batches:
-        for bucket, shape, _ in _tokens(b.column(0)):
-            code, n = np.unique(bucket * SHAPES + shape, return_counts=True)
-            counts[code] += n
-    yield _sparse(counts)
+        for data, starts, ends, _ in _words(b.column(0)):
+            if not len(starts):
+                continue
+            low = np.where(_UPPER[data], data + 32, data).astype(np.int64)
+            tail = sum(np.where(ends - k > starts, low[np.maximum(ends - 1 - k, 0)], 0) << (16 - 8 * k) for k in range(3))
+            held.append((word_hashes(data, starts, ends), np.ones(len(starts), np.int64), tail))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                held = [summed()]
+                if len(held[0][0]) > FLUSH // 2:
+                    yield batch(*held.pop())
+    if held:
+        yield batch(*summed())
+
+
+@dataclass
+class Tree:
+    """Vocabulary and tree: leaves are words in order of endings, then the shapes; node i parts leaves < i from the others."""
+
+    sorted_words: np.ndarray
+    leaf_of: np.ndarray
+    first_at: np.ndarray
+    shift: int
+    left: np.ndarray
+    right: np.ndarray
+    root: int
+    bias: np.ndarray
+
+    @property
+    def leaves(self) -> int:
+        return len(self.leaf_of) + SHAPES
+
+    def lookup(self, words: np.ndarray) -> np.ndarray:
+        """The leaf of every word, or -1."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(self.sorted_words):
+            return out
+        slot = (words >> _U(self.shift)).astype(np.int64)
+        at, end = self.first_at[slot], self.first_at[slot + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            hit = self.sorted_words[at[live]] == words[live]
+            out[live[hit]] = self.leaf_of[at[live[hit]]]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+
+def grow_tree(words: np.ndarray, counts: np.ndarray, tails: np.ndarray, rare: int) -> Tree:
+    """``rare``: tokens outside the vocabulary; the shapes share them at first."""
+    order = np.lexsort((words, tails))
+    mass = np.append(counts[order].astype(float), np.full(SHAPES, rare / SHAPES + 1.0))
+    total, n = np.append(0.0, np.cumsum(mass)), len(mass)
+    left, right, bias = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.float32)
+
+    def part(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The split nearest to half of the mass; -1 for single leaves."""
+        half = (total[low] + total[high]) / 2
+        at = np.searchsorted(total, half)
+        at -= (half - total[at - 1] < total[at] - half).astype(np.int64)
+        return np.where(high - low > 1, np.clip(at, low + 1, np.maximum(high - 1, low + 1)), -1)
+
+    low, high = np.zeros(1, np.int64), np.full(1, n)
+    node = part(low, high)
+    root = int(node[0])
+    while len(node):
+        a, b = part(low, node), part(node, high)
+        left[node], right[node] = a, b
+        bias[node] = np.log((total[high] - total[node]) / (total[node] - total[low]))
+        low, high, node = np.append(low, node), np.append(node, high), np.append(a, b)
+        inner = node >= 0
+        low, high, node = low[inner], high[inner], node[inner]
+    bits = max(1, len(words)).bit_length()
+    place = np.argsort(words)
+    leaf = np.empty(len(words), np.int64)
+    leaf[order] = np.arange(len(words))
+    slots = np.arange((1 << bits) + 1, dtype=np.float64)
+    first_at = np.searchsorted((words[place] >> _U(64 - bits)).astype(np.int64), slots)
+    return Tree(words[place], leaf[place].astype(np.int32), first_at, 64 - bits, left, right, root, bias)
+
+
+def new_weights(leaves: int) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(1)
+    side = 1.0 / np.arange(1, WINDOW + 1)[:, None].repeat(DIM, axis=1)
+    return {
+        "e": rng.normal(0, 0.3, (leaves + 1, DIM)).astype(np.float32), "o": np.zeros((leaves, DIM), np.float32), "ob": np.zeros((leaves, 1), np.float32),
+        "p": np.stack([side, side]).astype(np.float32), "h": rng.normal(0, (2 * DIM) ** -0.5, (2 * DIM, DIM)).astype(np.float32), "hb": np.zeros((1, DIM), np.float32),
+    }
+
 
+_SPARSE, _DENSE = ("e", "o", "ob"), ("p", "h", "hb")
+
+
+class WindowNetwork:
+    """log p(leaf | words around), and steps of training (Adagrad, one rate a row)."""
+
+    def __init__(self, tree: Tree, weights: dict[str, np.ndarray]):
+        self.tree, self.w = tree, weights
+
+    def learn(self) -> WindowNetwork:
+        self.w = {k: v.astype(np.float32) for k, v in self.w.items()}  # copies
+        self.speed = {k: np.full((len(v), 1) if k in _SPARSE else v.shape, 0.1, np.float32) for k, v in self.w.items()}
+        self.hits = {k: np.zeros(len(self.w[k]), np.int32) for k in ("e", "o")}
+        return self
+
+    def batch(self, ids: np.ndarray, train: bool = False) -> np.ndarray:
+        """``ids`` with WINDOW more on both sides: log p of the inner ones. Borders get no meaningful value."""
+        w, tree, n, border = self.w, self.tree, len(ids) - 2 * WINDOW, self.tree.leaves
+        x = w["e"][ids].astype(np.float32, copy=False)
+        p = w["p"].astype(np.float32, copy=False)
+        sums = np.zeros((n, 2 * DIM), np.float32)
+        for k in range(1, WINDOW + 1):
+            sums[:, :DIM] += x[WINDOW - k : WINDOW - k + n] * p[0, k - 1]
+            sums[:, DIM:] += x[WINDOW + k : WINDOW + k + n] * p[1, k - 1]
+        inner = ids[WINDOW : WINDOW + n]
+        order = np.argsort(inner, kind="stable")
+        order = order[: np.searchsorted(inner[order], border)]
+        leaf = inner[order]
+        h = np.tanh(sums[order] @ w["h"].astype(np.float32, copy=False) + w["hb"].astype(np.float32, copy=False))
+        out, dh = np.zeros(len(leaf)), np.zeros_like(h)
+        steps, live, node = [], slice(None), np.full(len(leaf), tree.root, np.int32)
+        while len(node):
+            hl, at = h[live], leaf[live]
+            runs = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            branch = node[runs]
+            ol = w["o"][branch].astype(np.float32, copy=False).repeat(np.diff(np.append(runs, len(node))), axis=0)
+            right = at >= node
+            z = np.einsum("ij,ij->i", hl, ol) + tree.bias[node] + w["ob"][node, 0]
+            z = np.where(right, z, -z)
+            out[live] -= np.logaddexp(0, -z)
+            if train:
+                d = np.where(right, -1, 1).astype(np.float32) / (1 + np.exp(np.minimum(z, 60.0)))
+                d = d.astype(np.float32)[:, None]
+                dh[live] += d * ol
+                steps.append((branch, np.add.reduceat(d * hl, runs, axis=0), np.add.reduceat(d, runs, axis=0), np.diff(np.append(runs, len(node)))))
+            node = np.where(right, tree.right[node], tree.left[node])
+            on = node >= 0
+            live = np.arange(len(leaf))[on] if isinstance(live, slice) else live[on]
+            node = node[on]
+        logp = np.zeros(n)
+        logp[order] = out
+        if train and len(leaf):
+            dz = dh * (1 - h * h)
+            dsums = np.zeros_like(sums)
+            dsums[order] = dz @ w["h"].T
+            dx, dp = np.zeros_like(x), np.zeros_like(p)
+            for k in range(1, WINDOW + 1):
+                for side, d, at in ((0, dsums[:, :DIM], WINDOW - k), (1, dsums[:, DIM:], WINDOW + k)):
+                    dx[at : at + n] += d * p[side, k - 1]
+                    dp[side, k - 1] = (d * x[at : at + n]).sum(axis=0)
+            dense = {"p": dp, "h": sums[order].T @ dz, "hb": dz.sum(axis=0, keepdims=True)}
+            for k, g in dense.items():
+                g = g / len(leaf) ** 0.5
+                self.speed[k] += g * g
+                w[k] -= 0.3 * SPEED * g / np.sqrt(self.speed[k])
+            place = np.argsort(ids, kind="stable")
+            mine = ids[place]
+            runs = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            self._step("e", mine[runs], np.add.reduceat(dx[place], runs, axis=0), np.diff(np.append(runs, len(mine))))
+            branch, g, gb, hits = (np.concatenate(s) for s in zip(*steps, strict=True))
+            self._step("o", branch, g, hits)
+            self._step("ob", branch, gb, None)
+        return logp
+
+    def _step(self, k: str, rows: np.ndarray, g: np.ndarray, hits: np.ndarray | None) -> None:
+        self.speed[k][rows] += (g * g).mean(axis=1, keepdims=True)
+        self.w[k][rows] -= SPEED * g / np.sqrt(self.speed[k][rows])
+        if hits is not None:
+            self.hits[k][rows] += hits.astype(np.int32)
+
+
+def _encode(text: pa.Array, tree: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Per chunk of rows: leaves with WINDOW borders around each row, the places of the words in them, the first word of each
+    row, and the spelling of the rarer words: (word, code) of each byte and end."""
+    for data, starts, ends, first in _words(text):
+        leaf = tree.lookup(word_hashes(data, starts, ends)) if len(starts) else np.zeros(0, np.int64)
+        rare = np.flatnonzero(leaf < 0)
+        shape = _shapes(data, starts[rare], ends[rare]) if len(rare) else rare
+        leaf[rare] = len(tree.leaf_of) + shape
+        rows = np.arange(len(first) - 1).repeat(np.diff(first))
+        place = np.arange(len(leaf)) + WINDOW * (rows + 1)
+        ids = np.full(len(leaf) + WINDOW * len(first), tree.leaves, np.int64)
+        ids[place] = leaf
+        long = ends[rare] - starts[rare] + 1
+        word = np.arange(len(rare)).repeat(long)
+        step = np.arange(len(word)) - (np.cumsum(long) - long).repeat(long)
+        at = starts[rare].repeat(long) + step
+        low = np.append(np.where(_UPPER[data], data + 32, data), 0).astype(np.int64)
+        now = np.where(step == (long - 1).repeat(long), BYTES - 1, low[np.minimum(at, len(data))])
+        before = np.where(step == 0, BYTES - 1, low[np.maximum(at - 1, 0)])
+        yield ids, place, first, (rare, word, (shape.repeat(long) * BYTES + before) * BYTES + now)
+
+
+def _batches_of(ids: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    for a in range(WINDOW, len(ids) - WINDOW, size):
+        yield ids[a - WINDOW : min(a + size, len(ids) - WINDOW) + WINDOW]
+
+
+def _train_rows(batches: Iterable[pa.RecordBatch], shared, again: int) -> Iterator[pa.RecordBatch]:
+    """Trains on the task's rows; gives the changes of weights by blocks of ROWS rows, and the counts of spelling."""
+    tree, start = shared.value
+    net = WindowNetwork(tree, start).learn()
+    spelled = np.zeros(SHAPES * BYTES * BYTES, np.int32)
+    kept, seen = [], 0
+
+    def go(ids: np.ndarray) -> None:
+        nonlocal seen
+        done = 0
+        while done < len(ids) - 2 * WINDOW:
+            size = min(MOST, LEAST + seen // 32)
+            net.batch(ids[done : done + size + 2 * WINDOW], train=True)
+            done += size
+            seen += size
 
-def _count_triples(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    top = shared.value
-    counts = np.zeros(CLASSES**3, np.int64)
     for b in batches:
-        for bucket, shape, first in _tokens(b.column(0)):
-            cls = _classes(bucket, shape, top)
-            left, right = _triples(cls, first)
-            code, n = np.unique((left * CLASSES + right) * CLASSES + cls, return_counts=True)
-            counts[code] += n
-    yield _sparse(counts)
+        for ids, _, _, (_, _, code) in _encode(b.column(0), tree):
+            c, n = np.unique(code, return_counts=True)
+            spelled[c] += n.astype(np.int32)
+            go(ids)
+            if again > 1:
+                kept.append(ids)
+    for _ in range(again - 1):
+        for ids in kept:
+            go(ids)
+
+    def row(part: str, block: int, at: np.ndarray, hits: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part]), pa.array([block], pa.int64()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([hits.astype(np.int64).tobytes()], pa.binary()), pa.array([change.astype(np.float16).tobytes()], pa.binary())], ["part", "block", "at", "hits", "change"]
+        )
 
+    if not seen:
+        return
+    for k, hits in (("e", net.hits["e"]), ("o", net.hits["o"]), ("ob", net.hits["o"])):
+        for a in range(0, len(hits), ROWS):
+            at = np.flatnonzero(hits[a : a + ROWS])
+            if len(at):
+                yield row(k, a // ROWS, at, hits[a + at], net.w[k][a + at] - start[k][a + at].astype(np.float32))
+    for k in _DENSE:
+        change = (net.w[k] - start[k].astype(np.float32)).reshape(1, -1)
+        yield row(k, 0, np.zeros(1), np.full(1, seen), change)
+    at = np.flatnonzero(spelled)
+    yield row("spell", 0, at, spelled[at], np.zeros(0))
 
-def _classes(bucket: np.ndarray, shape: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """``top`` maps a bucket to its own class or -1."""
-    own = top[bucket]
-    return np.where(own >= 0, own, TOP_WORDS + shape)
+
+_CHANGES = "part string, block long, at binary, hits binary, change binary"
+
+
+def _merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean change of each row of a block, weighted by how often tasks used it; spelling counts are summed."""
+    part, block, hits, change = key[0].as_py(), key[1].as_py(), None, None
+    for b in parts:
+        for at, n, c in zip(b.column("at").to_pylist(), b.column("hits").to_pylist(), b.column("change").to_pylist(), strict=True):
+            at, n, c = np.frombuffer(at, np.int32), np.frombuffer(n, np.int64), np.frombuffer(c, np.float16).astype(np.float32)
+            c = c.reshape(len(at), -1) if part != "spell" else c[:, None]
+            if hits is None:
+                hits = np.zeros(SHAPES * BYTES * BYTES if part == "spell" else ROWS, np.int64)
+                change = np.zeros((1 if part == "spell" else ROWS, c.shape[1]))
+            hits[at] += n
+            if part != "spell":
+                change[at] += c * n[:, None]
+    at = np.flatnonzero(hits)
+    mean = np.zeros(0) if part == "spell" else change[at] / hits[at, None]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([part]), pa.array([block], pa.int64()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([hits[at].tobytes()], pa.binary()), pa.array([mean.astype(np.float16).tobytes()], pa.binary())], ["part", "block", "at", "hits", "change"]
+    )
 
 
 def train_window_network(counts: np.ndarray, seed: int = 1) -> np.ndarray:
@@ -142,40 +385,55 @@ def train_window_network(counts: np.ndarray, seed: int = 1) -> np.ndarray:
     return forward(np.arange(CLASSES * CLASSES))[2].reshape(CLASSES, CLASSES, CLASSES)
 
 
-def fit_scorer(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each bucket or -1, log p(class | left, right), log p(word | class) by bucket and shape)."""
+def fit_scorer(docs: DataFrame) -> tuple[Tree, dict[str, np.ndarray], np.ndarray]:
+    """(tree, weights, log p(byte | shape, byte before))."""
     context = docs.sparkSession.sparkContext
-    summed = lambda df: df.groupBy("code").agg(F.sum("n").alias("n"))
-    text = docs.select("text")
-    words = summed(text.mapInArrow(_count_words, "code long, n long")).toArrow()  # at most BUCKETS * SHAPES numbers
-    seen = np.zeros(BUCKETS * SHAPES, np.int64)
-    seen[words.column("code").to_numpy()] = words.column("n").to_numpy()
-    seen = seen.reshape(BUCKETS, SHAPES)
-    by_bucket = seen.sum(axis=1)
-    top = np.full(BUCKETS, -1, np.int64)
-    best = np.lexsort((np.arange(BUCKETS), -by_bucket))[:TOP_WORDS]
-    best = best[by_bucket[best] > 0]
-    top[best] = np.arange(len(best))
-    # probability of a bucket within its class; a top word's class is the word
-    rest = seen * (top < 0)[:, None]
-    within = np.log(rest + 1.0) - np.log(rest.sum(axis=0) + float(BUCKETS))
-    within[top >= 0] = 0.0
-    shared = context.broadcast(top)
-    triples = summed(text.mapInArrow(partial(_count_triples, shared=shared), "code long, n long")).toArrow()  # at most CLASSES^3
-    counts = np.zeros(CLASSES**3, np.int64)
-    counts[triples.column("code").to_numpy()] = triples.column("n").to_numpy()
-    network = train_window_network(counts.reshape(CLASSES, CLASSES, CLASSES))
-    return top, network.astype(np.float32), within.astype(np.float32)
+    counted = docs.select("text").mapInArrow(_count_words, "word long, n long, tail long").groupBy("word").agg(F.sum("n").alias("n"), F.min("tail").alias("tail"))
+    counted = materialize(counted, "scoring")
+    tokens = counted.agg(F.sum("n")).first()[0] or 0
+    sizes = counted.where(F.col("n") >= MIN_COUNT).groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 100,000 rows
+    least, held = MIN_COUNT, 0
+    for r in sizes:
+        held += r["count"]
+        if held > MAX_WORDS:
+            least = r["n"] + 1
+            break
+    words = counted.where(F.col("n") >= least).toArrow()  # at most MAX_WORDS rows
+    word, n, tail = (words.column(c).to_numpy() for c in ("word", "n", "tail"))
+    tree = grow_tree(word.view(np.uint64), n, tail, int(tokens - n.sum()))
+    weights = new_weights(tree.leaves)
+    spelled = np.zeros(SHAPES * BYTES * BYTES, np.int64)
+    again = int(np.clip(SMALL // max(tokens, 1), 1, 20))
+    for r in range(ROUNDS):
+        shared = context.broadcast((tree, {k: v.astype(np.float16) if k in _SPARSE else v for k, v in weights.items()}))
+        rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == r).select("text")
+        changes = rows.mapInArrow(partial(_train_rows, shared=shared, again=again), _CHANGES).groupBy("part", "block").applyInArrow(_merge, _CHANGES)
+        for x in changes.toArrow().to_pylist():  # the size of the model
+            at = np.frombuffer(x["at"], np.int32)
+            if x["part"] == "spell":
+                spelled[at] += np.frombuffer(x["hits"], np.int64)
+                continue
+            v, change = weights[x["part"]], np.frombuffer(x["change"], np.float16).astype(np.float32)
+            if x["part"] in _DENSE:
+                v += change.reshape(v.shape)
+            else:
+                v[x["block"] * ROWS + at] += change.reshape(len(at), -1)
+        shared.destroy()
+    release(counted)
+    spelled = spelled.reshape(-1, BYTES) + 0.1
+    spelling = np.log(spelled / spelled.sum(axis=1, keepdims=True)).astype(np.float32).reshape(-1)
+    return tree, {k: v.astype(np.float16) if k in _SPARSE else v for k, v in weights.items()}, spelling
 
 
 def _score_rows(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    top, network, within = shared.value
+    tree, weights, spelling = shared.value
+    net = WindowNetwork(tree, weights)
     for b in batches:
         sums, counts = [], []
-        for bucket, shape, first in _tokens(b.column(1)):
-            cls = _classes(bucket, shape, top)
-            left, right = _triples(cls, first)
-            logp = network[left, right, cls].astype(np.float64) + within[bucket, shape]
+        for ids, place, first, (rare, word, code) in _encode(b.column(1), tree):
+            parts = [net.batch(x) for x in _batches_of(ids, MOST)]
+            logp = np.concatenate([np.zeros(WINDOW), *parts])[place]
+            logp[rare] += np.bincount(word, spelling[code], len(rare))
             running = np.append(0.0, np.cumsum(logp))
             sums.append(running[first[1:]] - running[first[:-1]])
             counts.append(np.diff(first))
@@ -188,7 +446,7 @@ def _score_rows(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.Record
 def score_documents(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, log_likelihood (summed), mean_log_prob (per token)."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit_scorer(docs))  # fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(fit_scorer(docs))  # at most MAX_WORDS words
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         partial(_score_rows, shared=shared), "doc_id long, n_words long, log_likelihood double, mean_log_prob double"
     )

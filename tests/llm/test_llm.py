@@ -444,6 +444,28 @@ def test_scores_prefer_the_corpus_order(spark):
     assert scoring.score_documents(odd(spark).limit(0)).count() == 0
 
 
+def test_words_of_one_shape_are_told_apart_by_context(spark):
+    rng = random.Random(5)
+    left, right = ([f"{side}{a}{b}" for a in "abcdefghij" for b in "abcdefghij"] for side in ("lef", "mor"))
+    texts = [" ".join(f"{left[k]} {right[k]}" for k in rng.choices(range(100), k=40)) for _ in range(300)]
+    swapped = [" ".join(f"{left[k]} {right[k - 1]}" for k in rng.choices(range(100), k=40)) for _ in range(10)]
+    swapped += [" ".join(f"the{k}" for k in rng.choices(range(10, 70), k=80)) for _ in range(400)]  # the most frequent words
+    rows = {r["doc_id"]: r["mean_log_prob"] for r in scoring.score_documents(documents(spark, texts + swapped)).collect()}
+    assert min(rows[i] for i in range(300)) > max(rows[i] for i in range(300, 310)) + 0.3
+
+
+def test_leaves_sum_to_one_and_words_are_found():
+    rng = np.random.default_rng(3)
+    words = np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64))
+    tree = scoring.grow_tree(words, rng.integers(5, 500, len(words)), rng.integers(0, 99, len(words)), 70)
+    assert sorted(tree.lookup(words).tolist()) == list(range(len(words))) and (tree.lookup(words + np.uint64(1)) == -1).all()
+    weights = scoring.new_weights(tree.leaves)
+    weights["o"] += rng.normal(0, 1, weights["o"].shape).astype(np.float32)
+    net, around = scoring.WindowNetwork(tree, weights), rng.integers(0, tree.leaves, 2 * scoring.WINDOW)
+    each = [np.concatenate([around[: scoring.WINDOW], [x], around[scoring.WINDOW :]]) for x in range(tree.leaves)]
+    assert sum(float(np.exp(net.batch(ids)[0])) for ids in each) == pytest.approx(1, abs=1e-4)
+
+
 def test_network_probabilities_sum_to_one():
     counts = np.zeros((scoring.CLASSES,) * 3, np.int64)
     counts[1, 2, 3] = 50
