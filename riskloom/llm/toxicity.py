@@ -3,13 +3,13 @@
 Examples are a bounded sample of labelled rows (MAX_EXAMPLES per class, those of more than
 MAX_EXAMPLE_WORDS words left out); only rows that ``may_learn`` allows are used. Terms are
 words and their first HEAD bytes, cut at ASCII punctuation and white space, A-Z folded; the
-vocabulary are terms whose label association (G2) exceeds MIN_G2. Document frequencies are counted
-over all documents. A constant component stands beside the terms, so a text without any
+vocabulary are all terms of the examples. A term's TF-IDF weight is scaled by its label association
+(1 if G2 reaches MIN_G2, FLOOR otherwise), so none leaves the product or the norm, and a copy of an example has cosine 1
+with it. Document frequencies are counted over all documents. A constant component stands beside the terms, so a text without any
 has neighbours as well.
 
-The examples form a block-max inverted index: postings by term, examples in blocks of
-BLOCK, and the greatest weight of each term in each block. A query visits blocks by falling
-upper bound and stops when no further block can reach its K-th best: the K neighbours are exact
+Every query meets every example: terms that many examples have by a dense matrix product, all others by
+postings, so the K neighbours are exact
 (ties: the earlier example). Their votes, weighted by similarity and by how many
 labelled rows an example stands for, are calibrated by isotonic regression on the examples' own
 leave-one-out votes. Labels, lang, source and doc_id are no input of a score.
@@ -33,8 +33,8 @@ from riskloom.llm.textbytes import PUNCTUATION, mix, text_chunks, word_bounds, w
 from riskloom.llm.workers import small_batches
 
 MAX_EXAMPLES, MAX_EXAMPLE_WORDS = 2000, 4000
-MAX_TERMS, MIN_G2, HEAD = 4096, 25.0, 5
-BLOCK, K = 64, 25
+MIN_G2, FLOOR, HEAD = 25.0, 0.05, 5
+BLOCK, K, COMMON = 128, 25, 1 / 16
 BIAS = 1.0
 _U = np.uint64
 
@@ -60,10 +60,10 @@ def _example_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "toxic", "terms", "counts"])
 
 
-def _vocabulary(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Sorted terms that differ between the classes."""
+def _vocabulary(sets: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted terms of all examples, and 1 for those that differ between the classes, FLOOR for others."""
     if not len(sets) or toxic.all() or not toxic.any():
-        return np.zeros(0, _U)
+        return np.zeros(0, _U), np.zeros(0)
     flat = np.concatenate(sets)
     mine = np.repeat(toxic, [len(s) for s in sets])
     terms, inverse = np.unique(flat, return_inverse=True)
@@ -78,9 +78,7 @@ def _vocabulary(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
         for x, p in ((seen, rate), (n - seen, 1 - rate)):
             with np.errstate(divide="ignore", invalid="ignore"):
                 g2 += 2 * np.where(x > 0, x * np.log(x / (n * p)), 0)
-    good = np.flatnonzero(g2 >= MIN_G2)
-    best = good[np.lexsort((terms[good], -g2[good]))][:MAX_TERMS]
-    return np.sort(terms[best])
+    return terms, np.where(g2 >= MIN_G2, 1.0, FLOOR)
 
 
 def term_vector(terms: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,37 +94,38 @@ def term_vector(terms: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray) -> t
 
 
 class BlockMaxIndex:
-    """Exact top-K cosine over unit sparse vectors."""
+    """Exact cosine of unit sparse vectors: common terms as a dense matrix, all others as postings."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.n, self.width = len(vectors), width
         owner = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((owner, term))
-        self.owner, self.weight, term = owner[order], weight[order], term[order]
-        self.at = np.searchsorted(term, np.arange(width + 1))
-        self.blocks = -(-self.n // BLOCK)
-        self.bound = np.zeros((width, max(self.blocks, 1)))  # block maxima
-        np.maximum.at(self.bound, (term, self.owner // BLOCK), self.weight)
+        often = np.bincount(term, minlength=width) > max(8, COMMON * self.n)
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), self.n), np.float32)
+        mine = often[term]
+        self.dense[self.column[term[mine]], owner[mine]] = weight[mine]
+        order = np.lexsort((owner[~mine], term[~mine]))
+        self.owner, self.weight = owner[~mine][order].astype(np.int32), weight[~mine][order].astype(np.float32)
+        self.at = np.searchsorted(term[~mine][order], np.arange(width + 1))
+
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The cosine of every query (few at a time) with every vector."""
+        common, out = np.zeros((len(vectors), len(self.dense)), np.float32), np.zeros((len(vectors), self.n), np.float32)
+        for q, (terms, weights) in enumerate(vectors):
+            column = self.column[terms]
+            common[q, column[column >= 0]] = weights[column >= 0]
+            rest, w = terms[column < 0], weights[column < 0]
+            first, size = self.at[rest], self.at[rest + 1] - self.at[rest]
+            place = np.arange(size.sum()) + (first - (np.cumsum(size) - size)).repeat(size)
+            out[q] = np.bincount(self.owner[place], self.weight[place] * w.repeat(size), self.n)
+        return out + common @ self.dense
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        upper = weights @ self.bound[terms]
-        visit = np.argsort(-upper, kind="stable")
-        slices = [(self.owner[a:b], self.weight[a:b] * w) for a, b, w in zip(self.at[terms], self.at[terms + 1], weights, strict=True)]
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in visit.tolist():
-            if len(ids) >= k and upper[b] < sims[-1] - 1e-12:
-                break
-            low, high = b * BLOCK, min((b + 1) * BLOCK, self.n)
-            score = np.zeros(high - low)
-            for owner, weight in slices:
-                i, j = np.searchsorted(owner, (low, high))
-                score[owner[i:j] - low] += weight[i:j]
-            ids, sims = np.append(ids, np.arange(low, high)), np.append(sims, score)
-            best = np.lexsort((ids, -sims))[:k]
-            ids, sims = ids[best], sims[best]
-        return ids, sims
+        score = self.scores([(terms, weights)])[0]
+        ids = np.lexsort((np.arange(self.n), -score))[:k]
+        return ids, score[ids]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,9 +150,7 @@ class ToxicityModel:
 
     def __init__(self, ids: list[int], toxic: np.ndarray, stands_for: np.ndarray, terms: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray):
         vectors = [term_vector(t, vocabulary, idf) for t in terms]
-        # alike examples share blocks: by class, then by heaviest term
-        heavy = [int(t[1:][w[1:].argmax()]) if len(t) > 1 else 0 for t, w in vectors]
-        order = np.lexsort((np.array(heavy, np.int64), toxic))
+        order = np.argsort(toxic, kind="stable")
         self.vocabulary, self.idf = vocabulary, idf
         self.ids = np.array(ids, np.int64)[order]
         self.toxic, self.stands_for = toxic[order].astype(float), stands_for[order]
@@ -162,32 +159,32 @@ class ToxicityModel:
         self.rate = float((self.toxic * self.stands_for).sum() / self.stands_for.sum()) if len(ids) else 0.0
         self.curve = None
         if 0 < self.rate < 1:
-            own = np.array([self.vote(*v, skip=i)[0] for i, v in enumerate(vectors)])
+            own = np.concatenate([[v for v, _ in self.votes(vectors[a : a + BLOCK], skip=a)] for a in range(0, len(vectors), BLOCK)])
             self.curve = isotonic(own, self.toxic, self.stands_for)
-        self.memo: dict[bytes, tuple[float, list[int]]] = {}
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int | None = None) -> tuple[float, np.ndarray]:
-        ids, sims = self.index.search(terms, weights, K + (skip is not None))
-        if skip is not None:
-            ids, sims = ids[ids != skip][:K], sims[ids != skip][:K]
-        weight = self.stands_for[ids] * np.maximum(sims, 1e-9) ** 4
-        return float((weight * self.toxic[ids]).sum() / weight.sum()), ids
-
-    def score(self, terms: np.ndarray) -> tuple[float, list[int]]:
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: int | None = None) -> list[tuple[float, np.ndarray]]:
+        """Vote and neighbours of each query; those from example ``skip`` on do not see themselves."""
+        scores, out = self.index.scores(vectors), []
+        for q, score in enumerate(scores):
+            if skip is not None:
+                score[skip + q] = -1
+            ids = np.flatnonzero(score >= np.partition(score, -K)[-K]) if len(score) > K else np.arange(len(score))
+            ids = ids[np.lexsort((ids, -score[ids]))][:K]
+            ids = ids[score[ids] >= 0]
+            weight = self.stands_for[ids] * np.maximum(score[ids], 1e-9).astype(float) ** 4
+            out.append((float((weight * self.toxic[ids]).sum() / weight.sum()) if len(ids) else self.rate, ids))
+        return out
+
+    def score(self, texts: list[np.ndarray]) -> list[tuple[float, list[int]]]:
+        """Scores and nearest examples of at most BLOCK texts."""
         if self.curve is None:
-            return self.rate, []
-        at, weight = term_vector(terms, self.vocabulary, self.idf)
-        key = at.tobytes() + weight.tobytes()
-        found = self.memo.get(key)
-        if found is None:
-            vote, near = self.vote(at, weight)
-            found = float(np.interp(vote, *self.curve)), self.ids[near[:5]].tolist()
-            if len(self.memo) < 10_000:
-                self.memo[key] = found
-        return found
-
-
-def _df_rows(batches: Iterable[pa.RecordBatch], vocabulary: np.ndarray) -> Iterator[pa.RecordBatch]:
+            return [(self.rate, [])] * len(texts)
+        votes = self.votes([term_vector(t, self.vocabulary, self.idf) for t in texts])
+        return [(float(np.interp(vote, *self.curve)), self.ids[near[:5]].tolist()) for vote, near in votes]
+
+
+def _df_rows(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    vocabulary = shared.value
     seen, rows = np.zeros(len(vocabulary), np.int64), 0
     for b in batches:
         for t in text_terms(b.column(0)):
@@ -211,11 +208,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Toxic
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
     sets = [np.frombuffer(r["terms"], _U) for r in rows]
     toxic = np.array([r["toxic"] for r in rows], np.int64)
-    vocabulary = _vocabulary(sets, toxic)
-    counts = docs.select("text").mapInArrow(partial(_df_rows, vocabulary=vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = {r["term"]: r["n"] for r in counts.collect()}  # at most MAX_TERMS + 1 rows
-    df = np.array([counts.get(i, 0) for i in range(len(vocabulary))], float)
-    idf = np.log((1 + counts.get(-1, 0)) / (1 + df)) + 1
+    vocabulary, association = _vocabulary(sets, toxic)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    counts = docs.select("text").mapInArrow(partial(_df_rows, shared=shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = counts.toArrow()  # one row a term of the examples, and the number of documents at -1
+    df = np.zeros(len(vocabulary) + 1)
+    df[counts.column("term").to_numpy()] = counts.column("n").to_numpy()
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * association
     used = {c: max(1, int((toxic == c).sum())) for c in (0, 1)}
     stands_for = np.array([sizes.get(c, 0) / used[c] for c in toxic.tolist()])
     terms = [np.repeat(s, np.frombuffer(r["counts"], np.int32)) for s, r in zip(sets, rows, strict=True)]
@@ -225,7 +224,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Toxic
 def _score_rows(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: ToxicityModel = shared.value
     for b in batches:
-        found = [model.score(t) for t in text_terms(b.column(1))]
+        found, held = [], []
+        for t in text_terms(b.column(1)):
+            held.append(t)
+            if len(held) == BLOCK:
+                found += model.score(held)
+                held = []
+        found += model.score(held) if held else []
         yield pa.RecordBatch.from_arrays(
             [b.column(0).cast(pa.int64()), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"]
         )
@@ -236,5 +241,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column | None
     small_batches(docs.sparkSession)
     may_learn = F.lit(True) if may_learn is None else may_learn
     model = fit_toxicity(docs.select("doc_id", "text"), labels, may_learn)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_EXAMPLE_WORDS
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_score_rows, shared=shared), "doc_id long, score double, evidence array<long>")

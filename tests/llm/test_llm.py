@@ -293,6 +293,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(odd(spark).limit(0), l).count() == 0
 
 
+def test_a_copy_of_a_labelled_example_is_its_neighbour(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"p{rng.randrange(300)}" for _ in range(40)) for _ in range(300)]
+    texts[7] = "zorn quell vlib drask"  # toxic, of words that no other example has
+    d = documents(spark, texts + [texts[7], texts[30]])
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 2)) for i in range(300)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r["evidence"] for r in toxicity.score_toxicity(d, labels).collect()}
+    assert rows[300][0] == 7 and rows[301][0] == 30
+
+
 # ---- op8
 def test_mixing_targets(spark):
     rng = random.Random(1)
