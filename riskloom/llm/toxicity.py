@@ -10,7 +10,7 @@ has neighbours as well.
 
 Every query meets every example: terms that many examples have by a dense matrix product, all others by
 postings, so the K neighbours are exact
-(ties: the earlier example). Their votes, weighted by similarity and by how many
+(all that tie with the K-th vote too). Their votes, weighted by similarity and by how many
 labelled rows an example stands for, are calibrated by isotonic regression on the examples' own
 leave-one-out votes. Labels, lang, source and doc_id are no input of a score.
 
@@ -34,7 +34,7 @@ from riskloom.llm.workers import small_batches
 
 MAX_EXAMPLES, MAX_EXAMPLE_WORDS = 2000, 4000
 MIN_G2, FLOOR, HEAD = 25.0, 0.05, 5
-BLOCK, K, COMMON = 128, 25, 1 / 16
+BLOCK, K, COMMON, TIE = 128, 25, 1 / 16, 1e-6
 BIAS = 1.0
 _U = np.uint64
 
@@ -168,8 +168,8 @@ class ToxicityModel:
         for q, score in enumerate(scores):
             if skip is not None:
                 score[skip + q] = -1
-            ids = np.flatnonzero(score >= np.partition(score, -K)[-K]) if len(score) > K else np.arange(len(score))
-            ids = ids[np.lexsort((ids, -score[ids]))][:K]
+            ids = np.flatnonzero(score >= np.partition(score, -K)[-K] - TIE) if len(score) > K else np.arange(len(score))
+            ids = ids[np.lexsort((ids, -score[ids]))]
             ids = ids[score[ids] >= 0]
             weight = self.stands_for[ids] * np.maximum(score[ids], 1e-9).astype(float) ** 4
             out.append((float((weight * self.toxic[ids]).sum() / weight.sum()) if len(ids) else self.rate, ids))

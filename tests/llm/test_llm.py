@@ -303,6 +303,12 @@ def test_a_copy_of_a_labelled_example_is_its_neighbour(spark):
     assert rows[300][0] == 7 and rows[301][0] == 30
 
 
+def test_all_examples_that_tie_vote():
+    toxic, none = np.arange(90) % 3 == 0, np.zeros(0, np.uint64)
+    model = toxicity.ToxicityModel(list(range(90)), toxic.astype(np.int64), np.ones(90), [none] * 90, none, np.zeros(0))
+    assert model.votes([toxicity.term_vector(none, none, np.zeros(0))])[0][0] == pytest.approx(1 / 3)
+
+
 # ---- op8
 def test_mixing_targets(spark):
     rng = random.Random(1)
