@@ -11,14 +11,16 @@ fewer than two shingles leaves such subsets out, which keeps near-empty ones fro
 pairing strangers, and still meets every partner in another range.
 
 Scale: signatures are combined inside each map task (only the least set of a
-bucket and a spanning star travel on), a bucket yields a star and never all
-pairs. Candidate groups are then linked exactly in blocks of bounded size: first
-inside each block, then between one member per (block, component), and only where a
-group still has two components between all its blocks. Nothing is dropped.
+bucket and a spanning forest travel on), a range of buckets yields a forest and never all
+pairs. Their number is counted before, so that a range of them holds about PART_SIGNATURES and goes
+to a task chosen by its number. Candidate groups are then linked exactly in blocks of bounded size: first
+inside each block, then between one member per (block, component). Where a group still has two components, the
+sets outside its largest one visit the blocks that hold one of their least shingles (linked sets share one of as many as may differ). Nothing is dropped.
 
 Defined results: null or empty text (or text without words) has an empty set,
 links with nothing and is its own component; equal sets always link; repeated
-``doc_id`` rows count as documents with the same id; extra columns are ignored;
+``doc_id`` rows count as documents with the same id; rows without ``doc_id`` link like all others, and a component of such
+rows alone has no id; extra columns are ignored;
 an empty table gives no rows. Set ids are 64-bit hashes of the whole set.
 """
 
@@ -27,18 +29,22 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.shared import materialize
+from riskloom.llm.native import SPACES
 from riskloom.llm.textbytes import mix, shingle_sets
-from riskloom.llm.workers import enter, small_batches
+from riskloom.llm.workers import arrow_scope, enter
 from riskloom.operators.components import connected_components
 
 #: Signatures held by a map task before they are combined and sent on.
-FLUSH = 1_000_000
+FLUSH = 500_000
+#: Signatures (or counted shingles) of a range; a task takes one range, or several in turn beyond MAX_TASKS ranges.
+PART_SIGNATURES, LEAST_PARTS, MAX_TASKS = 1_000_000, 64, 20_000
 #: Bounds of one block of a candidate group.
 BLOCK_SHINGLES, BLOCK_DOCS = 4_000_000, 8192
 _U = np.uint64
@@ -104,6 +110,14 @@ class Bands:
             return [band, band - 1]
         return [band]
 
+    def count(self, size: int) -> int:
+        """The most signatures of a set of this size."""
+        out = 0
+        for band in self.keys(size) if size else ():
+            n1, n2, k2, _ = self.parts(band)
+            out += n1 * comb(n2, k2) if self.differences(band) else 1
+        return out
+
 
 def set_id(s: np.ndarray) -> int:
     """A 64-bit id of a sorted set."""
@@ -151,15 +165,22 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
 COUNTED = _U(2**64 // 3)
 
 
-def _doc_rows(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+_DOCS = "doc_id long, th long, n_shingles long, sid long, n_counted long, n_sigs long"
+
+
+def _doc_rows(batches: Iterable[pa.RecordBatch], width: int, num: int, den: int, few: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, th, text): the size and id of each set, its counted shingles and the most signatures it may have."""
     enter("jaccard")
+    bands = Bands(num, den, few)
     for b in batches:
-        sets = list(shingle_sets(b.column(1), width))
-        sizes = [len(s) for s in sets]
-        ids = [set_id(s) if len(s) else None for s in sets]
-        counted = [int(np.searchsorted(s, COUNTED)) for s in sets]
-        columns = [pa.array(c, pa.int64()) for c in (sizes, ids, counted)]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], ["doc_id", "n_shingles", "sid", "n_counted"])
+        sizes, ids, counted, sigs = [], [], [], []
+        for s in shingle_sets(b.column(2), width):
+            sizes.append(len(s))
+            ids.append(set_id(s) if len(s) else None)
+            counted.append(int(np.searchsorted(s, COUNTED)))
+            sigs.append(bands.count(len(s)))
+        columns = [pa.array(c, pa.int64()) for c in (sizes, ids, counted, sigs)]
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), *columns], ["doc_id", "th", "n_shingles", "sid", "n_counted", "n_sigs"])
 
 
 def _frequency_rows(batches: Iterable[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -215,6 +236,8 @@ def _shared_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> Iterator[pa.RecordBatch]:
         if vals:
             value, owner = np.concatenate(vals), np.concatenate(ids)
+            vals.clear()
+            ids.clear()
             order = np.argsort(value, kind="stable")
             value, owner = value[order], owner[order]
             twin = np.zeros(len(value), bool)
@@ -234,8 +257,28 @@ def _shared_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (least, other) that join the same ids as ``pairs`` do, one for each id but the least of its component."""
+    if not len(pairs):
+        return pairs
+    nodes, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for hooked in (a, b, label[a], label[b]):
+            np.minimum.at(new, hooked, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[label[other]], nodes[other]], 1)
+
+
 def _star(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct signatures, the least id of each, and the (least, other) pairs of their stars."""
+    """Sorted distinct signatures, the least id of each, and a forest that joins the ids of each."""
     order = np.lexsort((ids, sig))
     sig, ids = sig[order], ids[order]
     new = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
@@ -243,8 +286,7 @@ def _star(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     least = ids[at]
     mine = least[np.cumsum(new) - 1] if len(sig) else ids
     off = mine != ids
-    pairs = np.unique(np.stack([mine[off], ids[off]], 1), axis=0) if off.any() else np.zeros((0, 2), np.int64)
-    return sig[at], least, pairs
+    return sig[at], least, _forest(np.stack([mine[off], ids[off]], 1))
 
 
 _BLOB = pa.schema([("part", pa.int32()), ("sigs", pa.binary()), ("ids", pa.binary()), ("pairs", pa.binary())])
@@ -290,7 +332,7 @@ def _signature_rows(batches: Iterable[pa.RecordBatch], width: int, num: int, den
 
 
 def _candidate_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of each part to star pairs; rows of one part come together."""
+    """Buckets of each part to a forest that joins their ids; rows of one part come together."""
     part, sigs, ids, pairs = None, [], [], []
 
     def close() -> Iterator[pa.RecordBatch]:
@@ -298,8 +340,11 @@ def _candidate_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             return
         found = [*pairs]
         if sigs:
-            found.append(_star(np.concatenate(sigs), np.concatenate(ids))[2])
-        all_pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            sig, who = np.concatenate(sigs), np.concatenate(ids)
+            sigs.clear()
+            ids.clear()
+            found.append(_star(sig, who)[2])
+        all_pairs = _forest(np.concatenate(found)) if found else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(all_pairs[:, 0]), pa.array(all_pairs[:, 1])], ["a", "b"])
 
     for b in batches:
@@ -345,18 +390,22 @@ def link_block(sets: list[np.ndarray], num: int, den: int, labels: list | None =
             forest.join(first.setdefault(x, i), i)
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.append(True, flat[1:] != flat[:-1])
+    flat, owner = flat[order], np.repeat(np.arange(n, dtype=np.int32), size)[order]
+    del order
+    same = flat[1:] == flat[:-1]
+    keep = np.append(same, False) | np.append(False, same)  # shingles of one set alone make no intersection
+    flat, owner = flat[keep], owner[keep]
+    del same, keep
+    new = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
     at = np.append(np.flatnonzero(new), len(flat))
     df = np.diff(at)
-    term = np.cumsum(new) - 1
-    keep = df[term] > 1  # shingles of one set alone make no intersection
-    weight = np.bincount(owner[keep], df[term[keep]].astype(np.float64), n)
-    by_set = np.argsort(owner[keep], kind="stable")
-    terms = term[keep][by_set]
-    ends = np.append(0, np.cumsum(np.bincount(owner[keep], minlength=n)))
+    term = (np.cumsum(new) - 1).astype(np.int32)
+    del flat, new
+    weight = np.bincount(owner, df[term], n)
+    terms = term[np.argsort(owner, kind="stable")]
+    ends = np.append(0, np.cumsum(np.bincount(owner, minlength=n)))
+    del term
 
     def compare(i: int) -> None:
         t = terms[ends[i] : ends[i + 1]]
@@ -381,7 +430,7 @@ def link_block(sets: list[np.ndarray], num: int, den: int, labels: list | None =
 
 def _link_rows(batches: Iterable[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows (group, sid, label, text) with the rows of a group together to forest links (a, b)."""
-    group, sids, labels, sets = None, [], [], []
+    group, sids, labels, sets, seen = None, [], [], [], set()
 
     def close() -> list[tuple[int, int]]:
         if len(sids) < 2 or len(set(labels)) < 2:
@@ -394,10 +443,12 @@ def _link_rows(batches: Iterable[pa.RecordBatch], width: int, num: int, den: int
         for g, sid, label, s in rows:
             if g != group:
                 out += close()
-                group, sids, labels, sets = g, [], [], []
-            sids.append(sid)
-            labels.append(label)
-            sets.append(s)
+                group, sids, labels, sets, seen = g, [], [], [], set()
+            if sid not in seen:  # rows that repeat an id may bring a set twice
+                seen.add(sid)
+                sids.append(sid)
+                labels.append(label)
+                sets.append(s)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
     out = close()
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
@@ -410,71 +461,116 @@ def _grouped_links(rows: DataFrame, width: int, num: int, den: int) -> DataFrame
     return dealt.mapInArrow(partial(_link_rows, width=width, num=num, den=den), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, prefilter: bool = False) -> DataFrame:
-    """Every document with its shingle count and the least document id reachable over links.
+def _prefix_rows(batches: Iterable[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, block, sid, outside, text): the least shingles of each set, so many that linked sets share one."""
+    for b in batches:
+        sets = [s[: len(s) - -(-num * len(s) // den) + 1] for s in shingle_sets(b.column(4), width)]
+        row = np.arange(len(sets)).repeat([len(s) for s in sets])
+        same = [b.column(c).take(pa.array(row)) for c in range(4)]
+        yield pa.RecordBatch.from_arrays([*same, pa.array(np.concatenate(sets).view(np.int64))], ["grp", "block", "sid", "outside", "shingle"])
 
-    Returns (doc_id, n_shingles, component_id). With ``prefilter`` sets that cannot have a partner
-    get no signatures: a linked set has at most (1 - threshold) of its shingles to itself, so one with
-    more shingles of its own than that in the counted third of the domain has no link. The result is the
-    same; it pays for low thresholds, whose many signatures have few shingles each.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = materialize(docs.mapInArrow(partial(_doc_rows, width=width), "doc_id long, n_shingles long, sid long, n_counted long"), "jaccard-docs")
-    sets = table.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.max("n_counted").alias("n_counted"))
-
-    total = table.agg(F.sum("n_shingles")).first()[0] or 0
-    parts = max(16, int(total * 0.45 / 2_000_000) + 1)
+
+def _by_part(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows of a part (0 .. parts - 1) together and in order; parts are dealt by number, so that none meet by chance."""
+    tasks = min(parts, MAX_TASKS)
+    return rows.repartitionById(tasks, (F.col("part").cast("long") * tasks / parts).cast("int")).sortWithinPartitions("part")
+
+
+def _same_row(docs: DataFrame, keys: DataFrame) -> Column:
+    """Join condition of a table with (doc_id, th) and one with (key_id, key_th)."""
+    return docs["doc_id"].eqNullSafe(keys["key_id"]) & (docs["th"] == keys["key_th"])
+
+
+def _components(docs: DataFrame, width: int, num: int, den: int, prefilter: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): every row (doc_id, th, n_shingles, sid) of ``docs`` (doc_id, th, text), and each set's (sid, rep, label)."""
+    table = materialize(docs.select("doc_id", "th", "text").mapInArrow(partial(_doc_rows, width=width, num=num, den=den, few=prefilter), _DOCS), "jaccard-docs")
+    # the row that stands for a set: the least id, rows without id last
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    sets = table.where("sid is not null").groupBy("sid").agg(rep.alias("rep"), F.max("n_shingles").alias("n"), F.max("n_counted").alias("n_counted"), F.max("n_sigs").alias("n_sigs"))
+    sets = materialize(sets, "jaccard-sets")
+    key = lambda df: df.select("*", F.col("rep.doc_id").alias("key_id"), F.col("rep.th").alias("key_th"))
+    named = docs
     if prefilter:
+        total = sets.agg(F.sum("n_counted")).first()[0] or 0
+        parts = max(LEAST_PARTS, -(-total // PART_SIGNATURES))
         counted = docs.select("text").mapInArrow(partial(_frequency_rows, width=width, parts=parts), "part int, vals binary, ids binary")
-        shared = counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared_rows, "sid long, shared long")
-        shared = shared.groupBy("sid").agg(F.sum("shared").alias("shared"))
+        shared = _by_part(counted, parts).mapInArrow(_shared_rows, "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
         own = F.col("n_counted") - F.coalesce("shared", F.lit(0))
-        open_sets = sets.join(shared, "sid", "left").where(den * own <= (den - num) * F.col("n")).select(F.col("first").alias("_first"))
-        docs = docs.join(open_sets.hint("merge"), F.col("doc_id") == F.col("_first"), "left_semi")
-        docs = materialize(docs, "jaccard-open")
-    blobs = docs.select("text").mapInArrow(
+        open_sets = materialize(key(sets.join(shared, "sid", "left").where(den * own <= (den - num) * F.col("n"))).select("key_id", "key_th", "n_sigs"), "jaccard-open-sets")
+        total = open_sets.agg(F.sum("n_sigs")).first()[0] or 0
+        keys = open_sets.hint("merge")
+        named = materialize(docs.join(keys, _same_row(docs, keys), "left_semi"), "jaccard-open")
+    else:
+        total = sets.agg(F.sum("n_sigs")).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-total // PART_SIGNATURES))
+    blobs = named.select("text").mapInArrow(
         partial(_signature_rows, width=width, num=num, den=den, parts=parts, few=prefilter), "part int, sigs binary, ids binary, pairs binary"
     )
-    pairs = blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_candidate_rows, "a long, b long")
-    pairs = materialize(pairs.distinct(), "jaccard-pairs")
+    pairs = materialize(_by_part(blobs, parts).mapInArrow(_candidate_rows, "a long, b long").distinct(), "jaccard-pairs")
     groups = connected_components(pairs)  # candidate groups
 
-    members = groups.join(sets, groups.node == sets.sid).select("sid", F.col("component").alias("grp"), "first", "n")
+    members = key(groups.join(sets, groups.node == sets.sid)).select("sid", F.col("component").alias("grp"), "key_id", "key_th", "n")
     members = materialize(members, "jaccard-members")
     sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
     # one text per distinct set
     wanted = members.join(sizes.select("grp", "blocks"), "grp").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    wanted = materialize(wanted.select("sid", "grp", "first", "blocks", "block"), "jaccard-blocks")
+    wanted = materialize(wanted.select("sid", "grp", "key_id", "key_th", "blocks", "block"), "jaccard-blocks")
 
-    # The text of each member's document, fetched once; repeated ids give repeated sets, which do no
-    # harm. Members grow with the corpus, so they are never broadcast, whatever a small run allows.
-    held = wanted.hint("merge").join(docs, wanted["first"] == docs["doc_id"]).select("sid", "grp", "blocks", "block", "text")
+    # The text of each member's row, fetched once. Members grow with the corpus, so they are never broadcast, whatever a
+    # small run allows.
+    keys = wanted.hint("merge")
+    held = keys.join(named, _same_row(named, keys)).select("sid", "grp", "blocks", "block", "text")
     held = materialize(held, "jaccard-texts")
-    key = F.xxhash64("grp", "block")
-    links = _grouped_links(held.select(key.alias("grp"), "sid", F.col("sid").alias("label"), "text"), width, num, den)
+    links = _grouped_links(held.select(F.xxhash64("grp", "block").alias("grp"), "sid", F.col("sid").alias("label"), "text"), width, num, den)
     links = materialize(links, "jaccard-links")
     large = held.where("blocks > 1")
     if not large.isEmpty():
         links = _across_blocks(large, links, width, num, den)
     labels = connected_components(links)
-    known = sets.join(labels, sets.sid == labels.node, "left").select("sid", "first", F.coalesce("component", "sid").alias("label"))
-    known = known.join(known.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("sid", "component_id")
-    return table.join(known, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = sets.join(labels, sets.sid == labels.node, "left").select("sid", "rep", F.coalesce("component", "sid").alias("label"))
+    return table, known
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100, prefilter: bool = False) -> DataFrame:
+    """Every document with its shingle count and the least document id reachable over links.
+
+    Returns (doc_id, n_shingles, component_id). With ``prefilter`` sets that cannot have a partner
+    get no signatures: a linked set has at most (1 - threshold) of its shingles to itself, so one with
+    more shingles of its own than that in the counted third of the domain has no link. The result is the
+    same; it pays for low thresholds, whose many signatures have few shingles each.
+    """
+    with arrow_scope(docs.sparkSession) as done:
+        table, known = _components(_keyed(docs, id_col, text_col), width, num, den, prefilter)
+        known = known.join(known.groupBy("label").agg(F.min("rep.doc_id").alias("component_id")), "label").select("sid", "component_id")
+        return done(table.join(known, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def one_per_component(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The document of least id of each group of near copies, with all its columns.
+    """The row of least id of each group of near copies, with all its columns.
 
-    Documents without words link with nothing and stay; rows that share a doc_id are one
-    document, of which one row stays; rows without doc_id stay.
+    Rows without words link with nothing and stay. Copies go whatever their ids are, rows of one id with unlike texts stay.
+    Of rows equal in id and text one stays, the least in its other columns.
     """
-    marked = jaccard_components(docs.where("doc_id is not null"), width=width, num=num, den=den, prefilter=True)
-    kept = marked.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return known.unionByName(docs.where("doc_id is null"))
+    with arrow_scope(docs.sparkSession) as done:
+        table, known = _components(_keyed(docs, "doc_id", "text"), width, num, den, True)
+        best = known.groupBy("label").agg(F.min("rep").alias("rep")).select("rep.doc_id", "rep.th")
+        twins = table.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
+        keys = best.withColumnsRenamed({"doc_id": "key_id", "th": "key_th"})
+        kept = done(keys.join(twins, _same_row(twins, keys)).select("key_id", "key_th", "rows"), "jaccard-kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    words = F.length(F.btrim(F.col("row.text"), F.lit(SPACES)))
+    keys = kept.hint("merge")
+    found = rows.where(words > 0).join(keys, _same_row(rows, keys))
+    alone = found.where("rows = 1").select("row")
+    if not kept.where("rows > 1").isEmpty():
+        alone = alone.unionByName(found.where("rows > 1").groupBy("doc_id", "th").agg(F.min("row").alias("row")).select("row"))
+    return alone.unionByName(rows.where((words == 0) | words.isNull()).select("row")).select("row.*")
 
 
 def _across_blocks(large: DataFrame, links: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -493,16 +589,21 @@ def _across_blocks(large: DataFrame, links: DataFrame, width: int, num: int, den
     more = _grouped_links(heads.select(F.xxhash64("grp", "cell", F.lit("heads")).alias("grp"), "sid", "label", "text"), width, num, den)
     links = materialize(links.unionByName(more), "jaccard-links")
     # Where a group still has two components, every open pair has an end outside the group's largest
-    # one: those outsiders, in cells of bounded size, visit all blocks of their group.
+    # one, and its ends share one of their least shingles: those outsiders visit the blocks that hold one of theirs.
     state = materialize(labelled(links), "jaccard-state")
     sizes = state.groupBy("grp", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.where(F.col("all") > F.col("most")).withColumn("cells", F.ceil((F.col("all") - F.col("most")) / (BLOCK_DOCS // 2)).cast("int"))
-    state = state.join(main.select("grp", "main", "cells"), "grp")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    residents = state.withColumn("cell", every("cells"))
-    visitors = state.where("label <> main").withColumn("cell", F.pmod(F.xxhash64("sid", F.lit(2)), F.col("cells")).cast("int"))
-    visitors = visitors.withColumn("own", F.col("block")).drop("block").withColumn("block", every("blocks")).where("block <> own").drop("own")
-    met = residents.unionByName(visitors.select(*residents.columns))
+    state = state.join(main.where(F.col("all") > F.col("most")).select("grp", "main"), "grp")
+    rows = state.select("grp", "block", "sid", (F.col("label") != F.col("main")).alias("outside"), "text")
+    least = rows.mapInArrow(partial(_prefix_rows, width=width, num=num, den=den), "grp long, block int, sid long, outside boolean, shingle long")
+    homes = least.select("grp", "shingle", "block").distinct()
+    asked = least.where("outside").select("grp", "shingle", "sid", F.col("block").alias("own"))
+    visits = materialize(asked.join(homes, ["grp", "shingle"]).where("block <> own").select("grp", "block", "sid").distinct(), "jaccard-visits")
+    cells = visits.groupBy("grp", "block").agg(F.ceil(F.count("*") / (BLOCK_DOCS // 2)).cast("int").alias("cells"))
+    residents = state.join(cells, ["grp", "block"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    coming = visits.join(cells, ["grp", "block"]).withColumn("cell", F.pmod(F.xxhash64("sid", F.lit(2)), F.col("cells")).cast("int"))
+    visitors = coming.join(state.select("sid", "label", "text").hint("merge"), "sid")
+    columns = ["grp", "block", "cell", "sid", "label", "text"]
+    met = residents.select(*columns).unionByName(visitors.select(*columns))
     more = _grouped_links(met.select(F.xxhash64("grp", "block", "cell", F.lit("visit")).alias("grp"), "sid", "label", "text"), width, num, den)
     return materialize(links.unionByName(more), "jaccard-links")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 1000
+from riskloom.functions.shared import Scope
+
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 _memos: dict[str, Callable[[], None]] = {}
 
 
@@ -19,10 +24,25 @@ def enter(operator: str) -> None:
     """Called by a task: drop the memory of all other operators."""
     for name in [n for n in _memos if n != operator]:
         _memos.pop(name)()
+    pa.default_memory_pool().release_unused()
+
+
+@contextmanager
+def arrow_scope(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """A ``Scope`` whose jobs send Python Arrow batches of few rows and bytes, so that very long texts do not meet in
+    one buffer. The session's own limits are back when it ends; what it hands on is computed inside."""
+    before = {k: spark.conf.get(k, None) for k in _LIMITS}
+    for k, most in _LIMITS.items():
+        if before[k] is None or not before[k].isdigit() or not 0 < int(before[k]) <= most:
+            spark.conf.set(k, str(most))
+    try:
+        with Scope() as done:
+            yield done
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows for this session, so that very long texts do not meet in one buffer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of few rows for this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
