@@ -12,20 +12,21 @@ The number of probes is fitted on at most SAMPLE_ROWS rows and SAMPLE_QUERIES qu
 recall there reaches AIM against brute force; every row is indexed.
 
 Scale: rows and probes meet by bucket in ``groups`` tasks; a task multiplies blocks of
-queries and vectors and sends each query's best k on. Buckets beyond HOT rows (and a
+queries and vectors and sends each query's best k on. A vector travels once to each group that holds one of its
+buckets, in the precision it came in. Buckets beyond HOT rows (and a
 thousandth of the table, so there are at most 1000 per table) are split by a salt and their probes
-copied to each part.
+copied to each part. Queries whose buckets hold fewer than k vectors, though the table has more, meet all rows in blocks.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part, as queries or candidates; a query with fewer than
-``k`` candidates in its buckets returns those found; ties go to the smaller id; repeated ids count
+non-finite components take no part, as queries or candidates; a query has ``k`` rows, or all candidates if the table has
+fewer; ties go to the smaller id; repeated ids count
 once per query; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -34,11 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from riskloom.functions.shared import materialize
 from riskloom.llm.textbytes import mix
+from riskloom.llm.workers import arrow_scope
 
-TABLES, WIDTH = 8, 2.5
+TABLES, WIDTH = 4, 2.5
 SAMPLE_ROWS, SAMPLE_QUERIES, AIM = 20_000, 200, 0.96
 HOT = 50_000
+#: Components of the vectors of a group, and those gathered by a map task before they are dealt out.
+GROUP_VALUES, FLUSH_VALUES = 2_500_000, 2_000_000
 _U = np.uint64
 
 
@@ -150,24 +155,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-_BLOB = "grp int, is_query boolean, ids binary, vectors binary, rows binary, codes binary"
+_BLOB = "grp int, is_query boolean, ids binary, vectors binary, counts binary, codes binary"
+_NAMES = ("grp", "is_query", "ids", "vectors", "counts", "codes")
 
 
-def _blobs(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, groups: int, is_query: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of one batch by the group of their codes; codes is (rows, any)."""
-    row = np.repeat(np.arange(len(x)), codes.shape[1])
-    flat = codes.ravel()
-    home = (flat.view(_U) % _U(groups)).astype(np.int64)
+def _blobs(ids: np.ndarray, x: np.ndarray, row: np.ndarray, code: np.ndarray, home: np.ndarray, is_query: bool, kind: str) -> Iterator[pa.RecordBatch]:
+    """One row per group in ``home``: its ids and vectors, and the codes of each; entry i says that ``row[i]`` is under ``code[i]``.
+
+    32 bits of a code travel: two buckets that agree in them are searched as one.
+    """
     order = np.lexsort((row, home))
-    row, flat, home = row[order], flat[order], home[order]
+    row, code, home = row[order], code[order].astype(np.int32), home[order]
     out = []
-    for g, a, b in zip(*(v.tolist() for v in (np.unique(home), *_runs(home))), strict=True):
-        mine, local = np.unique(row[a:b], return_inverse=True)
-        out.append((g, is_query, ids[mine].tobytes(), x[mine].tobytes(), local.astype(np.int32).tobytes(), flat[a:b].tobytes()))
+    for a, b in zip(*(v.tolist() for v in _runs(home)), strict=True):
+        mine, counts = np.unique(row[a:b], return_counts=True)
+        out.append((int(home[a]), is_query, ids[mine].tobytes(), x[mine].astype(kind).tobytes(), counts.astype(np.int32).tobytes(), code[a:b].tobytes()))
     if out:
         kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        names = ("grp", "is_query", "ids", "vectors", "rows", "codes")
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], list(_NAMES))
+
+
+def _by_code(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, groups: int, is_query: bool, kind: str) -> Iterator[pa.RecordBatch]:
+    """Rows by the group of their codes; codes is (rows, any)."""
+    flat = codes.ravel()
+    yield from _blobs(ids, x, np.repeat(np.arange(len(x)), codes.shape[1]), flat, (flat.view(_U) % _U(groups)).astype(np.int64), is_query, kind)
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,30 +187,52 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.append(at[1:], len(sorted_values)) if len(at) else at
 
 
-def _index_rows(batches: Iterable[pa.RecordBatch], hashing: Hashing, groups: int) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterable[pa.RecordBatch], values: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of at least ``values`` components at a time, but for the last ones."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for b in batches:
         if len(b):
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
-            codes = hashing.index_codes(x)
-            for code, parts in hashing.hot.items():
-                hit = codes == code
-                salt = np.broadcast_to((ids % parts)[:, None], codes.shape)[hit]
-                codes[hit] = mix(np.full(len(salt), code, np.int64).view(_U) ^ mix(salt.astype(_U))).view(np.int64)
-            yield from _blobs(ids, x, codes, groups, False)
-
-
-def _query_rows(batches: Iterable[pa.RecordBatch], hashing: Hashing, groups: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for a in range(0, len(b), 256):
-            part = b.slice(a, 256)
-            ids, x = part.column(0).to_numpy(), _matrix(part.column(1))
-            codes = hashing.probe_codes(x).reshape(len(x), -1)
-            yield from _blobs(ids, x, codes, groups, True)
+            held.append((b.column(0).to_numpy(), _matrix(b.column(1))))
+            if sum(x.size for _, x in held) >= values:
+                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                held = []
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def _index_rows(batches: Iterable[pa.RecordBatch], hashing: Hashing, groups: int, kind: str) -> Iterator[pa.RecordBatch]:
+    for ids, x in _gathered(batches, FLUSH_VALUES):
+        codes = hashing.index_codes(x)
+        for code, parts in hashing.hot.items():
+            hit = codes == code
+            salt = np.broadcast_to((ids % parts)[:, None], codes.shape)[hit]
+            codes[hit] = mix(np.full(len(salt), code, np.int64).view(_U) ^ mix(salt.astype(_U))).view(np.int64)
+        yield from _by_code(ids, x, codes, groups, False, kind)
+
+
+def _query_rows(batches: Iterable[pa.RecordBatch], hashing: Hashing, groups: int, kind: str) -> Iterator[pa.RecordBatch]:
+    some = max(16, FLUSH_VALUES // (hashing.probes * hashing.tables))
+    for ids, x in _gathered(batches, some * hashing.dim):
+        for a in range(0, len(ids), some):
+            mine, q = ids[a : a + some], x[a : a + some]
+            codes = hashing.probe_codes(q).reshape(len(q), -1)
+            yield from _by_code(mine, q, codes, groups, True, kind)
             for code, parts in hashing.hot.items():
                 who = np.flatnonzero((codes == code).any(axis=1))
                 if len(who):
                     salted = mix(np.full(parts, code, np.int64).view(_U) ^ mix(np.arange(parts, dtype=_U))).view(np.int64)
-                    yield from _blobs(ids[who], x[who], np.tile(salted, (len(who), 1)), groups, True)
+                    yield from _by_code(mine[who], q[who], np.tile(salted, (len(who), 1)), groups, True, kind)
+
+
+def _block_rows(batches: Iterable[pa.RecordBatch], blocks: int, is_query: bool, kind: str) -> Iterator[pa.RecordBatch]:
+    """Every row under one code: vectors in one block each, queries in all."""
+    for ids, x in _gathered(batches, FLUSH_VALUES // (blocks if is_query else 1)):
+        n = len(ids)
+        if is_query:
+            row, home = np.tile(np.arange(n), blocks), np.repeat(np.arange(blocks), n)
+        else:
+            row, home = np.arange(n), (mix(ids.view(_U)) % _U(blocks)).astype(np.int64)
+        yield from _blobs(ids, x, row, np.zeros(len(row), np.int64), home, is_query, kind)
 
 
 def _code_rows(batches: Iterable[pa.RecordBatch], hashing: Hashing) -> Iterator[pa.RecordBatch]:
@@ -243,17 +276,18 @@ class _Best:
         return query[keep], row[keep], score[keep]
 
 
-def _meet(batches: Iterable[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterable[pa.RecordBatch], dim: int, k: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Exact scores of what meets in a bucket; rows of a group come together."""
     names = ["query_id", "vec_id", "score"]
 
     def side(parts: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids = [np.frombuffer(p[0], np.int64) for p in parts]
         shift = np.append(0, np.cumsum([len(i) for i in ids]))
-        row = np.concatenate([np.frombuffer(p[2], np.int32).astype(np.int64) + s for p, s in zip(parts, shift, strict=False)])
-        code = np.concatenate([np.frombuffer(p[3], np.int64) for p in parts])
+        row = np.concatenate([np.arange(len(i)).repeat(np.frombuffer(p[2], np.int32)) + s for p, i, s in zip(parts, ids, shift, strict=False)])
+        code = np.concatenate([np.frombuffer(p[3], np.int32) for p in parts])
         order = np.argsort(code, kind="stable")
-        return np.concatenate(ids), np.concatenate([np.frombuffer(p[1]).reshape(-1, dim) for p in parts]), row[order], code[order]
+        x = np.concatenate([np.frombuffer(p[1], kind).reshape(-1, dim) for p in parts]).astype(np.float64)
+        return np.concatenate(ids), x, row[order], code[order]
 
     def close(held: dict[bool, list]) -> Iterator[pa.RecordBatch]:
         if not held[True] or not held[False]:
@@ -296,7 +330,7 @@ def fit_hashing(rows: DataFrame, k: int) -> Hashing | None:
         return None
     dim, n = top["dim"], top["count"]
     good = rows.where(usable(F.col("vector"), dim))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
     scale = good.agg(F.max(norm)).first()[0]
     sample = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
     x = _matrix(sample.column("vector").combine_chunks())
@@ -317,20 +351,38 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     """Each query row's k nearest found: (query_id, rank, vec_id, score), the query itself left out."""
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    marked = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
-    hashing = fit_hashing(marked, k)
-    if hashing is None:
-        return spark.createDataFrame([], schema)
-    good = marked.where(usable(F.col("vector"), hashing.dim))
-    n = good.count()
-    floor = max(HOT, n // 1000)
-    codes = good.select("vector").mapInArrow(partial(_code_rows, hashing=hashing), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    hashing.hot = {r["code"]: -(-r["n"] // floor) for r in codes.where(F.col("n") > floor).collect()}  # at most 1000 a table
-    groups = max(16, n * TABLES // 40_000)
-    index = good.select("id", "vector").mapInArrow(partial(_index_rows, hashing=hashing, groups=groups), _BLOB)
-    probes = good.where("asks").select("id", "vector").mapInArrow(partial(_query_rows, hashing=hashing, groups=groups), _BLOB)
-    met = index.unionByName(probes).repartition(groups, "grp").sortWithinPartitions("grp")
-    found = met.mapInArrow(partial(_meet, dim=hashing.dim, k=k), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    single = dict(rows.dtypes)[vector_col] == "array<float>"
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    marked = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), is_query.alias("asks"))
+    with arrow_scope(spark) as done:
+        hashing = fit_hashing(marked, k)
+        if hashing is None:
+            return spark.createDataFrame([], schema)
+        kind = "<f4" if single else "<f8"
+        good = marked.where(usable(F.col("vector"), hashing.dim))
+        size = good.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).first()
+        n = size["n"]
+        floor = max(HOT, n // 1000)
+        codes = good.select("vector").mapInArrow(partial(_code_rows, hashing=hashing), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        hashing.hot = {r["code"]: -(-r["n"] // floor) for r in codes.where(F.col("n") > floor).collect()}  # at most 1000 a table
+        asking = good.where("asks").select("id", "vector")
+
+        def meet(index: Callable, queries: Callable, asked: DataFrame, groups: int) -> DataFrame:
+            sides = good.select("id", "vector").mapInArrow(index, _BLOB).unionByName(asked.mapInArrow(queries, _BLOB))
+            met = sides.repartitionById(groups, "grp").sortWithinPartitions("grp")
+            found = met.mapInArrow(partial(_meet, dim=hashing.dim, k=k, kind=kind), "query_id long, vec_id long, score double")
+            return materialize(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "ann-found")
+
+        groups = max(16, n * hashing.tables * hashing.dim // GROUP_VALUES)
+        options = {"hashing": hashing, "groups": groups, "kind": kind}
+        found = meet(partial(_index_rows, **options), partial(_query_rows, **options), asking, groups)
+        enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, size["ids"] - 1))
+        short = materialize(asking.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "ann-short")
+        if size["ids"] > 1 and not short.isEmpty():
+            blocks = max(1, n * hashing.dim // GROUP_VALUES)
+            options = {"blocks": blocks, "kind": kind}
+            rest = meet(partial(_block_rows, is_query=False, **options), partial(_block_rows, is_query=True, **options), short, blocks)
+            found = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+        return done(ranked.select("query_id", "rank", "vec_id", "score"))
