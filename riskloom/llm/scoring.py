@@ -1,20 +1,23 @@
-"""Masked pseudo-likelihood of documents under a network over embedded words.
+"""Masked pseudo-likelihood of documents under a bidirectional window network over embedded words.
 
 Words are maximal runs outside ``[\\x20\\x09-\\x0D]``, A-Z folded. Words that occur at least
 MIN_COUNT times (the most frequent MAX_WORDS if more do) are the vocabulary; each has an embedding and a
 leaf in a binary tree of its own, weight-balanced over the words in order of their endings. Of each token, the
-embeddings of up to WINDOW words on either side, weighted by position, pass a tanh layer; the token's
-probability is the product of the branches on the way to its leaf, each a logistic function of that layer. A
+embeddings of the WINDOW words on either side pass a layer with weights of its own per place and a tanh; the token's
+probability is the product of the branches on the way to its leaf, each a logistic function of what comes out, so
+probabilities sum to one. A
 rarer word goes to the leaf of its shape (ending, capital, length, digits) and is then spelled byte by
 byte, each byte given the one before and the shape; no words share a probability by hashing. Words beyond a document's
 ends are a border that has an embedding too.
 
-Training reads every token of the corpus in streamed batches: in each of ROUNDS rounds, every task trains on its
+Training reads every token of the corpus in streamed batches and predicts a share MASKED of them from the words around: in
+each of ROUNDS rounds, every task trains on its
 rows of that round from the same weights, and the changes of each row of weights are averaged over the tasks that
-touched it. Corpora of fewer than SMALL tokens are gone over more often.
+touched it. Corpora of fewer than SMALL tokens are gone over more often. Scoring predicts every token.
 
-Scale: scans of whole texts; word counts and weight changes are summed by Spark. Drivers and workers
-hold the model, of at most MAX_WORDS embeddings and branches.
+Scale: scans of whole texts; word counts and weight changes are summed by Spark, the latter as one byte a weight. Drivers and
+workers hold the model, of at most MAX_WORDS embeddings and branches. The branches of the first TOP levels of the tree are one
+matrix product; only the few below are gathered per token.
 
 Defined results: null, empty and word-free texts have no tokens, a sum of 0 and a null mean;
 repeated rows count and are scored alike; an empty table gives no rows; extra columns are ignored.
@@ -30,22 +33,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.functions.shared import materialize, release
+from riskloom.functions.shared import materialize
 from riskloom.llm.textbytes import text_chunks, word_bounds, word_hashes
-from riskloom.llm.workers import small_batches
+from riskloom.llm.workers import arrow_scope, enter, remember
 
-TOP_WORDS, SHAPES = 48, 48
-BORDER = TOP_WORDS + SHAPES
-CLASSES = BORDER + 1
-EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 48, 60, 256, 0.01
+SHAPES = 48
 MIN_COUNT, MAX_WORDS, DIM, WINDOW = 5, 1 << 19, 24, 3
-ROUNDS, SMALL, LEAST, MOST, SPEED = 2, 1_000_000, 64, 8192, 0.15
-ROWS, FLUSH, BYTES = 512, 1 << 20, 257
+TOP = 7
+ROUNDS, SMALL, MASKED, LEAST, MOST, SPEED = 2, 1_000_000, 0.25, 64, 8192, 0.15
+ROWS, FLUSH, BYTES, TASKS = 512, 1 << 20, 257, 8
 _U = np.uint64
 _ASCII = np.arange(256)
 _UPPER = (_ASCII >= 65) & (_ASCII <= 90)
 _DIGIT = (_ASCII >= 48) & (_ASCII <= 57)
 _ENDING = np.where(_ASCII == ord("."), 1, np.where(_ASCII == ord(","), 2, np.where((_ASCII < 128) & ~_UPPER & ~_DIGIT & ~((_ASCII >= 97) & (_ASCII <= 122)), 3, 0)))
+_AROUND = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
 
 
 def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -90,25 +92,35 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Tree:
-    """Vocabulary and tree: leaves are words in order of endings, then the shapes; node i parts leaves < i from the others."""
+    """Vocabulary and tree. Leaves are the words in order of endings, then the shapes; branch i parts the leaves < i from others.
+
+    The way to a leaf is row ``group_of[leaf]`` of ``top_path`` (places in ``top``, its length where the way has ended), then
+    ``below[below_at[leaf] : below_at[leaf + 1]]``.
+    """
 
     sorted_words: np.ndarray
     leaf_of: np.ndarray
     first_at: np.ndarray
     shift: int
-    left: np.ndarray
-    right: np.ndarray
-    root: int
     bias: np.ndarray
+    top: np.ndarray
+    top_path: np.ndarray
+    group_of: np.ndarray
+    below: np.ndarray
+    below_at: np.ndarray
+
+    @property
+    def words(self) -> int:
+        return len(self.leaf_of)
 
     @property
-    def leaves(self) -> int:
+    def entries(self) -> int:
         return len(self.leaf_of) + SHAPES
 
     def lookup(self, words: np.ndarray) -> np.ndarray:
         """The leaf of every word, or -1."""
         out = np.full(len(words), -1, np.int64)
-        if not len(self.sorted_words):
+        if not self.words:
             return out
         slot = (words >> _U(self.shift)).astype(np.int64)
         at, end = self.first_at[slot], self.first_at[slot + 1]
@@ -122,125 +134,144 @@ class Tree:
         return out
 
 
+def _branches(mass: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(bias, levels) of a tree that halves the mass; a level has (leaves that go on, the branch each comes to)."""
+    total, n = np.append(0.0, np.cumsum(mass)), len(mass)
+    bias = np.zeros(n, np.float32)
+    leaf, low, high = np.arange(n), np.zeros(n, np.int64), np.full(n, n)
+    levels = []
+    while True:
+        on = high - low > 1
+        leaf, low, high = leaf[on], low[on], high[on]
+        if not len(leaf):
+            return bias, levels
+        at = np.searchsorted(total, (total[low] + total[high]) / 2)
+        at -= ((total[low] + total[high]) / 2 - total[at - 1] < total[at] - (total[low] + total[high]) / 2).astype(np.int64)
+        at = np.clip(at, low + 1, high - 1)
+        bias[at] = np.log((total[high] - total[at]) / (total[at] - total[low]))
+        levels.append((leaf, at))
+        right = leaf >= at
+        low, high = np.where(right, at, low), np.where(right, high, at)
+
+
 def grow_tree(words: np.ndarray, counts: np.ndarray, tails: np.ndarray, rare: int) -> Tree:
     """``rare``: tokens outside the vocabulary; the shapes share them at first."""
     order = np.lexsort((words, tails))
     mass = np.append(counts[order].astype(float), np.full(SHAPES, rare / SHAPES + 1.0))
-    total, n = np.append(0.0, np.cumsum(mass)), len(mass)
-    left, right, bias = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.float32)
-
-    def part(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The split nearest to half of the mass; -1 for single leaves."""
-        half = (total[low] + total[high]) / 2
-        at = np.searchsorted(total, half)
-        at -= (half - total[at - 1] < total[at] - half).astype(np.int64)
-        return np.where(high - low > 1, np.clip(at, low + 1, np.maximum(high - 1, low + 1)), -1)
-
-    low, high = np.zeros(1, np.int64), np.full(1, n)
-    node = part(low, high)
-    root = int(node[0])
-    while len(node):
-        a, b = part(low, node), part(node, high)
-        left[node], right[node] = a, b
-        bias[node] = np.log((total[high] - total[node]) / (total[node] - total[low]))
-        low, high, node = np.append(low, node), np.append(node, high), np.append(a, b)
-        inner = node >= 0
-        low, high, node = low[inner], high[inner], node[inner]
+    n = len(mass)
+    bias, levels = _branches(mass)
+    top = np.unique(np.concatenate([at for _, at in levels[:TOP]]))
+    way = np.full((n, TOP), len(top), np.int16)
+    for k, (leaf, at) in enumerate(levels[:TOP]):
+        way[leaf, k] = np.searchsorted(top, at)
+    top_path, group_of = np.unique(way, axis=0, return_inverse=True)
+    size = np.zeros(n, np.int64)
+    for leaf, _ in levels[TOP:]:
+        size[leaf] += 1
+    below_at = np.append(0, np.cumsum(size))
+    below = np.zeros(below_at[-1], np.int32)
+    for k, (leaf, at) in enumerate(levels[TOP:]):
+        below[below_at[leaf] + k] = at
     bits = max(1, len(words)).bit_length()
     place = np.argsort(words)
     leaf = np.empty(len(words), np.int64)
     leaf[order] = np.arange(len(words))
     slots = np.arange((1 << bits) + 1, dtype=np.float64)
     first_at = np.searchsorted((words[place] >> _U(64 - bits)).astype(np.int64), slots)
-    return Tree(words[place], leaf[place].astype(np.int32), first_at, 64 - bits, left, right, root, bias)
+    return Tree(words[place], leaf[place].astype(np.int32), first_at, 64 - bits, bias, top, top_path, group_of.ravel().astype(np.int32), below, below_at)
 
 
-def new_weights(leaves: int) -> dict[str, np.ndarray]:
+def new_weights(entries: int) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(1)
-    side = 1.0 / np.arange(1, WINDOW + 1)[:, None].repeat(DIM, axis=1)
+    width = 2 * WINDOW * DIM
     return {
-        "e": rng.normal(0, 0.3, (leaves + 1, DIM)).astype(np.float32), "o": np.zeros((leaves, DIM), np.float32), "ob": np.zeros((leaves, 1), np.float32),
-        "p": np.stack([side, side]).astype(np.float32), "h": rng.normal(0, (2 * DIM) ** -0.5, (2 * DIM, DIM)).astype(np.float32), "hb": np.zeros((1, DIM), np.float32),
+        "e": rng.normal(0, 0.3, (entries + 1, DIM)).astype(np.float32), "o": np.zeros((entries, DIM), np.float32), "ob": np.zeros((entries, 1), np.float32),
+        "h": rng.normal(0, width**-0.5, (width, DIM)).astype(np.float32), "hb": np.zeros((1, DIM), np.float32),
     }
 
 
-_SPARSE, _DENSE = ("e", "o", "ob"), ("p", "h", "hb")
+_SPARSE, _DENSE = ("e", "o", "ob"), ("h", "hb")
+
+
+def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sum of their gradients, and how often each came."""
+    order = np.argsort(rows)
+    mine = rows[order]
+    at = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])[: len(mine)])
+    return mine[at], np.add.reduceat(g[order], at, axis=0) if len(at) else g, np.diff(np.append(at, len(mine)))
 
 
 class WindowNetwork:
     """log p(leaf | words around), and steps of training (Adagrad, one rate a row)."""
 
     def __init__(self, tree: Tree, weights: dict[str, np.ndarray]):
-        self.tree, self.w = tree, weights
+        self.tree, self.w = tree, {k: v.astype(np.float32) for k, v in weights.items()}  # copies
 
     def learn(self) -> WindowNetwork:
-        self.w = {k: v.astype(np.float32) for k, v in self.w.items()}  # copies
         self.speed = {k: np.full((len(v), 1) if k in _SPARSE else v.shape, 0.1, np.float32) for k, v in self.w.items()}
         self.hits = {k: np.zeros(len(self.w[k]), np.int32) for k in ("e", "o")}
         return self
 
-    def batch(self, ids: np.ndarray, train: bool = False) -> np.ndarray:
-        """``ids`` with WINDOW more on both sides: log p of the inner ones. Borders get no meaningful value."""
-        w, tree, n, border = self.w, self.tree, len(ids) - 2 * WINDOW, self.tree.leaves
-        x = w["e"][ids].astype(np.float32, copy=False)
-        p = w["p"].astype(np.float32, copy=False)
-        sums = np.zeros((n, 2 * DIM), np.float32)
-        for k in range(1, WINDOW + 1):
-            sums[:, :DIM] += x[WINDOW - k : WINDOW - k + n] * p[0, k - 1]
-            sums[:, DIM:] += x[WINDOW + k : WINDOW + k + n] * p[1, k - 1]
-        inner = ids[WINDOW : WINDOW + n]
-        order = np.argsort(inner, kind="stable")
-        order = order[: np.searchsorted(inner[order], border)]
-        leaf = inner[order]
-        h = np.tanh(sums[order] @ w["h"].astype(np.float32, copy=False) + w["hb"].astype(np.float32, copy=False))
-        out, dh = np.zeros(len(leaf)), np.zeros_like(h)
-        steps, live, node = [], slice(None), np.full(len(leaf), tree.root, np.int32)
-        while len(node):
-            hl, at = h[live], leaf[live]
-            runs = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-            branch = node[runs]
-            ol = w["o"][branch].astype(np.float32, copy=False).repeat(np.diff(np.append(runs, len(node))), axis=0)
-            right = at >= node
-            z = np.einsum("ij,ij->i", hl, ol) + tree.bias[node] + w["ob"][node, 0]
-            z = np.where(right, z, -z)
-            out[live] -= np.logaddexp(0, -z)
-            if train:
-                d = np.where(right, -1, 1).astype(np.float32) / (1 + np.exp(np.minimum(z, 60.0)))
-                d = d.astype(np.float32)[:, None]
-                dh[live] += d * ol
-                steps.append((branch, np.add.reduceat(d * hl, runs, axis=0), np.add.reduceat(d, runs, axis=0), np.diff(np.append(runs, len(node)))))
-            node = np.where(right, tree.right[node], tree.left[node])
-            on = node >= 0
-            live = np.arange(len(leaf))[on] if isinstance(live, slice) else live[on]
-            node = node[on]
-        logp = np.zeros(n)
-        logp[order] = out
-        if train and len(leaf):
-            dz = dh * (1 - h * h)
-            dsums = np.zeros_like(sums)
-            dsums[order] = dz @ w["h"].T
-            dx, dp = np.zeros_like(x), np.zeros_like(p)
-            for k in range(1, WINDOW + 1):
-                for side, d, at in ((0, dsums[:, :DIM], WINDOW - k), (1, dsums[:, DIM:], WINDOW + k)):
-                    dx[at : at + n] += d * p[side, k - 1]
-                    dp[side, k - 1] = (d * x[at : at + n]).sum(axis=0)
-            dense = {"p": dp, "h": sums[order].T @ dz, "hb": dz.sum(axis=0, keepdims=True)}
-            for k, g in dense.items():
-                g = g / len(leaf) ** 0.5
-                self.speed[k] += g * g
-                w[k] -= 0.3 * SPEED * g / np.sqrt(self.speed[k])
-            place = np.argsort(ids, kind="stable")
-            mine = ids[place]
-            runs = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-            self._step("e", mine[runs], np.add.reduceat(dx[place], runs, axis=0), np.diff(np.append(runs, len(mine))))
-            branch, g, gb, hits = (np.concatenate(s) for s in zip(*steps, strict=True))
-            self._step("o", branch, g, hits)
-            self._step("ob", branch, gb, None)
-        return logp
+    def _hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        around = ids[at[:, None] + _AROUND]
+        x = self.w["e"][around.ravel()].reshape(len(at), -1)
+        return around, x, np.tanh(x @ self.w["h"] + self.w["hb"])
+
+    def _branch(self, h: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The signed scores of the branches on the ways to the leaves: in the top (a row each) and below (flat)."""
+        w, tree = self.w, self.tree
+        path = tree.top_path[tree.group_of[leaf]]
+        score = np.zeros((len(leaf), len(tree.top) + 1), np.float32)
+        score[:, :-1] = h @ w["o"][tree.top].T + (tree.bias[tree.top] + w["ob"][tree.top, 0])
+        side = np.where(leaf[:, None] >= np.append(tree.top, 0)[path], np.float32(1), np.float32(-1))
+        side[path == len(tree.top)] = 0
+        first, size = tree.below_at[leaf], tree.below_at[leaf + 1] - tree.below_at[leaf]
+        row = np.arange(len(leaf)).repeat(size)
+        branch = tree.below[np.arange(len(row)) + (first - (np.cumsum(size) - size)).repeat(size)]
+        o, hr = w["o"][branch], h[row]
+        under = np.where(leaf[row] >= branch, np.float32(1), np.float32(-1))
+        below = under * (np.einsum("ij,ij->i", hr, o) + tree.bias[branch] + w["ob"][branch, 0])
+        return path, side, side * np.take_along_axis(score, path.astype(np.int64), axis=1), row, branch, under, below, o, hr
+
+    def log_p(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log p of the leaves at places ``at`` of ``ids``, which has WINDOW borders at both ends."""
+        _, side, top, row, _, _, below, _, _ = self._branch(self._hidden(ids, at)[2], ids[at])
+        cost = lambda s: np.log1p(np.exp(-np.maximum(s, -60)))
+        return -(cost(top) * np.abs(side)).sum(axis=1, dtype=np.float64) - np.bincount(row, cost(below), len(at))
+
+    def train(self, ids: np.ndarray, at: np.ndarray) -> None:
+        """One step up the log p of the leaves at ``at``."""
+        w, tree = self.w, self.tree
+        around, x, h = self._hidden(ids, at)
+        path, side, top, row, branch, under, below, o, hr = self._branch(h, ids[at])
+        wide = np.zeros((len(at), len(tree.top) + 1), np.float32)
+        np.put_along_axis(wide, path.astype(np.int64), side / (1 + np.exp(np.minimum(top, 60))), axis=1)
+        wide = wide[:, :-1]
+        d = (under / (1 + np.exp(np.minimum(below, 60))))[:, None]
+        dh = wide @ w["o"][tree.top]
+        if len(row):
+            start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            dh[row[start]] += np.add.reduceat(d * o, start, axis=0)
+        dz = dh * (1 - h * h)
+        dx = (dz @ w["h"].T).reshape(-1, DIM)
+        for k, g in (("h", x.T @ dz), ("hb", dz.sum(axis=0, keepdims=True))):
+            g = g / len(at) ** 0.5
+            self.speed[k] += g * g
+            w[k] += 0.3 * SPEED * g / np.sqrt(self.speed[k])
+        self._step("e", *_summed(around.ravel(), dx))
+        used = np.bincount(path.ravel(), minlength=len(tree.top) + 1)[:-1]
+        for rows, g, gb, hits in ((tree.top[used > 0], (wide.T @ h)[used > 0], wide.sum(axis=0)[used > 0, None], used[used > 0]), self._below(branch, d, hr)):
+            self._step("o", rows, g, hits)
+            self._step("ob", rows, gb, None)
+
+    @staticmethod
+    def _below(branch: np.ndarray, d: np.ndarray, hr: np.ndarray) -> tuple[np.ndarray, ...]:
+        rows, g, hits = _summed(branch, np.concatenate([d * hr, d], axis=1))
+        return rows, g[:, :-1], g[:, -1:], hits
 
     def _step(self, k: str, rows: np.ndarray, g: np.ndarray, hits: np.ndarray | None) -> None:
         self.speed[k][rows] += (g * g).mean(axis=1, keepdims=True)
-        self.w[k][rows] -= SPEED * g / np.sqrt(self.speed[k][rows])
+        self.w[k][rows] += SPEED * g / np.sqrt(self.speed[k][rows])
         if hits is not None:
             self.hits[k][rows] += hits.astype(np.int32)
 
@@ -249,14 +280,14 @@ def _encode(text: pa.Array, tree: Tree) -> Iterator[tuple[np.ndarray, np.ndarray
     """Per chunk of rows: leaves with WINDOW borders around each row, the places of the words in them, the first word of each
     row, and the spelling of the rarer words: (word, code) of each byte and end."""
     for data, starts, ends, first in _words(text):
-        leaf = tree.lookup(word_hashes(data, starts, ends)) if len(starts) else np.zeros(0, np.int64)
-        rare = np.flatnonzero(leaf < 0)
+        entry = tree.lookup(word_hashes(data, starts, ends)) if len(starts) else np.zeros(0, np.int64)
+        rare = np.flatnonzero(entry < 0)
         shape = _shapes(data, starts[rare], ends[rare]) if len(rare) else rare
-        leaf[rare] = len(tree.leaf_of) + shape
+        entry[rare] = tree.words + shape
         rows = np.arange(len(first) - 1).repeat(np.diff(first))
-        place = np.arange(len(leaf)) + WINDOW * (rows + 1)
-        ids = np.full(len(leaf) + WINDOW * len(first), tree.leaves, np.int64)
-        ids[place] = leaf
+        place = np.arange(len(entry)) + WINDOW * (rows + 1)
+        ids = np.full(len(entry) + WINDOW * len(first), tree.entries, np.int64)
+        ids[place] = entry
         long = ends[rare] - starts[rare] + 1
         word = np.arange(len(rare)).repeat(long)
         step = np.arange(len(word)) - (np.cumsum(long) - long).repeat(long)
@@ -267,126 +298,94 @@ def _encode(text: pa.Array, tree: Tree) -> Iterator[tuple[np.ndarray, np.ndarray
         yield ids, place, first, (rare, word, (shape.repeat(long) * BYTES + before) * BYTES + now)
 
 
-def _batches_of(ids: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    for a in range(WINDOW, len(ids) - WINDOW, size):
-        yield ids[a - WINDOW : min(a + size, len(ids) - WINDOW) + WINDOW]
+_CHANGES = "part string, block long, at binary, hits binary, scale binary, change binary"
+
+
+def _change(part: str, block: int, at: np.ndarray, hits: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    """A row of ``_CHANGES``; each row of ``change`` has a scale and one byte a weight."""
+    scale = np.abs(change).max(axis=1, initial=1e-12).astype(np.float32) / 127
+    cells = (at.astype(np.uint16), hits.astype(np.uint32), scale, np.rint(change / scale[:, None]).astype(np.int8))
+    return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["part", "block", "at", "hits", "scale", "change"])
+
+
+def _read_change(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, hits, scale = np.frombuffer(row["at"], np.uint16), np.frombuffer(row["hits"], np.uint32), np.frombuffer(row["scale"], np.float32)
+    return at.astype(np.int64), hits.astype(np.int64), np.frombuffer(row["change"], np.int8).reshape(len(at), -1) * scale[:, None]
 
 
 def _train_rows(batches: Iterable[pa.RecordBatch], shared, again: int) -> Iterator[pa.RecordBatch]:
     """Trains on the task's rows; gives the changes of weights by blocks of ROWS rows, and the counts of spelling."""
     tree, start = shared.value
     net = WindowNetwork(tree, start).learn()
+    rng = np.random.default_rng(3)
     spelled = np.zeros(SHAPES * BYTES * BYTES, np.int32)
     kept, seen = [], 0
 
-    def go(ids: np.ndarray) -> None:
+    def go(ids: np.ndarray, place: np.ndarray) -> None:
         nonlocal seen
+        masked = place[rng.random(len(place)) < MASKED]
         done = 0
-        while done < len(ids) - 2 * WINDOW:
-            size = min(MOST, LEAST + seen // 32)
-            net.batch(ids[done : done + size + 2 * WINDOW], train=True)
-            done += size
-            seen += size
+        while done < len(masked):
+            at = masked[done : done + min(MOST, LEAST + seen // 32)]
+            net.train(ids, at)
+            done += len(at)
+            seen += len(at)
 
     for b in batches:
-        for ids, _, _, (_, _, code) in _encode(b.column(0), tree):
+        for ids, place, _, (_, _, code) in _encode(b.column(0), tree):
             c, n = np.unique(code, return_counts=True)
             spelled[c] += n.astype(np.int32)
-            go(ids)
+            go(ids, place)
             if again > 1:
-                kept.append(ids)
+                kept.append((ids, place))
     for _ in range(again - 1):
-        for ids in kept:
-            go(ids)
-
-    def row(part: str, block: int, at: np.ndarray, hits: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part]), pa.array([block], pa.int64()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([hits.astype(np.int64).tobytes()], pa.binary()), pa.array([change.astype(np.float16).tobytes()], pa.binary())], ["part", "block", "at", "hits", "change"]
-        )
-
-    if not seen:
+        for part in kept:
+            go(*part)
+    if not spelled.any() and not seen:
         return
     for k, hits in (("e", net.hits["e"]), ("o", net.hits["o"]), ("ob", net.hits["o"])):
         for a in range(0, len(hits), ROWS):
             at = np.flatnonzero(hits[a : a + ROWS])
             if len(at):
-                yield row(k, a // ROWS, at, hits[a + at], net.w[k][a + at] - start[k][a + at].astype(np.float32))
-    for k in _DENSE:
-        change = (net.w[k] - start[k].astype(np.float32)).reshape(1, -1)
-        yield row(k, 0, np.zeros(1), np.full(1, seen), change)
-    at = np.flatnonzero(spelled)
-    yield row("spell", 0, at, spelled[at], np.zeros(0))
-
-
-_CHANGES = "part string, block long, at binary, hits binary, change binary"
+                yield _change(k, a // ROWS, at, hits[a + at], net.w[k][a + at] - start[k][a + at].astype(np.float32))
+    if seen:
+        for k in _DENSE:
+            change = (net.w[k] - start[k].astype(np.float32)).reshape(len(net.w[k]), -1)
+            yield _change(k, 0, np.arange(len(change)), np.full(len(change), seen), change)
+    codes = np.flatnonzero(spelled)
+    for block in np.unique(codes >> 16).tolist():
+        mine = codes[codes >> 16 == block]
+        yield _change("spell", block, mine & 0xFFFF, spelled[mine], np.zeros((len(mine), 1)))
 
 
 def _merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The mean change of each row of a block, weighted by how often tasks used it; spelling counts are summed."""
-    part, block, hits, change = key[0].as_py(), key[1].as_py(), None, None
+    part, block = key[0].as_py(), key[1].as_py()
+    hits = change = None
     for b in parts:
-        for at, n, c in zip(b.column("at").to_pylist(), b.column("hits").to_pylist(), b.column("change").to_pylist(), strict=True):
-            at, n, c = np.frombuffer(at, np.int32), np.frombuffer(n, np.int64), np.frombuffer(c, np.float16).astype(np.float32)
-            c = c.reshape(len(at), -1) if part != "spell" else c[:, None]
+        for row in b.to_pylist():
+            at, n, c = _read_change(row)
             if hits is None:
-                hits = np.zeros(SHAPES * BYTES * BYTES if part == "spell" else ROWS, np.int64)
-                change = np.zeros((1 if part == "spell" else ROWS, c.shape[1]))
+                hits = np.zeros(1 << 16 if part == "spell" else max(ROWS, 2 * WINDOW * DIM), np.int64)
+                change = np.zeros((len(hits), c.shape[1]))
             hits[at] += n
             if part != "spell":
                 change[at] += c * n[:, None]
     at = np.flatnonzero(hits)
-    mean = np.zeros(0) if part == "spell" else change[at] / hits[at, None]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([part]), pa.array([block], pa.int64()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([hits[at].tobytes()], pa.binary()), pa.array([mean.astype(np.float16).tobytes()], pa.binary())], ["part", "block", "at", "hits", "change"]
-    )
-
-
-def train_window_network(counts: np.ndarray, seed: int = 1) -> np.ndarray:
-    """log p(class | left, right) as an array [left, right, class], from triple counts of that form."""
-    rng = np.random.default_rng(seed)
-    target = counts.reshape(-1, CLASSES).astype(np.float64)
-    size = target.sum(axis=1)
-    rows = np.flatnonzero(size)
-    left, right = np.divmod(np.arange(CLASSES * CLASSES), CLASSES)
-    total = target.sum(axis=0) + 1
-    w = {
-        "e": rng.normal(0, 0.3, (2, CLASSES, EMBED)), "h": rng.normal(0, (2 * EMBED) ** -0.5, (2 * EMBED, HIDDEN)), "hb": np.zeros(HIDDEN),
-        "o": rng.normal(0, 0.1, (HIDDEN, CLASSES)), "ob": np.log(total / total.sum()),
-    }
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-
-    def forward(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.concatenate([w["e"][0, left[at]], w["e"][1, right[at]]], axis=1)
-        h = np.tanh(x @ w["h"] + w["hb"])
-        z = h @ w["o"] + w["ob"]
-        z -= z.max(axis=1, keepdims=True)
-        return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    step = 0
-    for epoch in range(EPOCHS if len(rows) else 0):
-        order = rng.permutation(rows)
-        for a in range(0, len(order), BATCH):
-            at = order[a : a + BATCH]
-            x, h, logp = forward(at)
-            weight = size[at] / size[rows].mean()
-            weight = np.minimum(weight, 50.0)[:, None] / len(at)  # a few contexts hold most tokens; keeps steps stable
-            d = (np.exp(logp) - target[at] / size[at][:, None]) * weight
-            dh = (d @ w["o"].T) * (1 - h * h)
-            dx = dh @ w["h"].T
-            g = {"o": h.T @ d, "ob": d.sum(axis=0), "h": x.T @ dh, "hb": dh.sum(axis=0), "e": np.zeros_like(w["e"])}
-            np.add.at(g["e"][0], left[at], dx[:, :EMBED])
-            np.add.at(g["e"][1], right[at], dx[:, EMBED:])
-            step += 1
-            rate = RATE * (1 - epoch / EPOCHS) + 1e-4
-            for k, v in g.items():  # Adam
-                first[k] = 0.9 * first[k] + 0.1 * v
-                second[k] = 0.999 * second[k] + 0.001 * v * v
-                w[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return forward(np.arange(CLASSES * CLASSES))[2].reshape(CLASSES, CLASSES, CLASSES)
-
-
-def fit_scorer(docs: DataFrame) -> tuple[Tree, dict[str, np.ndarray], np.ndarray]:
-    """(tree, weights, log p(byte | shape, byte before))."""
+    yield _change(part, block, at, hits[at], change[at] / hits[at, None])
+
+
+@dataclass
+class Scorer:
+    """A fitted model; ``spelling`` is log p(byte | shape, byte before)."""
+
+    tree: Tree
+    weights: dict[str, np.ndarray]
+    spelling: np.ndarray
+
+
+def fit_scorer(docs: DataFrame) -> Scorer:
+    """Train on the column ``text`` of all rows."""
     context = docs.sparkSession.sparkContext
     counted = docs.select("text").mapInArrow(_count_words, "word long, n long, tail long").groupBy("word").agg(F.sum("n").alias("n"), F.min("tail").alias("tail"))
     counted = materialize(counted, "scoring")
@@ -401,39 +400,55 @@ def fit_scorer(docs: DataFrame) -> tuple[Tree, dict[str, np.ndarray], np.ndarray
     words = counted.where(F.col("n") >= least).toArrow()  # at most MAX_WORDS rows
     word, n, tail = (words.column(c).to_numpy() for c in ("word", "n", "tail"))
     tree = grow_tree(word.view(np.uint64), n, tail, int(tokens - n.sum()))
-    weights = new_weights(tree.leaves)
+    weights = new_weights(tree.entries)
+    small = lambda: {k: v.astype(np.float16) if k in _SPARSE else v for k, v in weights.items()}
     spelled = np.zeros(SHAPES * BYTES * BYTES, np.int64)
-    again = int(np.clip(SMALL // max(tokens, 1), 1, 20))
+    again = int(np.clip(SMALL // max(tokens, 1), 1, 40))
+    parts = docs.rdd.getNumPartitions()
+    tasks = max(2 * context.defaultParallelism, -(-parts // TASKS))  # each sends its changes of the whole model
     for r in range(ROUNDS):
-        shared = context.broadcast((tree, {k: v.astype(np.float16) if k in _SPARSE else v for k, v in weights.items()}))
-        rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == r).select("text")
+        shared = context.broadcast((tree, small()))
+        rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r).select("text")
+        rows = rows.coalesce(tasks) if tasks < parts else rows
         changes = rows.mapInArrow(partial(_train_rows, shared=shared, again=again), _CHANGES).groupBy("part", "block").applyInArrow(_merge, _CHANGES)
         for x in changes.toArrow().to_pylist():  # the size of the model
-            at = np.frombuffer(x["at"], np.int32)
+            at, hits, change = _read_change(x)
             if x["part"] == "spell":
-                spelled[at] += np.frombuffer(x["hits"], np.int64)
-                continue
-            v, change = weights[x["part"]], np.frombuffer(x["change"], np.float16).astype(np.float32)
-            if x["part"] in _DENSE:
-                v += change.reshape(v.shape)
+                spelled[(x["block"] << 16) + at] += hits
             else:
-                v[x["block"] * ROWS + at] += change.reshape(len(at), -1)
+                weights[x["part"]][(0 if x["part"] in _DENSE else x["block"] * ROWS) + at] += change.astype(np.float32)
         shared.destroy()
-    release(counted)
     spelled = spelled.reshape(-1, BYTES) + 0.1
     spelling = np.log(spelled / spelled.sum(axis=1, keepdims=True)).astype(np.float32).reshape(-1)
-    return tree, {k: v.astype(np.float16) if k in _SPARSE else v for k, v in weights.items()}, spelling
+    return Scorer(tree, small(), spelling)
+
+
+_network: list[tuple[Scorer, WindowNetwork]] = []
+
+
+def _worker_network(scorer: Scorer) -> WindowNetwork:
+    """One per task, not one per batch."""
+    if not _network or _network[0][0] is not scorer:
+        _network[:] = [(scorer, WindowNetwork(scorer.tree, scorer.weights))]
+    return _network[0][1]
+
+
+def token_scores(text: pa.Array, scorer: Scorer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per chunk of rows: log p of every token, and the first token of each row (rows + 1 entries)."""
+    net = _worker_network(scorer)
+    for ids, place, first, (rare, word, code) in _encode(text, scorer.tree):
+        parts = [net.log_p(ids, place[a : a + MOST]) for a in range(0, len(place), MOST)]
+        logp = np.concatenate(parts) if parts else np.zeros(0)
+        logp[rare] += np.bincount(word, scorer.spelling[code], len(rare))
+        yield logp, first
 
 
 def _score_rows(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    tree, weights, spelling = shared.value
-    net = WindowNetwork(tree, weights)
+    enter("scoring")
+    remember("scoring", _network.clear)
     for b in batches:
         sums, counts = [], []
-        for ids, place, first, (rare, word, code) in _encode(b.column(1), tree):
-            parts = [net.batch(x) for x in _batches_of(ids, MOST)]
-            logp = np.concatenate([np.zeros(WINDOW), *parts])[place]
-            logp[rare] += np.bincount(word, spelling[code], len(rare))
+        for logp, first in token_scores(b.column(1), shared.value):
             running = np.append(0.0, np.cumsum(logp))
             sums.append(running[first[1:]] - running[first[:-1]])
             counts.append(np.diff(first))
@@ -445,8 +460,8 @@ def _score_rows(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.Record
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, log_likelihood (summed), mean_log_prob (per token)."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit_scorer(docs))  # at most MAX_WORDS words
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        partial(_score_rows, shared=shared), "doc_id long, n_words long, log_likelihood double, mean_log_prob double"
-    )
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with arrow_scope(docs.sparkSession) as done:
+        shared = docs.sparkSession.sparkContext.broadcast(fit_scorer(docs))  # at most MAX_WORDS words
+        scores = docs.mapInArrow(partial(_score_rows, shared=shared), "doc_id long, n_words long, log_likelihood double, mean_log_prob double")
+        return done(scores)
