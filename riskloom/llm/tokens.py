@@ -14,9 +14,9 @@ budget") and budget ("tokens of this prefix") questions without encoding again.
 
 Defined results: null text is empty and has no tokens; white space counts as the
 prefix before it; special strings inside texts are the library's special
-tokens; words whose Unicode form the DP does not cover (not NFC, special strings,
-or a count that differs from the library's) take their prefix counts from the
-library; repeated rows stay; an empty table gives no rows; extra columns are ignored.
+tokens; words that are not NFC or hold special strings are walked by characters, with a branch for
+the prefixes that end before a mark which joins its letter; words whose count then differs from the library's take their
+prefix counts from the library; repeated rows stay; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.llm.workers import enter, remember, small_batches
+from riskloom.llm.workers import arrow_scope, enter, remember
 
 #: Words, runs and prefixes remembered by a Python worker; a full memo starts afresh.
 MEMO_WORDS, MEMO_RUNS, MEMO_PREFIXES, MEMO_PAIRS, MEMO_STEMS, MEMO_ODD = 400_000, 300_000, 300_000, 300_000, 500_000, 300_000
@@ -45,6 +45,7 @@ def _split(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+_CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -74,6 +75,85 @@ def _byte_chars() -> dict[int, str]:
     return table
 
 
+@lru_cache(1)
+def _joining() -> frozenset[str]:
+    """Characters that may join the one before in NFC: the second ones of all canonical pairs, and Hangul vowels and finals."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    return frozenset(second | set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])))
+
+
+def _segments(text: str) -> Iterator[str]:
+    """Cut before every character that neither joins what is before it nor moves past it in NFC."""
+    joining, start = _joining(), 0
+    for i in range(1, len(text)):
+        if not unicodedata.combining(text[i]) and text[i] not in joining:
+            yield text[start:i]
+            start = i
+    if start < len(text):
+        yield text[start:]
+
+
+class _Walk:
+    """Token count of a text that grows by folded characters: the finished runs, and the run that is open."""
+
+    def __init__(self, counter: PrefixCounter, done: int):
+        self.counter, self.done, self.kind, self.run, self.before = counter, done, "", "", [None]
+
+    def mark(self) -> tuple:
+        return self.done, self.kind, self.run, self.before, len(self.before)
+
+    def back(self, mark: tuple) -> None:
+        self.done, self.kind, self.run, self.before, n = mark
+        del self.before[n:]
+
+    def total(self) -> int:
+        if self.kind == "'":
+            return self.done + sum(self.counter.run_counts(x)[-1] for x in (self.run[:1], self.run[1:]) if x)
+        return self.done + (self.before[-1][2] if self.kind else 0)
+
+    def close(self) -> None:
+        self.done, self.kind = self.total(), ""
+
+    def _extend(self, c: str) -> None:
+        for x in c.encode():
+            self.run += self.counter.byte_chars[x]
+            self.before.append(self.counter._state(self.run, len(self.run), self.before))
+
+    def _open(self, kind: str, c: str) -> None:
+        self.kind, self.run, self.before = kind, "", [None]
+        self._extend(c)
+
+    def add(self, c: str) -> None:
+        kind = "S" if c.isspace() else "L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else "O"
+        if self.kind == "'":  # a mark that may begin a contraction, with its first letter if that has come
+            grown = self.run + c
+            if grown in _CONTRACTIONS:
+                self.done, self.kind = self.done + self.counter.run_counts(grown)[-1], ""
+                return
+            if any(x.startswith(grown) for x in _CONTRACTIONS):
+                self.run = grown
+                return
+            letter = self.run[1:]
+            if letter or kind != "O":
+                self.done += self.counter.run_counts("'")[-1]
+                self.kind = ""
+                if letter:
+                    self._open("L", letter)
+            else:
+                self._open("O", "'")
+        if kind == self.kind and kind != "N":
+            self._extend(c)
+            return
+        self.close()
+        if kind == "N":
+            self._open("N", c)
+        elif c == "'":
+            self.kind, self.run = "'", c
+        elif kind != "S":
+            self._open(kind, c)
+
+
 class _Words(dict):
     """Counts of words, computed when first asked for."""
 
@@ -98,6 +178,7 @@ class PrefixCounter:
         self.end = model["end_of_word_suffix"]
         self.vocab = model["vocab"]
         self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.special = regex.compile("|".join(map(regex.escape, self.specials)) or r"(?!)")
         self.library = load_tokenizer(name)
         n = max(self.vocab.values()) + 1
         self.left, self.right, self.pair = list(range(n)), list(range(n)), {}
@@ -182,8 +263,29 @@ class PrefixCounter:
             before.append(found)
         return [x[2] for x in before[1:]]
 
+    def _walked(self, word: str) -> list[int] | None:
+        """Counts of words that are not NFC or hold special strings; None if the library's count differs."""
+        out: list[int] = []
+        done = at = 0
+        for m in [*self.special.finditer(word), None]:
+            walk = _Walk(self, done)
+            inside = len(word) if m is None else m.end() - 1  # an unfinished special string is plain text
+            for part in _segments(word[at:inside]):
+                start = walk.mark()
+                for k in range(1, len(part) + 1):
+                    walk.back(start)
+                    for c in "".join(x.lower() for x in unicodedata.normalize("NFC", part[:k])):
+                        walk.add(c)
+                    out.append(walk.total())
+            if m is not None:
+                done = (out[m.start() - 1] if m.start() > at else done) + 1
+                out.append(done)
+                at = m.end()
+        same = out[-1] == len(self.library.encode(word, add_special_tokens=False).ids)
+        return out if same else None
+
     def _by_library(self, word: str) -> list[int]:
-        """Encoding from the last sure cut on: the last run start that white space would not move."""
+        """Every prefix encoded."""
         encode = self.library.encode_batch
         out: list[int] = []
         for a in range(0, len(word), 256):
@@ -218,9 +320,7 @@ class PrefixCounter:
         if stem.isalpha() and (stem.isascii() or len(low) == len(stem) and max(low) < "ɐ" > max(stem)) and (part := self._letters(low)):
             n = part[-1]
             return part + (bytes((n,)) if len(stem) == len(word) else bytes((n + 1, n + 1)))
-        counts = self._dp(word)
-        if counts is None:
-            counts = self._by_library(word)
+        counts = self._dp(word) or self._walked(word) or self._by_library(word)
         counts.append(counts[-1])
         # no byte string, so that joining notices it
         return bytes(counts) if max(counts) < 256 else (np.array(counts, np.int32),)
@@ -275,7 +375,19 @@ def _worker_counter(tokenizer: str) -> PrefixCounter:
     return PrefixCounter(tokenizer)
 
 
-def _count_rows(batches: Iterable[pa.RecordBatch], tokenizer: str, limit: int, store: bool) -> Iterator[pa.RecordBatch]:
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts of all prefixes as their steps: a byte that tells the width of a step (1 or 4 bytes), then the steps."""
+    steps = np.diff(counts, prepend=0)
+    kind = np.int8 if not len(steps) or (steps.min() >= -128 and steps.max() <= 127) else np.int32
+    return bytes([kind().itemsize]) + steps.astype(kind).tobytes()
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    """The counts that ``pack_counts`` packed."""
+    return np.cumsum(np.frombuffer(packed, f"<i{packed[0]}", offset=1), dtype=np.int64)
+
+
+def _count_rows(batches: Iterable[pa.RecordBatch], tokenizer: str, limit: int, store: str) -> Iterator[pa.RecordBatch]:
     enter("prefix counts")
     remember("prefix counts", _worker_counter.cache_clear)
     counter = _worker_counter(tokenizer)
@@ -289,24 +401,26 @@ def _count_rows(batches: Iterable[pa.RecordBatch], tokenizer: str, limit: int, s
             within = np.flatnonzero(counts <= limit) if n_tokens[-1] > limit else ()
             cut.append(len(text) if n_tokens[-1] <= limit else (int(within[-1]) + 1 if len(within) else 0))
             if store:
-                stored.append(counts)
+                stored.append(counts if store == "array" else pack_counts(counts))
         columns = [b.column(0).cast(pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(cut, pa.int64())]
         names = ["doc_id", "n_bytes", "n_tokens", "cut_chars"]
         if store:
-            columns.append(pa.array(stored, pa.list_(pa.int32())))
+            columns.append(pa.array(stored, pa.list_(pa.int32()) if store == "array" else pa.binary()))
             names.append("prefix_tokens")
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def prefix_token_counts(
-    docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, store: bool = True, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, store: str = "array", id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, cut_chars (longest prefix of at most ``limit``
-    tokens, in code points) and, with ``store``, prefix_tokens (the count at every prefix)."""
-    schema = "doc_id long, n_bytes long, n_tokens long, cut_chars long" + (", prefix_tokens array<int>" if store else "")
-    small_batches(docs.sparkSession)
+    tokens, in code points) and prefix_tokens, the count at every prefix: an array, or with ``store="packed"`` a byte or four
+    a code point (``unpack_counts`` reads them); ``store=""`` leaves it out."""
+    kept = {"array": ", prefix_tokens array<int>", "packed": ", prefix_tokens binary", "": ""}[store]
     rows = docs.select(F.col(id_col).cast("long"), text_col)
-    return rows.mapInArrow(partial(_count_rows, tokenizer=tokenizer, limit=limit, store=store), schema)
+    with arrow_scope(docs.sparkSession) as done:
+        counts = rows.mapInArrow(partial(_count_rows, tokenizer=tokenizer, limit=limit, store=store), "doc_id long, n_bytes long, n_tokens long, cut_chars long" + kept)
+        return done(counts)
 
 
 def longest_prefix(prefix_tokens: Column, budget: int) -> Column:
