@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.functions.shared import materialize
+from riskloom.functions.shared import Scope, materialize
 from riskloom.llm.native import let
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -40,7 +40,9 @@ WIDE = {
     "phone": r"(?<![0-9+.(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{14,}+",
 }
-GATES = {"email": "@", "wide email": "at"}
+#: What a text must hold for a pattern to match anywhere in it.
+_DIGIT = "[0-9]"
+GATES = {("email", True): "@", ("email", False): r"[\[(]at[\])]", ("ip", False): ":"}
 LABELERS = ("pattern", "gazetteer", "context", "shape", "veto")
 # ---- gazetteers: fixed values
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "it", "nl", "example")
@@ -143,7 +145,7 @@ def _candidates_of(kind: str, text: Column, pattern: str, base: bool) -> Column:
     found = find_spans(text, pattern)
     if base:
         found = F.filter(found, lambda s: _valid(kind, s["value"]))
-    gate = F.contains(text, F.lit("@")) if base and kind == "email" else text.rlike(r"[\[(]at[\])]") if kind == "email" else text.rlike("[0-9]")
+    gate = text.rlike(GATES.get((kind, base), _DIGIT))
     return F.when(gate, F.transform(found, judge)).otherwise(F.array().cast(CANDIDATES))
 
 
@@ -251,25 +253,28 @@ def _joined(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, base counts n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
-    found, model = fit_pii(docs, text_col)
-    spans = found.crossJoin(F.broadcast(model)).select("doc_id", accepted(F.col("cands"), F.col("odds")).alias("all"))
-    spans = spans.withColumn("own", F.filter("all", lambda s: s["base"]))
-    of_kind = lambda i: F.size(F.filter("own", lambda s: s["kind"] == i)).cast("long")
-    counts = [of_kind(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
-    return spans.select(
-        "doc_id", *counts, F.sha2(_joined(F.col("own")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"),
-        (F.size("all") - F.size("own")).cast("long").alias("n_added"),
-    )
+    """Per document: doc_id, base counts n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans."""
+    with Scope() as done:
+        found, model = fit_pii(docs, text_col)
+        spans = found.crossJoin(F.broadcast(model)).select("doc_id", accepted(F.col("cands"), F.col("odds")).alias("all"))
+        spans = spans.withColumn("own", F.filter("all", lambda s: s["base"]))
+        of_kind = lambda i: F.size(F.filter("own", lambda s: s["kind"] == i)).cast("long")
+        counts = [of_kind(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
+        return done(spans.select(
+            "doc_id", *counts, F.sha2(_joined(F.col("own")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"),
+            (F.size("all") - F.size("own")).cast("long").alias("n_added"), F.size("all").cast("long").alias("n_spans"),
+        ))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one mark."""
-    _, model = fit_pii(docs, text_col)
+    with Scope() as done:
+        model = done(fit_pii(docs, text_col)[1], "pii-fitted")
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    spans = accepted(candidates(F.col(text_col)), F.col("odds"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.col(f"row.`{text_col}`")
+    spans = accepted(candidates(text), F.col("odds"))
     by_start = lambda s: F.sort_array(F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    text = F.col(text_col)
 
     def rebuild(s: Column) -> Column:
         first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -281,6 +286,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         done = F.aggregate(s, first, add)
         return let(done, lambda d: F.concat(d["out"], F.substr(text, d["at"] + 1, F.length(text))))
 
-    marked = docs.crossJoin(F.broadcast(model.select("odds")))
+    marked = docs.select(row).crossJoin(F.broadcast(model.select("odds")))  # one row
     clean = let(spans, lambda s: F.when(F.size(s) > 0, rebuild(by_start(s))).otherwise(text))
-    return marked.withColumn(text_col, clean).select(*docs.columns)
+    columns = [clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return marked.select(*columns)
