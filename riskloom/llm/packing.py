@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.shared import materialize
 from riskloom.llm.tokens import worker_encoder
-from riskloom.llm.workers import enter, remember, small_batches
+from riskloom.llm.workers import arrow_scope, enter, remember
 
 GROUP_PIECES = 16_000
 
@@ -123,7 +123,6 @@ def _pack_group(rows: pd.DataFrame, capacity: Capacity) -> pd.DataFrame:
 
 def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", tokens: int = 2048, separator: int = 0) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32."""
-    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         partial(_piece_rows, tokenizer=tokenizer, tokens=tokens, separator=separator), schema
@@ -132,12 +131,15 @@ def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", tokens:
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: Capacity = Capacity(), separator: int = 0) -> DataFrame:  # noqa: B008
     """Every piece with its place: the pieces' columns, sequence_id and offset."""
-    pieces = materialize(token_pieces(docs, tokenizer, capacity.tokens, separator), "pack-pieces")
-    # a full piece is a sequence of its own wherever it goes, so groups are dealt by all pieces alike
-    groups = max(1, -(-pieces.count() // GROUP_PIECES))
-    # equal rows (repeated documents) are spread by the partition they lie in as well
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.spark_partition_id()), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(
-        partial(_pack_group, capacity=capacity),
-        "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
-    )
+    with arrow_scope(docs.sparkSession) as done:
+        pieces = materialize(token_pieces(docs, tokenizer, capacity.tokens, separator), "pack-pieces")
+        # a full piece is a sequence of its own wherever it goes, so groups are dealt by all pieces alike
+        groups = max(1, -(-pieces.count() // GROUP_PIECES))
+
+        def pack_group(rows: pd.DataFrame) -> pd.DataFrame:
+            return _pack_group(rows, capacity)
+
+        # equal rows (repeated documents) are spread by the partition they lie in as well
+        dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.spark_partition_id()), F.lit(groups)))
+        packed = dealt.groupBy("grp").applyInPandas(pack_group, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        return done(packed)
