@@ -1,7 +1,6 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows (MAX_EXAMPLES per class, those of more than
-MAX_EXAMPLE_WORDS words left out); only rows that ``may_learn`` allows are used. Terms are
+Examples are a bounded sample of labelled rows (MAX_EXAMPLES per class, whole texts); only rows that ``may_learn`` allows are used. Terms are
 words and their first HEAD bytes, cut at ASCII punctuation and white space, A-Z folded; the
 vocabulary are all terms of the examples. A term's TF-IDF weight is scaled by its label association
 (1 if G2 reaches MIN_G2, FLOOR otherwise), so none leaves the product or the norm, and a copy of an example has cosine 1
@@ -16,7 +15,7 @@ leave-one-out votes. Labels, lang, source and doc_id are no input of a score.
 
 Defined results: null, empty and term-free texts score like their nearest (term-free)
 examples; without labels, or with one class only, every score is that class's rate (0
-without labels); repeated rows are scored alike; an empty table gives no rows; extra columns
+without labels); of texts that share a labelled doc_id the one of least term hashes teaches; repeated rows are scored alike; an empty table gives no rows; extra columns
 are ignored.
 """
 
@@ -30,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.llm.textbytes import PUNCTUATION, mix, text_chunks, word_bounds, word_hashes
-from riskloom.llm.workers import small_batches
+from riskloom.llm.workers import arrow_scope
 
-MAX_EXAMPLES, MAX_EXAMPLE_WORDS = 2000, 4000
+MAX_EXAMPLES = 2000
 MIN_G2, FLOOR, HEAD = 25.0, 0.05, 5
 BLOCK, K, COMMON, TIE = 128, 25, 1 / 16, 1e-6
 BIAS = 1.0
@@ -54,9 +53,8 @@ def _example_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         terms, counts = [], []
         for t in text_terms(b.column(2)):
             u, n = np.unique(t, return_counts=True)
-            fits = len(t) <= 2 * MAX_EXAMPLE_WORDS
-            terms.append(u.tobytes() if fits else None)
-            counts.append(n.astype(np.int32).tobytes() if fits else None)
+            terms.append(u.tobytes())
+            counts.append(n.astype(np.int32).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "toxic", "terms", "counts"])
 
 
@@ -204,8 +202,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Toxic
     some = [marked.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES) for c in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * MAX_EXAMPLES rows
     texts = docs.join(chosen, "doc_id").select("doc_id", "toxic", "text")
-    rows = texts.mapInArrow(_example_rows, "doc_id long, toxic int, terms binary, counts binary").where("terms is not null").collect()
-    rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
+    rows = texts.mapInArrow(_example_rows, "doc_id long, toxic int, terms binary, counts binary").collect()
+    order = lambda r: (r["doc_id"], bytes(r["terms"]), bytes(r["counts"]))
+    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=order, reverse=True)}.values(), key=order)  # one text an id
     sets = [np.frombuffer(r["terms"], _U) for r in rows]
     toxic = np.array([r["toxic"] for r in rows], np.int64)
     vocabulary, association = _vocabulary(sets, toxic)
@@ -238,8 +237,8 @@ def _score_rows(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.Record
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None) -> DataFrame:
     """Per document: doc_id, score in [0, 1], evidence (ids of the nearest examples)."""
-    small_batches(docs.sparkSession)
     may_learn = F.lit(True) if may_learn is None else may_learn
-    model = fit_toxicity(docs.select("doc_id", "text"), labels, may_learn)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_EXAMPLES and MAX_EXAMPLE_WORDS
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_score_rows, shared=shared), "doc_id long, score double, evidence array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with arrow_scope(docs.sparkSession) as done:
+        shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, may_learn))  # at most 2 * MAX_EXAMPLES texts
+        return done(docs.mapInArrow(partial(_score_rows, shared=shared), "doc_id long, score double, evidence array<long>"))
