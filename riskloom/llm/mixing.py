@@ -1,4 +1,4 @@
-"""Mixing sources by temperature, in SQL expressions only.
+"""Mixing sources by temperature over word counts, in SQL expressions only.
 
 A source's share of tokens p is raised to an exponent a and normalised: w = p^a / sum p^a.
 a = 1 keeps the corpus as it is, a = 0 weighs sources alike. The exponent is bisected
@@ -18,8 +18,8 @@ Scale: only (doc_id, source, tokens) rows are shuffled for the plan; running sum
 block, with one row a block above them, so a source holding a third of the corpus is
 spread over its blocks.
 
-Defined results: null text counts one token; a null source is a source of its own; repeated
-rows (equal id and text) are ordered among themselves and each kept as often as its place
+Defined results: null text counts one token; a null source is a source of its own, apart from an empty one; repeated
+rows (equal id and text) are ordered by their other columns and each kept as often as its place
 says; an empty table gives no rows; ``mix_documents`` keeps all columns.
 """
 
@@ -30,11 +30,13 @@ import math
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from riskloom.functions.shared import materialize
+from riskloom.functions.shared import Scope, materialize
 from riskloom.llm.native import SPACES
 
 BLOCK_TOKENS, MAX_BLOCKS = 250_000, 20_000
 PROBES = 15
+#: Cells into which equal rows are dealt to be numbered, so that many of them do not meet in one task.
+TWIN_CELLS = 256
 
 
 def source_totals(rows: DataFrame) -> DataFrame:
@@ -77,12 +79,13 @@ def solve_exponent(totals: DataFrame, target_entropy: float | None = None, max_r
     return high
 
 
-def mixing_plan(
-    docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, seed: int = 0
-) -> DataFrame:
-    """One row per document and epoch that is used: doc_id, text_hash, source, n_tokens, epoch, block, mix_key, weight."""
+def _plan(docs: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: float | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, plan): the narrow rows of ``docs`` and ``mixing_plan``, on materialized tables of the scope around."""
     count = F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACES}]+")), F.lit(0)) + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), count.cast("long").alias("n_tokens"))
+    name = F.col("source").cast("string")
+    # a null source apart from an empty one
+    key = F.when(name.isNull(), "").otherwise(F.concat(F.lit("="), name))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), key.alias("source"), count.cast("long").alias("n_tokens"))
     rows = materialize(rows, "mix-rows")
     totals = source_totals(rows)
     if rows.isEmpty():
@@ -110,24 +113,50 @@ def mixing_plan(
     starts = starts.where("start < quota").select("source", "block", "epoch", "start")
     inside = Window.partitionBy("source", "block", "epoch").orderBy(mark("doc_id", "epoch"), "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.join(starts, ["source", "block"]).withColumn("at", F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return placed.where("at < quota").select(
-        "doc_id", "text_hash", "source", "n_tokens", "epoch", "block", (F.col("at") / F.col("quota")).alias("mix_key"), "weight"
+    shown = F.when(F.col("source") != "", F.substr("source", F.lit(2)))
+    plan = placed.where("at < quota").select(
+        "doc_id", "text_hash", shown.alias("source"), "n_tokens", "epoch", "block", (F.col("at") / F.col("quota")).alias("mix_key"), "weight"
     )
+    return rows, plan
+
+
+def mixing_plan(
+    docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, seed: int = 0
+) -> DataFrame:
+    """One row per document and epoch that is used: doc_id, text_hash, source, n_tokens, epoch, block, mix_key, weight."""
+    with Scope() as done:
+        return done(_plan(docs, target_entropy, max_repeats, budget, seed)[1])
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(
+    docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None, seed: int = 0
+) -> DataFrame:
     """The documents, each as often as the plan uses it, with all their columns."""
-    plan = mixing_plan(docs, **options)
-    # a row of the plan stands for one row of the table: number equal rows on both sides by epoch
-    copies = plan.groupBy("doc_id", "text_hash", "epoch").agg(F.count("*").alias("n"))
-    copies = copies.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("n"), asc=False).alias("uses"))
-    copies = copies.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    copies = copies.withColumn("_id", known("_id"))
-    keyed = docs.withColumns({"_k": known("doc_id"), "_h": F.xxhash64("text")})
-    twin = Window.partitionBy("_k", "_h").orderBy(F.lit(0))
-    joined = keyed.join(copies.hint("merge"), (keyed["_k"] == copies["_id"]) & (keyed["_h"] == copies["_hash"]))
-    joined = joined.withColumn("_twin", F.row_number().over(twin))
+    with Scope() as done:
+        narrow, plan = _plan(docs, target_entropy, max_repeats, budget, seed)
+        # a row of the plan stands for one row of the table: number equal rows on both sides by epoch
+        used = plan.groupBy("doc_id", "text_hash", "epoch").agg(F.count("*").alias("n"))
+        have = narrow.groupBy("doc_id", "text_hash").agg(F.lit(-1).alias("epoch"), F.count("*").alias("n"))
+        copies = used.unionByName(have).groupBy(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")).agg(
+            F.max(F.when(F.col("epoch") < 0, F.col("n"))).alias("rows"), F.sort_array(F.collect_list(F.when(F.col("epoch") >= 0, F.col("n"))), asc=False).alias("uses")
+        )
+        copies = done(copies, "mix-copies")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    keys = copies.hint("merge")
+    joined = rows.join(keys, rows["id"].eqNullSafe(keys["key_id"]) & (rows["hash"] == keys["key_hash"]))
     # the i-th of equal rows is used in the epochs that use at least i of them
-    times = F.size(F.filter("uses", lambda n: n >= F.col("_twin")))
-    return joined.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    single = joined.where("rows = 1").select("row", F.size("uses").alias("times"))
+    if not copies.where("rows > 1").isEmpty():
+        twins = joined.where("rows > 1").withColumn("shown", F.to_json("row"))
+        twins = twins.withColumn("cell", F.pmod(F.xxhash64("shown"), F.lit(TWIN_CELLS)))
+        key = ["id", "hash"]
+        cells = twins.groupBy(*key, "cell").agg(F.count("*").alias("n"))
+        before = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # at most TWIN_CELLS rows
+        cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumnsRenamed({"id": "cell_id", "hash": "cell_hash", "cell": "cell_no"})
+        inside = Window.partitionBy(*key, "cell").orderBy("shown")
+        placed = twins.withColumn("place", F.row_number().over(inside))
+        same = placed["id"].eqNullSafe(cells["cell_id"]) & (placed["hash"] == cells["cell_hash"]) & (placed["cell"] == cells["cell_no"])
+        placed = placed.join(cells.drop("n"), same).withColumn("place", F.col("place") + F.col("before"))
+        single = single.unionByName(placed.select("row", F.size(F.filter("uses", lambda n: n >= F.col("place"))).alias("times")))
+    return single.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
