@@ -13,7 +13,7 @@ that gains nothing. Labels choose cutoffs only; they are no signal.
 Defined results: null text has no words; a document is rejected by the base rule
 when short or repetitive, else by the certified rules of its stratum; null or
 rare ``lang`` (beyond the MAX_STRATA most frequent labelled ones) falls in one
-pooled stratum; no labels means no certified rule; repeated rows stay; an empty
+pooled stratum, an empty one does not; no labels means no certified rule; repeated rows stay; an empty
 table gives no rows; extra columns are ignored. A document labelled twice counts
 once per label row. Repeated windows are found by 64-bit hashes within a text.
 """
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from riskloom.functions.shared import materialize
+from riskloom.functions.shared import Scope, materialize
 from riskloom.llm.native import SPACES, binomial_tail, count_chars, let, words
 
 SYMBOLS = "#*$%&|<>"
@@ -132,7 +132,7 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     full = full.select("stratum", "rule", "step", "n_good", F.sum("good").over(upto).alias("good_rejected"), F.sum("bad").over(upto).alias("bad_rejected"))
     level = F.lit(delta) / (len(RULES) * F.greatest(F.lit(1), F.col("strata")))
-    n_strata = strata.agg(F.count_distinct(F.coalesce("stratum", F.lit(""))).alias("strata"))
+    n_strata = strata.agg(F.count_distinct("stratum").alias("strata"))
     tested = full.crossJoin(n_strata).withColumn("p_value", binomial_tail(F.col("good_rejected"), F.col("n_good"), per_rule))
     tested = tested.withColumn("passed", F.min((F.col("p_value") <= level).cast("int")).over(upto))
     gain = F.col("bad_rejected") - PRICE * F.col("good_rejected")
@@ -141,14 +141,15 @@ def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float =
     return chosen.select("stratum", "rule", F.get(grid, F.col("step")).alias("cutoff"), "n_good", "good_rejected", "bad_rejected", "p_value")
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, **columns) -> DataFrame:
-    """Signals of every document with ``base_failed``, ``kept`` and the rules that rejected it."""
+def _verdicts(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, columns: dict) -> DataFrame:
+    """``quality_verdicts`` on materialized tables of the scope around."""
     signals = quality_signals(docs, **columns).withColumn("base_failed", base_failed())
     signals = materialize(signals, "quality-signals")
     marks = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     labelled = signals.join(marks, "doc_id")
     common = labelled.groupBy("stratum").count().where("stratum is not null").orderBy(F.desc("count"), "stratum").limit(MAX_STRATA)
-    common = F.broadcast(common.select("stratum", F.col("stratum").alias("own")))
+    # own strata are marked, so that an empty name is not the pooled one
+    common = F.broadcast(common.select("stratum", F.concat(F.lit("="), "stratum").alias("own")))
     pooled = lambda df: df.join(common, "stratum", "left").withColumn("stratum", F.coalesce("own", F.lit(""))).drop("own")
     cuts = certified_cutoffs(pooled(labelled), alpha, delta)
     cuts = cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
@@ -159,16 +160,25 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
     return judged.drop("cuts").withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
-def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, **columns) -> DataFrame:
+    """Signals of every document with ``base_failed``, ``kept`` and the rules that rejected it."""
+    with Scope() as done:
+        return done(_verdicts(docs, labels, alpha, delta, columns))
+
+
+def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, **columns) -> DataFrame:
     """Counts and verdict per document."""
-    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return quality_verdicts(docs, labels, **options).select(*cols)
+    shown = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    with Scope() as done:
+        return done(_verdicts(docs, labels, alpha, delta, columns).select(*shown))
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def filter_quality(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, **columns) -> DataFrame:
     """The documents that pass, with all their columns."""
-    verdicts = quality_verdicts(docs, labels, **options)
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumns({"_k": F.col("doc_id").cast("long"), "_h": F.xxhash64("text")})
-    match = keyed["_k"].eqNullSafe(kept["_id"]) & (keyed["_h"] == kept["_hash"])
-    return keyed.join(kept, match, "left_semi").select(*docs.columns)
+    with Scope() as done:
+        verdicts = _verdicts(docs, labels, alpha, delta, columns)
+        kept = done(verdicts.where("kept").select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")).distinct(), "quality-kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    match = rows["id"].eqNullSafe(kept["key_id"]) & (rows["hash"] == kept["key_hash"])
+    return rows.join(kept, match, "left_semi").select("row.*")
