@@ -10,7 +10,7 @@ Scale: turns are first joined inside blocks of BLOCK_TURNS turns per conversatio
 so a long conversation is not sorted or gathered row by row in one task.
 
 Defined results: null text is empty; a null or unknown role is written with its
-own name (null: empty) under the default marks, makes the conversation invalid and
+own name (null: empty) under the default marks, line ends in it escaped, makes the conversation invalid and
 is not trained on; rows with equal turns are ordered by role, then text, nulls first;
 repeated rows stay; a null conv_id is one conversation; a null turn comes first;
 an empty table gives no rows; extra columns are ignored.
@@ -48,6 +48,7 @@ class ChatTemplate:
 
 
 LEAD = {"<": "&lt;", "[": "&lb;"}
+LINE_END = "&nl;"  # in roles, whose opening mark ends with the line
 
 
 def escape(text: Column, template: ChatTemplate) -> Column:
@@ -59,7 +60,7 @@ def escape(text: Column, template: ChatTemplate) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    for char, code in LEAD.items():
+    for char, code in (LEAD | {"\n": LINE_END}).items():
         text = F.replace(text, F.lit(code), F.lit(char))
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
@@ -81,7 +82,7 @@ def format_chats(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
     opening, close = template.opening.split("{role}")
     role = F.coalesce(F.col("role"), F.lit(""))
     text = F.coalesce(F.col("text"), F.lit(""))
-    head = F.concat(F.lit(opening), escape(F.replace(role, F.lit("\n"), F.lit(" ")), template), F.lit(close))
+    head = F.concat(F.lit(opening), F.replace(escape(role, template), F.lit("\n"), F.lit(LINE_END)), F.lit(close))
     rows = turns.select(
         "conv_id",
         F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-1)).alias("block"),
@@ -132,12 +133,12 @@ def read_back(formatted: Column, template: ChatTemplate = ChatTemplate()) -> Col
 
 
 def chat_digests(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:  # noqa: B008
-    """Digests of what is read back from the formatted output."""
+    """Digests of what is read back from the formatted output: the turns from its text, the trained text from the loss mask."""
     turns = let(read_back(F.col("formatted"), template), lambda t: F.struct(t.alias("turns")))
-    step = formatted.select("conv_id", "valid", "formatted", turns["turns"].alias("turns"))
+    step = formatted.select("conv_id", "valid", "formatted", "segments", turns["turns"].alias("turns"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    trained = F.filter("turns", lambda t: t["role"].isin(*template.trained))
-    loss = F.array_join(F.transform(trained, lambda t: t["text"]), "")
+    trained = F.filter("segments", lambda s: s["loss"])
+    loss = F.array_join(F.transform(trained, lambda s: unescape(s["text"])), "")
     step = step.select("*", text.alias("all_text"), loss.alias("loss_text"))
     return step.select(
         "conv_id",
