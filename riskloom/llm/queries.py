@@ -10,6 +10,7 @@ from riskloom.llm.ann import nearest
 from riskloom.llm.chat import chat_digests, format_chats
 from riskloom.llm.jaccard import jaccard_components
 from riskloom.llm.mixing import mixing_plan
+from riskloom.llm.oracle import CHAT_SQL, QUALITY_SQL
 from riskloom.llm.packing import pack_documents
 from riskloom.llm.pii import find_pii
 from riskloom.llm.quality import quality_report
@@ -38,9 +39,9 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact counts at every prefix of every whole document; cut_chars answers the limit of 2048."""
-    counts = prefix_token_counts(_read(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048, store=False)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "cut_chars")
+    """Exact counts at every prefix of every whole document, packed; cut_chars answers the limit of 2048."""
+    counts = prefix_token_counts(_read(spark, sf_dir, "documents"), "word_bpe_49k.json", limit=2048, store="packed")
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "cut_chars", "prefix_tokens")
 
 
 def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": QUALITY_SQL, "op10_chat_format": CHAT_SQL}

@@ -41,8 +41,3 @@ def arrow_scope(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows for this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
