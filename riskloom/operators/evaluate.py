@@ -46,9 +46,9 @@ def direction(keys: DataFrame) -> DataFrame:
 
 def type_accuracy(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """One row: tp, matches, accuracy of the types on the common keys; of repeated keys the last row (seq) counts."""
-    last = lambda df, n: triple_key(df).groupBy(*KEY).agg(F.max_by(F.struct(F.lower("head_type").alias("h"), F.lower("tail_type").alias("t")), "seq").alias(n))
+    last = lambda df, n: triple_key(df).groupBy(*KEY).agg(F.max(F.struct("seq", F.lower("head_type").alias("h"), F.lower("tail_type").alias("t"))).alias(n))
     both = last(gold, "g").join(last(pred, "p"), KEY)
-    out = both.agg(F.count("*").alias("tp"), F.count_if(F.col("g") == F.col("p")).alias("matches"))
+    out = both.agg(F.count("*").alias("tp"), F.count_if((F.col("g.h") == F.col("p.h")) & (F.col("g.t") == F.col("p.t"))).alias("matches"))
     return out.withColumn("accuracy", safe_div(F.col("matches"), F.col("tp")))
 
 

@@ -15,9 +15,9 @@ from riskloom.operators.components import connected_components
 
 
 def collapse_pairs(edges: DataFrame, last: Column) -> DataFrame:
-    """One edge per (src, dst): the row whose ``last`` is greatest wins."""
+    """One edge per (src, dst): the row whose ``last`` is greatest wins, of equal ones that of greater other columns."""
     others = [c for c in edges.columns if c not in ("src", "dst")]
-    best = edges.groupBy("src", "dst").agg(F.max_by(F.struct(*others), last).alias("e"))
+    best = edges.groupBy("src", "dst").agg(F.max_by(F.struct(*others), F.struct(last, *others)).alias("e"))
     return best.select("src", "dst", *[F.col("e")[c].alias(c) for c in others])
 
 
@@ -37,7 +37,7 @@ def nodes_from_triples(triples: DataFrame, seq: str = "seq") -> DataFrame:
     """Nodes of (head, head_type, tail, tail_type, seq): the first type seen wins; heads come before tails."""
     head = triples.select(F.col("head").alias("name"), F.col("head_type").alias("entity_type"), (2 * F.col(seq)).alias("at"))
     tail = triples.select(F.col("tail"), F.col("tail_type"), (2 * F.col(seq) + 1).alias("at")).toDF("name", "entity_type", "at")
-    first = head.unionByName(tail).groupBy("name").agg(F.min_by("entity_type", "at").alias("entity_type"))
+    first = head.unionByName(tail).groupBy("name").agg(F.min_by("entity_type", F.struct("at", "entity_type")).alias("entity_type"))
     return first.withColumn("entity_type", F.coalesce(F.nullif("entity_type", F.lit("")), F.lit("Supplier")))
 
 

@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from riskloom.operators.vocabulary import LEGAL_SUFFIXES
+
 # ---- fixed values: letters with marks and their bare forms
 _MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 _BARE = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-LEGAL = "inc|llc|corp|ltd|gmbh"
 
 
 def unaccented_key(c: Column) -> Column:
@@ -27,7 +28,8 @@ def entity_key(c: Column) -> Column:
 
 def company_key(c: Column) -> Column:
     """Without one trailing legal suffix, blanks collapsed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, rf"(?i)\s+({LEGAL})\.?$", ""), r"\s+", " ")))
+    bare = F.regexp_replace(F.trim(c), rf"(?i)\s+({'|'.join(LEGAL_SUFFIXES)})\.?$", "")
+    return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
 
 
 def group_by_key(entities: DataFrame, key: Column) -> DataFrame:
@@ -56,16 +58,19 @@ def resolve_staged(names: DataFrame, stages: list[DataFrame]) -> DataFrame:
 
 
 def _ratio(a: str, b: str) -> float:
-    """Indel similarity of word-sorted texts, 0 to 100."""
+    """Indel similarity of word-sorted texts, 0 to 100; the longest common subsequence one bit a letter."""
     a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    free = whole
+    for y in b:
+        used = free & places.get(y, 0)
+        free = (free + used | free - used) & whole
+    return 200.0 * (len(a) - free.bit_count()) / (len(a) + len(b))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
@@ -79,14 +84,39 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def fuzzy_matches(names: DataFrame, known: DataFrame, cutoff: float, block: Column | None = None) -> DataFrame:
-    """(name, canonical, ratio): the best known (key, canonical) of equal block at or over ``cutoff``.
+def _sorted_words(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(c, r"\s+"), lambda w: w != "")), " ")
+
+
+def _pairs_of_letters(c: Column) -> Column:
+    n = F.length(c)
+    return F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(c, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+
+
+def fuzzy_matches(names: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
+    """(name, canonical, ratio): the best known (key, canonical) at or over ``cutoff``; ties by name.
 
-    The default block is the first letter of the key; a pair that differs there is not compared.
+    No pair over the cutoff is missed: at most k letters of the two word-sorted keys differ then, each of which takes at most
+    two letter pairs from a key, so of any 2k + 1 distinct pairs of it one is in the other key. Those of a name that
+    fewest known keys have are looked up; names too short for that many meet the known keys of fitting length.
     """
-    block = F.substring("key", 1, 1) if block is None else block
-    left, right = names.withColumn("_b", block), known.withColumn("_b", block).withColumnRenamed("key", "other")
+    left = names.select("name", _sorted_words(F.col("key")).alias("key")).distinct()
+    right = known.select("canonical", _sorted_words(F.col("key")).alias("other")).distinct()
+    spare = 1 - cutoff / 100
+    # the longest other key has len * (200 / cutoff - 1) letters
+    most = F.floor(spare * 200 / cutoff * F.length("key") + 1e-9)
+    left = left.withColumn("pairs", _pairs_of_letters(F.col("key"))).withColumn("wanted", (2 * most + 1).cast("int"))
+    index = right.select("canonical", "other", F.explode(_pairs_of_letters(F.col("other"))).alias("pair"))
+    often = index.groupBy("pair").agg(F.count("*").alias("n"))
+    asked = left.where(F.size("pairs") >= F.col("wanted")).select("name", "key", "wanted", F.explode("pairs").alias("pair")).join(often, "pair", "left")
+    asked = asked.groupBy("name", "key", "wanted").agg(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair")).alias("all"))
+    asked = asked.select("name", "key", F.explode(F.transform(F.slice(F.array_sort("all"), F.lit(1), F.col("wanted")), lambda p: p["pair"])).alias("pair"))
+    met = asked.join(index, "pair").select("name", "key", "canonical", "other").distinct()
+    short = left.where(F.size("pairs") < F.col("wanted"))
+    lengths = right.withColumn("n", F.length("other"))
+    fitting = F.explode(F.sequence(F.floor(F.length("key") * cutoff / (200 - cutoff)), F.ceil(F.length("key") * (200 / cutoff - 1)))).alias("n")
+    met = met.unionByName(short.select("name", "key", fitting).join(lengths, "n").select("name", "key", "canonical", "other"))
     size = 2 * F.least(F.length("key"), F.length("other")) * 100 >= cutoff * (F.length("key") + F.length("other"))
-    scored = left.join(right, "_b").where(size).withColumn("ratio", token_sort_ratio(F.col("key"), F.col("other"))).where(F.col("ratio") >= cutoff)
+    scored = met.where(size).withColumn("ratio", token_sort_ratio(F.col("key"), F.col("other"))).where(F.col("ratio") >= cutoff)
     best = scored.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "canonical")).alias("m"))
     return best.select("name", F.col("m.canonical").alias("canonical"), (-F.col("m.r")).alias("ratio"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from riskloom.operators import vocabulary as voc
+
 WS = " \t\n\r\f\x0b"
 
 
@@ -53,6 +55,74 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])[ \t\n\r\f\x0b]+"), lambda s: F.btrim(s, F.lit(WS))), lambda s: s != "")
 
 
+def any_of(c: Column, patterns: tuple[str, ...] | list[str]) -> Column:
+    """Whether a pattern matches, in any case, with borders and spaces of all scripts."""
+    return c.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
+
+
+def strip_header_lines(c: Column) -> Column:
+    """Lines trimmed; empty ones and those that carry a record's header go."""
+    lines = F.transform(F.split(c, r"\r\n|[\n\r]"), lambda x: F.btrim(x, F.lit(WS)))
+    return F.array_join(F.filter(lines, lambda x: (x != "") & ~any_of(x, voc.HEADER_LINES)), "\n")
+
+
+def drop_turn(label: Column, content: Column) -> Column:
+    """Whether a turn is an operator's, a short one of an analyst, or boilerplate."""
+    low = F.lower(F.btrim(label, F.lit(WS)))
+    short = F.contains(low, F.lit("analyst")) & (word_count(content) < 20)
+    return low.isin(*voc.DROPPED_LABELS) | F.contains(low, F.lit("operator")) | short | any_of(content, voc.DROPPED_CONTENT)
+
+
+def split_speaker(c: Column) -> Column:
+    """Struct (speaker, body) of a turn, cut at its first colon."""
+    at = F.instr(c, ":")
+    trim = lambda x: F.btrim(x, F.lit(WS))
+    speaker = F.when(at > 0, trim(F.substr(c, F.lit(1), at - 1))).otherwise("")
+    return F.struct(speaker.alias("speaker"), F.when(at > 0, trim(F.substr(c, at + 1))).otherwise(trim(c)).alias("body"))
+
+
+def sentence_labels(c: Column) -> Column:
+    """Sorted labels of a sentence: dependencies, and disruptions where the sentence is about supply."""
+    found = lambda table: [F.when(any_of(c, (p,)), F.lit(n)) for n, p in table]
+    about = F.exists(F.array(*map(F.lit, voc.SUPPLY_CONTEXT)), lambda w: F.contains(F.lower(c), w))
+    strikes = F.when(about, F.array_compact(F.array(*found(voc.DISRUPTION_LABELS)))).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found(voc.DEPENDENCY_LABELS))), strikes)))
+
+
+def filter_turn(c: Column, min_words: int = 8) -> Column:
+    """Struct (text, labels) of a turn's labelled sentences with its speaker in front; text is null if none is left."""
+    parts = split_speaker(c)
+    rows = F.transform(F.filter(sentences(parts["body"]), lambda s: word_count(s) >= min_words), lambda s: F.struct(s.alias("s"), sentence_labels(s).alias("l")))
+    kept = F.filter(rows, lambda r: F.size(r["l"]) > 0)
+    text = F.array_join(F.transform(kept, lambda r: r["s"]), " ")
+    front = F.when(parts["speaker"] != "", F.concat(parts["speaker"], F.lit(": "))).otherwise("")
+    labels = F.array_sort(F.array_distinct(F.flatten(F.transform(kept, lambda r: r["l"]))))
+    return F.struct(F.when(text != "", F.concat(front, text)).alias("text"), labels.alias("labels"))
+
+
+def keyword_relation(c: Column) -> Column:
+    """The relation of the first keyword in the table that the text contains; SUPPLIES without any."""
+    return F.coalesce(*[F.when(F.contains(F.lower(c), F.lit(k)), r) for k, r in voc.KEYWORD_RELATIONS], F.lit("SUPPLIES"))
+
+
+def _letters(c: Column) -> Column:
+    return F.regexp_count(c, F.lit(r"\p{L}")) / F.greatest(F.length(c), F.lit(1))
+
+
+def filing_entity_ok(name: Column, filer: Column) -> Column:
+    """Whether a name found in a filing may be another organisation or place."""
+    words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
+    low, own = F.lower(name), F.lower(filer)
+    shape = F.length(name).between(4, 80) & ~name.rlike(r"(?U)^\d") & ~F.contains(name, F.lit("/")) & (F.regexp_count(name, F.lit(" ")) <= 7)
+    other = ~low.isin(*voc.FILING_SKIPPED) & ~name.rlike("(?i)" + voc.FILING_LEGAL) & ~F.contains(low, own) & ~F.contains(own, low)
+    return shape & other & (_letters(name) >= 0.55) & (F.size(words) == F.size(F.array_distinct(words)))
+
+
+def component_maker_ok(name: Column) -> Column:
+    """Whether a name found in a teardown may be a maker of components."""
+    return (F.length(name) >= 3) & ~name.rlike(r"(?U)^\d") & ~F.lower(name).isin(*voc.COMPONENT_SKIPPED) & (_letters(name) >= 0.5)
+
+
 #: Turns are split before every capitalised token that leads to a colon within 80 label characters.
 _LABEL = r"[A-Z][A-Za-z0-9&.,'()/+\- ]{0,80}"
 
@@ -66,15 +136,19 @@ def turns(c: Column) -> Column:
     return F.transform(parsed, lambda t: F.struct(t["label"].alias("label"), clean(t["content"]).alias("content")))
 
 
+# ---- fixed values: entities and their characters, in the order in which they are replaced
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#8217;", "'"), ("&#8220;", '"'), ("&#8221;", '"'))
+
+
 def strip_html(c: Column) -> Column:
-    """Text of an HTML page: scripts and styles go, tags become blanks, common entities their character."""
+    """Text of an HTML page: scripts and styles go, tags become blanks, seven entities their character, all others a blank."""
     out = F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>", " ")
     out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", " ")
     out = F.regexp_replace(out, r"<[^>]+>", " ")
-    for code, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#160;", " "), ("&rsquo;", "'")):
+    for code, char in ENTITIES:
         out = F.replace(out, F.lit(code), F.lit(char))
-    out = F.regexp_replace(out, r"&[a-zA-Z#0-9]+;", " ")
-    return F.btrim(F.regexp_replace(out, r"[ \t\n\r\f\x0b]+", " "), F.lit(WS))
+    out = F.regexp_replace(F.regexp_replace(out, r"&#[0-9]+;", " "), r"(?U)&\w+;", " ")
+    return F.btrim(F.regexp_replace(out, r"(?U)\s+", " "), F.lit(WS))
 
 
 def keep_neighbours(rows: DataFrame, doc: str, place: str, keep: Column, reach: int) -> DataFrame:

@@ -1,23 +1,23 @@
 """Validating, normalising, turning and merging relationship triples.
 
 Triples are (seq, head, head_type, relation, tail, tail_type, confidence, ...); ``seq`` is the
-order in which they were read and breaks every tie.
+order in which they were read; rows of one ``seq`` are ordered by their other columns, as they stand.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
-
 from riskloom import schema
 from riskloom.operators.components import connected_components
 
-# ---- fixed values: other words for entity types
+# ---- fixed values: words for entity types
 TYPE_WORDS = {
-    "Supplier": ("supplier",), "Manufacturer": ("manufacturer",), "Part": ("part",), "Port": ("port",), "Customer": ("customer",),
-    "Region": ("city", "country", "province", "state", "location", "place", "gpe", "region"),
-    "LogisticsRoute": ("route", "shippinglane", "shippingroute", "searoute", "waterway", "strait", "canal", "corridor", "logisticsroute"),
-    "DisruptionEvent": ("event", "incident", "conflict", "war", "sanction", "blockade", "disruptionevent"),
+    "supplier": "Supplier", "manufacturer": "Manufacturer", "part": "Part", "port": "Port", "customer": "Customer",
+    "city": "Region", "country": "Region", "province": "Region", "state": "Region", "location": "Region", "place": "Region", "gpe": "Region", "region": "Region",
+    "route": "LogisticsRoute", "shippinglane": "LogisticsRoute", "shippingroute": "LogisticsRoute", "searoute": "LogisticsRoute", "waterway": "LogisticsRoute",
+    "strait": "LogisticsRoute", "canal": "LogisticsRoute", "corridor": "LogisticsRoute", "logisticsroute": "LogisticsRoute",
+    "event": "DisruptionEvent", "incident": "DisruptionEvent", "conflict": "DisruptionEvent", "war": "DisruptionEvent", "sanction": "DisruptionEvent",
+    "blockade": "DisruptionEvent", "disruptionevent": "DisruptionEvent",
 }
 EDGE_MARKS = " ,;:."
 
@@ -33,8 +33,7 @@ def clean_relation(c: Column) -> Column:
 
 def clean_type(c: Column) -> Column:
     """The vocabulary's type for a word or a synonym; other words stay."""
-    words = {w: t for t, ws in TYPE_WORDS.items() for w in ws}
-    table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in TYPE_WORDS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, F.replace(F.lower(clean_name(c)), F.lit(" "), F.lit(""))), clean_name(c))
 
 
@@ -58,8 +57,11 @@ def valid(triples: DataFrame) -> DataFrame:
 
 
 def _first(triples: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return triples.withColumn("_place", place).where("_place = 1").drop("_place")
+    """The first row of each key; an aggregate that is combined before the shuffle."""
+    names = triples.columns
+    row = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], *[F.col(c) for c in names])
+    best = triples.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(row).alias("_row"))
+    return best.select(*[F.col("_row")[c].alias(c) for c in names])
 
 
 def _key() -> list[Column]:
@@ -73,7 +75,7 @@ def dedupe_first(triples: DataFrame, within: list[str]) -> DataFrame:
 
 def merge_best(triples: DataFrame) -> DataFrame:
     """Of equal triples the one of greatest confidence, the earliest among equals."""
-    return _first(triples, _key(), [F.desc("confidence"), F.col("seq")])
+    return _first(triples, _key(), [-F.col("confidence"), F.col("seq")])
 
 
 def _turned(t: Column, names: list[str]) -> Column:
@@ -128,7 +130,7 @@ def alternative_groups(triples: DataFrame) -> DataFrame:
     alts = triples.where("relation = 'alternative_to'").where("lower(head) <> lower(tail)").where("head <> '' and tail <> ''")
     found = connected_components(alts.select(F.lower("head").alias("a"), F.lower("tail").alias("b")))
     ends = alts.select(F.col("head").alias("n"), (2 * F.col("seq")).alias("at")).unionByName(alts.select(F.col("tail").alias("n"), (2 * F.col("seq") + 1).alias("at")))
-    shown = ends.groupBy(F.lower("n").alias("node")).agg(F.min_by("n", "at").alias("shown"))
+    shown = ends.groupBy(F.lower("n").alias("node")).agg(F.min_by("n", F.struct("at", "n")).alias("shown"))
     return found.join(shown, "node").select(F.col("node").alias("name"), F.col("component").alias("grp"), "shown")
 
 
@@ -141,14 +143,15 @@ def _slot(triples: DataFrame) -> DataFrame:
 def attach_component_options(triples: DataFrame) -> DataFrame:
     """OR-options of supply edges from the groups of alternatives: seq, option_group_id, alternatives."""
     groups = alternative_groups(triples)
-    others = groups.select("grp", F.col("name").alias("other"), "shown")
-    mine = _slot(triples).withColumn("name", F.lower("option")).join(groups.select("name", "grp"), "name").join(others, "grp").where("other <> name")
-    by_name = lambda c: F.transform(F.sort_array(c), lambda x: x["shown"])
-    out = mine.groupBy("seq", "relation", "slot", "option").agg(F.collect_list(F.struct("other", "shown")).alias("alts"))
-    members = F.array_append(F.col("alts"), F.struct(F.lower("option").alias("other"), F.col("option").alias("shown")))
-    return out.select(
-        "seq", F.concat(F.col("relation"), F.lit(":"), F.col("slot"), F.lit(":"), F.array_join(by_name(members), "|")).alias("option_group_id"),
-        F.array_join(by_name("alts"), "|").alias("alternatives"),
+    # the sorted members of a group once, and not one row for each pair of them
+    members = groups.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("name", "shown"))).alias("members"))
+    mine = _slot(triples).withColumn("name", F.lower("option")).join(groups.select("name", "grp"), "name").join(members, "grp")
+    own = F.col("name")
+    all_shown = F.transform("members", lambda m: F.when(m["name"] == own, F.col("option")).otherwise(m["shown"]))
+    others = F.transform(F.filter("members", lambda m: m["name"] != own), lambda m: m["shown"])
+    return mine.select(
+        "seq", F.concat(F.col("relation"), F.lit(":"), F.col("slot"), F.lit(":"), F.array_join(all_shown, "|")).alias("option_group_id"),
+        F.array_join(others, "|").alias("alternatives"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from riskloom.functions.shared import materialize
 from riskloom.operators import graph as g, triples as t
 from riskloom.plans.base import graph, graph_sql, query
 from riskloom.sources.fixtures import raw_edges, table
@@ -18,7 +19,7 @@ _RAW = """SELECT ({big}(l_orderkey) * 10 + l_linenumber) * 100000000 + l_partkey
   CASE WHEN l_partkey % 7 = 0 THEN 'n/a' ELSE CAST({big}(l_quantity) AS {text}) END AS confidence
 FROM lineitem"""
 _RAW_DUCK = _RAW.format(big="bigint_", text="VARCHAR").replace("bigint_(l_orderkey)", "CAST(l_orderkey AS BIGINT)").replace("bigint_(l_quantity)", "CAST(l_quantity AS BIGINT)")
-_WORDS = " ".join(f"WHEN '{w}' THEN '{k}'" for k, ws in t.TYPE_WORDS.items() for w in ws)
+_WORDS = " ".join(f"WHEN '{w}' THEN '{k}'" for w, k in t.TYPE_WORDS.items())
 _NAME = r"trim(regexp_replace({c}, '\s+', ' ', 'g'), ' ,;:.')"
 _TYPE = "CASE lower(replace(" + _NAME + ", ' ', '')) " + _WORDS + " ELSE " + _NAME + " END"
 _ENT = ", ".join(map(repr, ("Supplier", "Manufacturer", "Part", "Port", "Region", "LogisticsRoute", "DisruptionEvent", "Customer")))
@@ -40,7 +41,8 @@ def _raw(spark, sf_dir) -> DataFrame:
 
 
 def _good(spark, sf_dir) -> DataFrame:
-    return t.valid(t.normalize(_raw(spark, sf_dir)))
+    """Valid triples; normalised once, since filters below would evaluate the expressions again."""
+    return t.valid(materialize(t.normalize(_raw(spark, sf_dir)), "triples"))
 
 
 @query("normalize_triples", _sql("SELECT * FROM norm"))
@@ -55,13 +57,13 @@ def validate_triples(spark, sf_dir):
     return _good(spark, sf_dir)
 
 
-@query("dedupe_chunk_first", _sql("SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chunk, lower(head), relation, lower(tail) ORDER BY seq) AS rn FROM good) WHERE rn = 1"))
+@query("dedupe_chunk_first", _sql("SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chunk, lower(head), relation, lower(tail) ORDER BY seq, chunk, head, head_type, relation, tail, tail_type, confidence) AS rn FROM good) WHERE rn = 1"))
 def dedupe_chunk_first(spark, sf_dir):
     """R2."""
     return t.dedupe_first(_good(spark, sf_dir), ["chunk"])
 
 
-_BEST = "best AS MATERIALIZED (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lower(head), relation, lower(tail) ORDER BY confidence DESC, seq) AS rn FROM good) WHERE rn = 1)"
+_BEST = "best AS MATERIALIZED (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lower(head), relation, lower(tail) ORDER BY confidence DESC, seq, chunk, head, head_type, relation, tail, tail_type) AS rn FROM good) WHERE rn = 1)"
 
 
 @query("dedupe_max_conf", _sql("SELECT * FROM best", _BEST))
@@ -101,13 +103,13 @@ _GROUPS = """link AS MATERIALIZED (SELECT DISTINCT lower(head) AS a, lower(tail)
 sym AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(name, other) AS (SELECT a, b FROM sym UNION SELECT name, b FROM reach JOIN sym ON other = a),
 groups AS MATERIALIZED (SELECT name, least(name, min(other)) AS grp FROM reach GROUP BY name),
-spelled AS MATERIALIZED (SELECT lower(n) AS name, arg_min(n, pos) AS shown FROM (SELECT head AS n, 2 * seq AS pos FROM best WHERE relation = 'alternative_to' UNION ALL SELECT tail, 2 * seq + 1 FROM best WHERE relation = 'alternative_to') GROUP BY lower(n))"""
+spelled AS MATERIALIZED (SELECT lower(n) AS name, arg_min(n, (pos, n)) AS shown FROM (SELECT head AS n, 2 * seq AS pos FROM best WHERE relation = 'alternative_to' UNION ALL SELECT tail, 2 * seq + 1 FROM best WHERE relation = 'alternative_to') GROUP BY lower(n))"""
 
 
 @query("alt_components", _sql("SELECT name, grp, shown FROM groups JOIN spelled USING (name)", _BEST, _GROUPS, recursive=True))
 def alt_components(spark, sf_dir):
     """Groups of alternatives."""
-    return t.alternative_groups(t.merge_best(_good(spark, sf_dir)))
+    return t.alternative_groups(materialize(t.merge_best(_good(spark, sf_dir)), "triples-best"))
 
 
 _SLOTS = """slots AS MATERIALIZED (SELECT seq, relation, CASE relation WHEN 'supplies' THEN head ELSE tail END AS option, CASE relation WHEN 'supplies' THEN tail ELSE head END AS slot FROM best WHERE relation IN ('supplies', 'depends_on'))"""
@@ -118,7 +120,7 @@ FROM slots s JOIN groups g ON g.name = lower(s.option) JOIN (SELECT groups.name,
 JOIN LATERAL (SELECT o.name AS name, CASE WHEN o.name = lower(s.option) THEN s.option ELSE o.shown END AS shown) x ON true GROUP BY s.seq, s.relation, s.slot, s.option""", _BEST, _GROUPS, _SLOTS, recursive=True))
 def or_groups_component(spark, sf_dir):
     """R8."""
-    return t.attach_component_options(t.merge_best(_good(spark, sf_dir)))
+    return t.attach_component_options(materialize(t.merge_best(_good(spark, sf_dir)), "triples-best"))
 
 
 @query("or_groups_slot", _sql("""SELECT seq, relation || ':' || slot AS option_group_id, coalesce((SELECT string_agg(DISTINCT o.option, '|' ORDER BY o.option) FROM slots o WHERE o.relation = s.relation AND lower(o.slot) = lower(s.slot) AND lower(o.option) <> lower(s.option)), '') AS alternatives FROM slots s""", _BEST, _SLOTS))
@@ -158,13 +160,13 @@ def resume_antijoin(spark, sf_dir):
     return t.unprocessed(work, log, ["o_orderkey"])
 
 
-@query("nodes_first_type", _sql("SELECT name, arg_min(entity_type, pos) AS entity_type FROM (SELECT head AS name, head_type AS entity_type, 2 * seq AS pos FROM good UNION ALL SELECT tail, tail_type, 2 * seq + 1 FROM good) GROUP BY name"))
+@query("nodes_first_type", _sql("SELECT name, arg_min(entity_type, (pos, entity_type)) AS entity_type FROM (SELECT head AS name, head_type AS entity_type, 2 * seq AS pos FROM good UNION ALL SELECT tail, tail_type, 2 * seq + 1 FROM good) GROUP BY name"))
 def nodes_first_type(spark, sf_dir):
     """G1."""
     return g.nodes_from_triples(_good(spark, sf_dir))
 
 
-@query("edges_last_write", _sql("SELECT head AS src, tail AS dst, arg_max(relation, seq) AS relation FROM good GROUP BY head, tail"))
+@query("edges_last_write", _sql("SELECT head AS src, tail AS dst, arg_max(relation, (seq, relation)) AS relation FROM good GROUP BY head, tail"))
 def edges_last_write(spark, sf_dir):
     """One edge per pair, the last written."""
     rows = _good(spark, sf_dir).select(F.col("head").alias("src"), F.col("tail").alias("dst"), "relation", "seq")

@@ -62,8 +62,8 @@ def direction_acc(spark, sf_dir):
 
 
 @query("type_accuracy", _sql(f"""SELECT count(*) AS tp, count(*) FILTER (a.ht = b.ht AND a.tt = b.tt) AS matches, count(*) FILTER (a.ht = b.ht AND a.tt = b.tt)::DOUBLE / count(*) AS accuracy FROM
-(SELECT source, head, relation, tail, arg_max(ht, seq) AS ht, arg_max(tt, seq) AS tt FROM (SELECT {_K}, lower(head_type) AS ht, lower(tail_type) AS tt, seq FROM gold) GROUP BY ALL) a JOIN
-(SELECT source, head, relation, tail, arg_max(ht, seq) AS ht, arg_max(tt, seq) AS tt FROM (SELECT {_K}, lower(head_type) AS ht, lower(tail_type) AS tt, seq FROM pred) GROUP BY ALL) b USING (source, head, relation, tail)"""))
+(SELECT source, head, relation, tail, arg_max(ht, (seq, ht, tt)) AS ht, arg_max(tt, (seq, ht, tt)) AS tt FROM (SELECT {_K}, lower(head_type) AS ht, lower(tail_type) AS tt, seq FROM gold) GROUP BY ALL) a JOIN
+(SELECT source, head, relation, tail, arg_max(ht, (seq, ht, tt)) AS ht, arg_max(tt, (seq, ht, tt)) AS tt FROM (SELECT {_K}, lower(head_type) AS ht, lower(tail_type) AS tt, seq FROM pred) GROUP BY ALL) b USING (source, head, relation, tail)"""))
 def type_accuracy(spark, sf_dir):
     """A4."""
     return a.type_accuracy(*_pair(spark, sf_dir))
@@ -182,10 +182,10 @@ def report_context(spark, sf_dir):
     return rp.enriched_context(merged, exposed).select("name", "merged", "line")
 
 
-@query("report_sections", r"""SELECT item_id, trim(regexp_extract(t, '(?is)## Risk Overview\n(.*?)\n## ', 1)) AS risk_overview, trim(regexp_extract(t, '(?is)## Confidence Assessment\n(.*)$', 1)) AS confidence_assessment FROM (SELECT item_id, '## Risk Overview' || chr(10) || substr(text, 1, 40) || chr(10) || '## Confidence Assessment' || chr(10) || 'HIGH ' || item_id AS t FROM benchmark)""")
+@query("report_sections", r"""SELECT item_id, trim(regexp_extract(t, '(?is)## Risk Overview\n(.*?)\n## ', 1)) AS risk_overview, trim(regexp_extract(t, '(?is)## Confidence Assessment\n(.*)$', 1)) AS confidence_assessment FROM (SELECT item_id, '## Risk Overview' || chr(10) || text || chr(10) || '## Confidence Assessment' || chr(10) || 'HIGH ' || item_id AS t FROM benchmark)""")
 def report_sections(spark, sf_dir):
     """Sections of a report text."""
-    t = F.concat(F.lit("## Risk Overview\n"), F.substr("text", F.lit(1), F.lit(40)), F.lit("\n## Confidence Assessment\nHIGH "), F.col("item_id").cast("string"))
+    t = F.concat(F.lit("## Risk Overview\n"), F.col("text"), F.lit("\n## Confidence Assessment\nHIGH "), F.col("item_id").cast("string"))
     parsed = rp.parse_report(table(spark, sf_dir, "benchmark").select("item_id", t.alias("full_text")))
     return parsed.select("item_id", "risk_overview", "confidence_assessment")
 

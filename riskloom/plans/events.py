@@ -8,13 +8,13 @@ from riskloom.operators import resolve as e
 from riskloom.operators.graph import top_per_key
 from riskloom.plans.base import graph, graph_sql, query
 from riskloom.sources.fixtures import table
-from riskloom.streaming.risk import country_expr, risk_events, root_expr
+from riskloom.streaming.risk import COUNTRIES, country_expr, risk_events, root_expr
 
 # ---- fixed values: event type -> root code -> label, and the countries users stand for
-_DUCK_EVENTS = """ev AS MATERIALIZED (SELECT event_id, strftime(ts, '%Y%m%d') AS day, CASE event_type WHEN 'error' THEN '14' WHEN 'signup' THEN '17' WHEN 'purchase' THEN '19' WHEN 'view' THEN '04' ELSE '01' END AS root,
-  ['TW', 'CH', 'KS', 'JA', 'US', 'XX', 'YY'][user_id % 7 + 1] AS fips, CAST(round(value * 100) AS BIGINT) AS cents, CAST(json_extract(props, '$.k') AS INTEGER) AS articles FROM events),
-risk AS MATERIALIZED (SELECT event_id, day, root, fips, cents, articles, CASE fips WHEN 'TW' THEN 'Taiwan' WHEN 'CH' THEN 'China' WHEN 'KS' THEN 'South Korea' WHEN 'JA' THEN 'Japan' ELSE 'United States' END AS country,
-  CASE root WHEN '14' THEN 'Protest/Strike' WHEN '17' THEN 'Sanction/Embargo' ELSE 'Armed Conflict' END AS label FROM ev WHERE fips IN ('TW', 'CH', 'KS', 'JA', 'US') AND root IN ('13', '14', '17', '18', '19', '20') AND cents > 300 AND articles >= 3)"""
+_DUCK_EVENTS = f"""ev AS MATERIALIZED (SELECT event_id, strftime(ts, '%Y%m%d') AS day, CASE event_type WHEN 'error' THEN '14' WHEN 'signup' THEN '17' WHEN 'purchase' THEN '19' WHEN 'view' THEN '04' ELSE '01' END AS root,
+  {[*COUNTRIES, "XX", "YY"]}[user_id % {len(COUNTRIES) + 2} + 1] AS fips, CAST(round(value * 100) AS BIGINT) AS cents, CAST(json_extract(props, '$.k') AS INTEGER) AS articles FROM events),
+risk AS MATERIALIZED (SELECT event_id, day, root, fips, cents, articles, CASE fips {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COUNTRIES.items())} END AS country,
+  CASE root WHEN '14' THEN 'Protest/Strike' WHEN '17' THEN 'Sanction/Embargo' ELSE 'Armed Conflict' END AS label FROM ev WHERE fips IN ({", ".join(f"'{k}'" for k in COUNTRIES)}) AND root IN ('13', '14', '17', '18', '19', '20') AND cents > 300 AND articles >= 3)"""
 
 
 def _sql(select: str) -> str:
@@ -184,7 +184,7 @@ def verify_counts(spark, sf_dir):
     return a.unionByName(edges.groupBy(F.concat(F.lit("edge "), "relation").alias("what")).agg(F.count("*").alias("n")))
 
 
-@query("typed_load", graph_sql("SELECT e.src, e.dst, substr(e.relation || ' evidence', 1, 12) AS evidence FROM edges e JOIN nodes a ON e.src = a.name JOIN nodes b ON e.dst = b.name JOIN (VALUES ('Supplier', 'Part', 'supplies'), ('Part', 'Customer', 'supplies'), ('Supplier', 'Region', 'located_in')) c(s, d, r) ON a.entity_type = s AND b.entity_type = d AND e.relation = r"))
+@query("typed_load", graph_sql("SELECT e.src, e.dst, substr(repeat(e.relation || ' evidence of ' || e.src || ' and ' || e.dst || '. ', 20), 1, 500) AS evidence FROM edges e JOIN nodes a ON e.src = a.name JOIN nodes b ON e.dst = b.name JOIN (VALUES ('Supplier', 'Part', 'supplies'), ('Part', 'Customer', 'supplies'), ('Supplier', 'Region', 'located_in')) c(s, d, r) ON a.entity_type = s AND b.entity_type = d AND e.relation = r"))
 def typed_load(spark, sf_dir):
     """K7: only declared (type, type, relation) combinations are loaded, evidence cut to its column's size."""
     nodes, edges = graph(spark, sf_dir)
@@ -192,7 +192,7 @@ def typed_load(spark, sf_dir):
     a = nodes.select(F.col("name").alias("src"), F.col("entity_type").alias("s"))
     b = nodes.select(F.col("name").alias("dst"), F.col("entity_type").alias("d"))
     kept = edges.join(a, "src").join(b, "dst").join(F.broadcast(combos), ["s", "d", "relation"])  # three rows
-    return kept.select("src", "dst", F.substr(F.concat("relation", F.lit(" evidence")), F.lit(1), F.lit(12)).alias("evidence"))
+    return kept.select("src", "dst", F.substr(F.repeat(F.concat("relation", F.lit(" evidence of "), "src", F.lit(" and "), "dst", F.lit(". ")), 20), F.lit(1), F.lit(500)).alias("evidence"))
 
 
 @query("intent_parse", """WITH q AS (SELECT item_id, text || CASE item_id % 3 WHEN 0 THEN ' disruption in Russia' WHEN 1 THEN ' United States of supply' ELSE ' saudi arabia' END AS t FROM benchmark),
@@ -247,7 +247,7 @@ def staged_resolution(spark, sf_dir):
 
 @query("fuzzy_matches")
 def fuzzy_matches(spark, sf_dir):
-    """Word-sorted indel similarity inside first-letter blocks; checked in tests."""
+    """Word-sorted indel similarity; checked in tests."""
     q = _entities(spark, sf_dir).select("name", e.unaccented_key(F.col("name")).alias("key")).distinct()
     known = table(spark, sf_dir, "nation").select(F.concat(F.lit("firm "), F.col("n_nationkey").cast("string"), F.lit(" inc")).alias("key"), F.col("n_name").alias("canonical"))
     return e.fuzzy_matches(q, known, 88.0)

@@ -135,9 +135,10 @@ def neighbor_keep(spark, sf_dir):
 
 
 _HTML = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')"""
-for _c, _r in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#160;", " "), ("&rsquo;", "''")):
+for _c, _r in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#8217;", "''"), ("&#8220;", '"'), ("&#8221;", '"')):
     _HTML = f"replace({_HTML}, '{_c}', '{_r}')"
-_HTML = rf"trim(regexp_replace(regexp_replace({_HTML}, '&[a-zA-Z#0-9]+;', ' ', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g'), {_TRIM})"
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_HTML = rf"trim(regexp_replace(regexp_replace(regexp_replace({_HTML}, '&#[0-9]+;', ' ', 'g'), '&[\p{{L}}\p{{M}}\p{{N}}_]+;', ' ', 'g'), '{_BLANK}', ' ', 'g'), {_TRIM})"
 
 
 @query("strip_html", f"SELECT page_id, length({_HTML}) AS chars, md5({_HTML}) AS digest FROM pages")
@@ -213,7 +214,7 @@ def norm_keys(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", unaccented_key(F.concat("s_name", F.lit(", Ç.A."))).alias("k"))
 
 
-@query("legal_suffix", r"SELECT c_custkey, lower(trim(regexp_replace(regexp_replace(c_name || CASE c_custkey % 4 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' LLC' WHEN 2 THEN '  Corp' ELSE '' END, '(?i)\s+(inc|llc|corp|ltd|gmbh)\.?$', ''), '\s+', ' ', 'g'))) AS k FROM customer")
+@query("legal_suffix", r"SELECT c_custkey, lower(trim(regexp_replace(regexp_replace(c_name || CASE c_custkey % 4 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' LLC' WHEN 2 THEN '  Corp' ELSE '' END, '(?i)\s+(inc\.?|corp\.?|co\.?|ltd\.?|llc\.?|l\.p\.?|plc\.?|n\.v\.?|ag\.?|gmbh\.?|s\.a\.?|holdings?|group|limited|incorporated|corporation|company)\.?$', ''), '\s+', ' ', 'g'))) AS k FROM customer")
 def legal_suffix(spark, sf_dir):
     """One trailing legal suffix goes."""
     from riskloom.operators.resolve import company_key

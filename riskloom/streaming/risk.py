@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 # ---- fixed values: watched countries and root codes with their names
-COUNTRIES = {"TW": "Taiwan", "CH": "China", "KS": "South Korea", "JA": "Japan", "US": "United States"}
+COUNTRIES = {
+    "TW": "Taiwan", "CH": "China", "KS": "South Korea", "JA": "Japan", "MY": "Malaysia", "TH": "Thailand", "VM": "Vietnam", "SN": "Singapore", "IN": "India",
+    "ID": "Indonesia", "RP": "Philippines", "GM": "Germany", "NL": "Netherlands", "US": "United States",
+}
 ROOTS = {"13": "Threaten", "14": "Protest/Strike", "17": "Sanction/Embargo", "18": "Assault", "19": "Armed Conflict", "20": "Mass Violence"}
 #: Users stand for countries, event types for root codes.
-PLACES = ("TW", "CH", "KS", "JA", "US", "XX", "YY")
+PLACES = (*COUNTRIES, "XX", "YY")
 CODES = {"error": "14", "signup": "17", "purchase": "19", "view": "04"}
 MIN_CENTS, MIN_ARTICLES = 300, 3
 
