@@ -52,6 +52,7 @@ def describe(partition: DataFrame, nodes: DataFrame, edges: DataFrame, least: in
         "community", "size", F.col("t.entity_type").alias("dominant_type"), F.coalesce("internal_edges", F.lit(0)).alias("internal_edges"),
         F.col("h.name").alias("hub"), F.coalesce("relations", F.lit("various")).alias("relations"),
     )
+    # ---- fixed value: the summary sentence
     text = F.format_string(
         "A %s cluster of %d supply chain entities. Central hub: %s. Primary relationship types: %s. Contains %d internal connections.",
         F.lower("dominant_type"), "size", "hub", "relations", "internal_edges",
@@ -59,6 +60,26 @@ def describe(partition: DataFrame, nodes: DataFrame, edges: DataFrame, least: in
     return out.withColumn("summary", text)
 
 
+def community_texts(described: DataFrame, partition: DataFrame, nodes: DataFrame, edges: DataFrame, entities: int = 15, relations: int = 20) -> DataFrame:
+    """(community, text): the input of a summariser, with the first names and relations of each community."""
+    from riskloom.operators.graph import top_per_key
+
+    first = top_per_key(partition.join(nodes.select("name", "entity_type"), "name"), ["community"], ["name"], entities)
+    names = first.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "entity_type"))), lambda x: F.format_string("%s (%s)", x["name"], x["entity_type"])), ", ").alias("names"))
+    named = lambda end: partition.select(F.col("name").alias(end), F.col("community").alias(f"_{end}"))
+    inner = edges.join(named("src"), "src").join(named("dst"), "dst").where("_src = _dst").select(F.col("_src").alias("community"), "src", "relation", "dst")
+    some = top_per_key(inner, ["community"], ["src", "dst"], relations)
+    lines = some.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("src", "dst", "relation"))), lambda x: F.format_string("%s %s %s.", x["src"], x["relation"], x["dst"])), " ").alias("lines"))
+    rows = described.join(names, "community").join(lines, "community", "left")
+    head = F.format_string("Supply chain community: %s cluster with %d entities. Entities: %s.", "dominant_type", "size", "names")
+    return rows.select("community", F.concat(head, F.coalesce(F.concat(F.lit(" Relationships: "), "lines"), F.lit(""))).alias("text"))
+
+
+def overview(described: DataFrame) -> DataFrame:
+    """(community, line): one line a community with the first 90 characters of its summary."""
+    return described.select("community", F.format_string("Community %s | %s | %d nodes | %d internal edges | %s", "community", "dominant_type", "size", "internal_edges", F.substr("summary", F.lit(1), F.lit(90))).alias("line"))
+
+
 def rank_by_keywords(described: DataFrame, members: DataFrame, question: str) -> DataFrame:
     """(community, score): share of the question's words found in the summary or the member names."""
     words = F.array_distinct(F.split(F.lower(F.lit(question)), " "))

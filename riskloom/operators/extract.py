@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from riskloom.operators import vocabulary as voc
+
 Extractor = Callable[[str], list[tuple[str, str, str, float]]]
 
 #: Default relation phrases between two capitalised names.
@@ -36,6 +38,52 @@ def extract_triples(chunks: DataFrame, key: str, text: str, extractor: Extractor
     return chunks.select(key, text).mapInPandas(run, f"{key} {dict(chunks.dtypes)[key]}, head string, relation string, tail string, confidence double, evidence string")
 
 
+def sentence_relations(mentions: DataFrame, key: str = "sentence_id") -> DataFrame:
+    """(key, head, tail, relation, confidence) of ``mentions`` (key, sentence, names): the relation of each pair of names, in their order.
+
+    0.85 where the first match of a phrase lies between the first places of the names, else 0.65; the first best phrase wins.
+    """
+    low = lambda c: F.lower(c)
+    numbered = mentions.select(key, "sentence", F.posexplode("names").alias("i", "name"))
+    heads = numbered.select(key, "sentence", F.col("i").alias("hi"), F.col("name").alias("head"))
+    tails = numbered.select(key, F.col("i").alias("ti"), F.col("name").alias("tail"))
+    pairs = heads.join(tails, key).where("hi < ti")
+    pairs = pairs.withColumn("hp", F.instr(low("sentence"), low("head"))).withColumn("tp", F.instr(low("sentence"), low("tail"))).where("hp > 0 and tp > 0")
+    found = F.array(*[F.struct(F.regexp_instr("sentence", F.lit(f"(?i){p}")).alias("at"), F.lit(k).alias("k"), F.lit(r).alias("r")) for k, (p, r) in enumerate(voc.RELATION_PHRASES)])
+    hits = pairs.withColumn("hits", F.filter(found, lambda f: f["at"] > 0)).where(F.size("hits") > 0)
+    ranked = F.transform("hits", lambda f: F.struct(F.when((F.col("hp") < f["at"]) & (f["at"] < F.col("tp")), -0.85).otherwise(-0.65).alias("c"), f["k"].alias("k"), f["r"].alias("r")))
+    best = hits.withColumn("best", F.array_min(ranked))
+    return best.select(key, "head", "tail", F.col("best.r").alias("relation"), (-F.col("best.c")).alias("confidence"))
+
+
+def component_makers(guides: DataFrame) -> DataFrame:
+    """(guide_id, product, maker, relation, confidence): the known manufacturers that a teardown's text names.
+
+    ``guides`` has (guide_id, subject, category, title, text); the product is the first of them that is not empty.
+    """
+    product = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("subject", "category", "title")])
+    named = F.filter(F.array(*map(F.lit, voc.MANUFACTURERS)), lambda m: F.contains(F.lower("text"), F.lower(m)))
+    rows = guides.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("guide_id", product.alias("product"), F.explode(named).alias("maker"))
+    return rows.where("product is not null").select("guide_id", "product", "maker", F.lit("DEPENDS_ON").alias("relation"), F.lit(0.6).alias("confidence"))
+
+
+def filing_relations(snippets: DataFrame) -> DataFrame:
+    """Relations that snippets of filings (filer, place, keyword, evidence, names) give; names are (name, kind) with kind ORG or GPE.
+
+    An organisation relates to the filer by the snippet's keyword (0.7); a place holds every other organisation of the
+    snippet (0.5). Of equal relations of a filing the first by place stays.
+    """
+    from riskloom.operators.text import filing_entity_ok, keyword_relation
+
+    each = snippets.select("filer", "place", "keyword", F.substr("evidence", F.lit(1), F.lit(300)).alias("evidence"), "names", F.explode("names").alias("n"))
+    good = each.where(filing_entity_ok(F.col("n.name"), F.col("filer")))
+    own = good.where("n.kind = 'ORG'").select("filer", "place", F.col("n.name").alias("src"), F.col("filer").alias("dst"), keyword_relation(F.col("keyword")).alias("relation"), F.lit(0.7).alias("confidence"), "evidence")
+    at = good.where("n.kind = 'GPE'").select("filer", "place", F.col("n.name").alias("dst"), "evidence", F.explode("names").alias("o"))
+    located = at.where("o.kind = 'ORG' and o.name <> dst").select("filer", "place", F.col("o.name").alias("src"), "dst", F.lit("LOCATED_IN").alias("relation"), F.lit(0.5).alias("confidence"), "evidence")
+    first = own.unionByName(located).groupBy("filer", "src", "dst", "relation").agg(F.min(F.struct("place", "evidence", "confidence")).alias("f"))
+    return first.select("filer", "src", "dst", "relation", F.col("f.confidence").alias("confidence"), F.col("f.evidence").alias("evidence"))
+
+
 def name_batches(entities: DataFrame, size: int = 200) -> DataFrame:
     """(entity_type, batch, names): sorted names in batches for a canonicaliser, numbered per type."""
     place = F.row_number().over(Window.partitionBy("entity_type").orderBy("name"))

@@ -11,7 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-SECTIONS = ("Risk Overview", "Affected Entities", "Propagation Analysis", "Mitigation Strategies", "Confidence Assessment")
+# ---- fixed values: the parts of a report and their titles
+SECTIONS = {
+    "critical_entities": "Critically Exposed Entities", "dependency_chains": "Cascade & Dependency Chains", "critical_edges": "Single-Source Critical Dependencies",
+    "mitigations": "Mitigation Recommendations", "resilience_assessment": "Supply Chain Resilience Assessment",
+}
 
 Embedder = Callable[[list[str]], np.ndarray]
 Writer = Callable[[str], str]
@@ -102,7 +106,7 @@ def section(c: Column, title: str) -> Column:
 
 def parse_report(df: DataFrame, text: str = "full_text") -> DataFrame:
     """Add one column per report section."""
-    return df.withColumns({t.lower().replace(" ", "_"): section(F.col(text), t) for t in SECTIONS})
+    return df.withColumns({c: section(F.col(text), t) for c, t in SECTIONS.items()})
 
 
 def confidence_of_shock(shock: Column) -> Column:
@@ -120,14 +124,57 @@ def enriched_context(merged: DataFrame, exposures: DataFrame, n: int = 15) -> Da
 
 def template_report(event: DisruptionEvent, lines: list[str]) -> str:
     """The offline report writer: every section from the given context lines."""
+    some = lambda rows, none: "\n".join(f"- {x}" for x in rows) or none
+    head = f"{event.name}: shock {event.initial_shock:.2f} ({event.category}). {event.description}".strip()
+    level = "HIGH" if event.initial_shock >= 0.8 else "MEDIUM" if event.initial_shock >= 0.5 else "LOW"
+    swaps = [f"switch: {x.split(' ')[0]}" for x in lines if "alternative available" in x]
     body = {
-        "Risk Overview": f"{event.name}: shock {event.initial_shock:.2f} ({event.category}). {event.description}".strip(),
-        "Affected Entities": "\n".join(f"- {x}" for x in lines) or "- none",
-        "Propagation Analysis": f"{len(lines)} entities are listed, worst first.",
-        "Mitigation Strategies": "\n".join(f"- switch: {x.split(' ')[0]}" for x in lines if "alternative available" in x) or "- no alternative is known",
-        "Confidence Assessment": "HIGH" if event.initial_shock >= 0.8 else "MEDIUM" if event.initial_shock >= 0.5 else "LOW",
-    }
-    return "\n\n".join(f"## {t}\n{body[t]}" for t in SECTIONS)
+        "critical_entities": some(lines, "- none"), "dependency_chains": some([x for x in lines if " via " in x], "- none"),
+        "critical_edges": some([x for x in lines if "[CRITICAL]" in x and "alternative available" not in x], "- none"),
+        "mitigations": some(swaps, "- no alternative is known"), "resilience_assessment": f"{level}\n{head}",
+    }
+    return "\n\n".join(f"## {t}\n{body[c]}" for c, t in SECTIONS.items())
+
+
+def report_prompt(event: DisruptionEvent, lines: list[str], question: str | None = None) -> str:
+    """The prompt for a report writer: what to answer, from which context, under which sections."""
+    question = question or f"What does {event.name} do to the supply chain, who is most exposed and along which paths?"
+    rules = "Name the most exposed entities with their scores and paths, edges without alternative, and mitigations. Use nothing but the context."
+    return "\n".join([rules, "", "Context:", *(lines or ["(empty)"]), "", f"Event: {event.name} ({event.category}), shock {event.initial_shock:.2f}", f"Question: {question}", "", *[f"## {t}" for t in SECTIONS.values()]])
+
+
+class SemanticCache:
+    """Reports by question in an append-only table; a question hits the most similar stored one at or over ``least``."""
+
+    SCHEMA = "id string, query string, event string, report string, vector array<double>"
+
+    def __init__(self, spark, path: str, embedder: Embedder | None = None, least: float = 0.92):
+        self.spark, self.path, self.embedder, self.least = spark, path, embedder or hashing_embedder(), least
+
+    def _folder(self):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+    def entries(self) -> DataFrame:
+        system, folder = self._folder()
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if system.exists(folder) else self.spark.createDataFrame([], self.SCHEMA)
+
+    def lookup(self, queries: DataFrame) -> DataFrame:
+        """(query, id, score, report) of the questions (query) that hit."""
+        asked = embed_texts(queries.select("query"), "query", "qvec", self.embedder)
+        return cached(self.entries(), asked, self.least)
+
+    def store(self, query: str, event: str, report: str) -> None:
+        vector = [float(x) for x in self.embedder([query])[0]]
+        key = hashlib.sha256(f"{query}\n{event}\n{report}".encode()).hexdigest()
+        self.spark.createDataFrame([(key, query, event, report, vector)], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def size(self) -> int:
+        return self.entries().count()
+
+    def clear(self) -> None:
+        system, folder = self._folder()
+        system.delete(folder, True)
 
 
 def cached(cache: DataFrame, queries: DataFrame, least: float = 0.92) -> DataFrame:

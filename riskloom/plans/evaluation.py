@@ -182,12 +182,12 @@ def report_context(spark, sf_dir):
     return rp.enriched_context(merged, exposed).select("name", "merged", "line")
 
 
-@query("report_sections", r"""SELECT item_id, trim(regexp_extract(t, '(?is)## Risk Overview\n(.*?)\n## ', 1)) AS risk_overview, trim(regexp_extract(t, '(?is)## Confidence Assessment\n(.*)$', 1)) AS confidence_assessment FROM (SELECT item_id, '## Risk Overview' || chr(10) || text || chr(10) || '## Confidence Assessment' || chr(10) || 'HIGH ' || item_id AS t FROM benchmark)""")
+@query("report_sections", r"""SELECT item_id, trim(regexp_extract(t, '(?is)## Mitigation Recommendations\n(.*?)\n## ', 1)) AS mitigations, trim(regexp_extract(t, '(?is)## Supply Chain Resilience Assessment\n(.*)$', 1)) AS resilience_assessment FROM (SELECT item_id, '## Mitigation Recommendations' || chr(10) || text || chr(10) || '## Supply Chain Resilience Assessment' || chr(10) || 'HIGH ' || item_id AS t FROM benchmark)""")
 def report_sections(spark, sf_dir):
     """Sections of a report text."""
-    t = F.concat(F.lit("## Risk Overview\n"), F.col("text"), F.lit("\n## Confidence Assessment\nHIGH "), F.col("item_id").cast("string"))
+    t = F.concat(F.lit("## Mitigation Recommendations\n"), F.col("text"), F.lit("\n## Supply Chain Resilience Assessment\nHIGH "), F.col("item_id").cast("string"))
     parsed = rp.parse_report(table(spark, sf_dir, "benchmark").select("item_id", t.alias("full_text")))
-    return parsed.select("item_id", "risk_overview", "confidence_assessment")
+    return parsed.select("item_id", "mitigations", "resilience_assessment")
 
 
 @query("api_confidence", "SELECT o_orderkey, CASE WHEN o_totalprice / 500000 >= 0.8 THEN 'HIGH' WHEN o_totalprice / 500000 >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM orders")

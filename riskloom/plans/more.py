@@ -92,11 +92,11 @@ def extract_triples(spark, sf_dir):
     return ex.extract_triples(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("ablation_table", "SELECT source, count(*) FILTER (lang = 'en') AS full_pipeline, count(*) FILTER (lang = 'de') AS vector_only, count(*) FILTER (lang = 'fr') AS no_retrieval FROM documents GROUP BY source")
+@query("ablation_table")
 def ablation_table(spark, sf_dir):
-    """A10: conditions side by side."""
-    wide = table(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["en", "de", "fr"]).agg(F.count("doc_id")).na.fill(0)
-    return wide.toDF("source", "full_pipeline", "vector_only", "no_retrieval")
+    """A10: coverage of expected names without context, with the nearest nodes alone, and by the full pipeline (offline writer)."""
+    nodes, edges = graph(spark, sf_dir)
+    return an.ablation(LIBRARY["nation_quake"], "which nodes does a quake in N:3 expose", ["N:3", "S:7", "P:1"], nodes, edges, _seeds(spark, sf_dir))
 
 
 @query("benchmark_summary", "SELECT 'documents' AS metric, count(*) AS n FROM documents UNION ALL SELECT 'benchmark', count(*) FROM benchmark UNION ALL SELECT 'labels', count(*) FROM labels")

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import text as x, triples as tr
+from riskloom.operators import text as x, vocabulary as voc
 from riskloom.plans.base import query
 from riskloom.sources.connectors import clean_country_name
 from riskloom.sources.fixtures import table
 
 WORDS = ["the", "licensed", "que", "der ", "est", "idiot", "and there"]
 STRONG = ["licensed", "idiot"]
-BOILER = [r"\blicensed under\b", r"\bapache license\b", r"\bwebcast\b", r"\bsafe harbor\b"]
+#: Invented prose with phrases of earnings calls behind it.
+_CALLS = (
+    " Our conference call replay is here.", " We depend on a single source. Supply constraints and delayed shipments hurt us after the factory shutdown this year.",
+    " Parts procured from many vendors and supplied by others are short, and shortages persist in every plant.", " Delays of many kinds without any other word about it at all.",
+)
+_CALL_SQL = "text || CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CALLS)) + " ELSE '' END"
 _W = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
 _S = "[" + ", ".join(f"'{w}'" for w in STRONG) + "]"
 _TRIM = r"' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
@@ -24,6 +29,27 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _call(c: str = "text"):
+    tail = F.create_map(*[F.lit(v) for i, t in enumerate(_CALLS) for v in (i, t)])
+    return F.concat(c, F.coalesce(F.try_element_at(tail, (F.col("doc_id") % 8).cast("int")), F.lit("")))
+
+
+def _duck(pattern: str) -> str:
+    """The same pattern with Unicode word borders for an engine whose borders are ASCII."""
+    return "(?i)" + pattern.replace(r"\b", r"(?:^|$|[^\p{L}\p{N}_])")
+
+
+def _any(c: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({c}, '{_duck(p)}')" for p in patterns) + ")"
+
+
+def _labels(c: str) -> str:
+    """SQL list of a sentence's labels."""
+    found = lambda table: "[" + ", ".join(f"CASE WHEN regexp_matches({c}, '{_duck(p)}') THEN '{n}' END" for n, p in table) + "]"
+    about = " OR ".join(f"contains(lower({c}), '{w}')" for w in voc.SUPPLY_CONTEXT)
+    return f"list_sort(list_distinct(list_filter(list_concat({found(voc.DEPENDENCY_LABELS)}, CASE WHEN {about} THEN {found(voc.DISRUPTION_LABELS)} ELSE [] END), lambda v: v IS NOT NULL)))"
+
+
 @query("normalize_text", rf"SELECT doc_id, md5({_NORM}) AS digest, length({_NORM}) AS n FROM documents")
 def normalize_text(spark, sf_dir):
     """T1."""
@@ -43,10 +69,10 @@ def keyword_hits(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(x.keyword_hits(F.col("text"), WORDS), "|").alias("hits"))
 
 
-@query("boilerplate", "SELECT doc_id FROM documents WHERE regexp_matches(text, '" + "(?i)" + "|".join(f"(?:{p})" for p in BOILER) + "')")
+@query("boilerplate", f"SELECT doc_id FROM (SELECT doc_id, {_CALL_SQL} AS t FROM documents) WHERE {_any('t', voc.BOILERPLATE)}")
 def boilerplate(spark, sf_dir):
     """T4."""
-    return _docs(spark, sf_dir).where(x.matches_any(F.col("text"), BOILER)).select("doc_id")
+    return _docs(spark, sf_dir).where(x.any_of(_call(), voc.BOILERPLATE)).select("doc_id")
 
 
 @query("relevant_docs", f"SELECT doc_id FROM documents WHERE len(list_filter({_S}, lambda w: contains(lower(text), w))) > 0 OR len(list_filter({_W}, lambda w: contains(lower(text), w))) >= 2")
@@ -81,11 +107,29 @@ def turns(spark, sf_dir):
     return t.select("conv_id", F.explode(x.turns(text)).alias("t")).where(~drop).select("conv_id", "t.label", F.length("t.content").alias("chars"))
 
 
-@query("strip_header_lines", rf"SELECT doc_id, len(list_filter(string_split({_NORM}, chr(10)), lambda l: trim(l, {_TRIM}) <> '' AND NOT regexp_matches(trim(l, {_TRIM}), '^(?i:the |que |licensed )'))) AS n FROM documents")
+_HEADED = "'Company: Co ' || doc_id || chr(10) || ' cik: 7 ' || chr(10) || '[Earnings Call | 2020 | Q1]' || chr(10) || text"
+_LINES = f"list_transform(regexp_split_to_array({_HEADED}, '\\r\\n|[\\n\\r]'), lambda l: trim(l, {_TRIM}))"
+
+
+@query("strip_header_lines", f"SELECT doc_id, md5(array_to_string(list_filter({_LINES}, lambda l: l <> '' AND NOT {_any('l', voc.HEADER_LINES)}), chr(10))) AS digest FROM documents")
 def strip_header_lines(spark, sf_dir):
     """T9."""
-    lines = F.filter(F.split(x.normalize_text(F.col("text")), "\n"), lambda l: (F.btrim(l, F.lit(x.WS)) != "") & ~F.btrim(l, F.lit(x.WS)).rlike("^(?i:the |que |licensed )"))
-    return _docs(spark, sf_dir).select("doc_id", F.size(lines).cast("long").alias("n"))
+    text = F.concat(F.lit("Company: Co "), F.col("doc_id").cast("string"), F.lit("\n cik: 7 \n[Earnings Call | 2020 | Q1]\n"), "text")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(x.strip_header_lines(text).cast("binary")).alias("digest"))
+
+
+_LABEL = "CASE turn % 4 WHEN 0 THEN 'Operator 1' WHEN 1 THEN ' Analyst A ' WHEN 2 THEN 'Executives' ELSE 'Jane Doe' END"
+_SAID = "text || CASE conv_id % 5 WHEN 0 THEN ' see the press release' ELSE '' END"
+
+
+@query("dropped_turns", f"SELECT conv_id, turn, l IN ({', '.join(map(repr, voc.DROPPED_LABELS))}) OR contains(l, 'operator') OR (contains(l, 'analyst') AND {_COUNT.format(c='c')} < 20) OR {_any('c', voc.DROPPED_CONTENT)} AS dropped FROM (SELECT conv_id, turn, lower(trim({_LABEL})) AS l, {_SAID} AS c FROM conversations)")
+def dropped_turns(spark, sf_dir):
+    """T12."""
+    t = table(spark, sf_dir, "conversations")
+    n = F.col("turn") % 4
+    label = F.when(n == 0, "Operator 1").when(n == 1, " Analyst A ").when(n == 2, "Executives").otherwise("Jane Doe")
+    said = F.concat("text", F.when(F.col("conv_id") % 5 == 0, " see the press release").otherwise(""))
+    return t.select("conv_id", "turn", x.drop_turn(label, said).alias("dropped"))
 
 
 @query("sentences", f"SELECT doc_id, len({_SENT}) AS n, md5(array_to_string({_SENT}, chr(1))) AS digest FROM documents")
@@ -98,34 +142,28 @@ def sentences(spark, sf_dir):
 @query("split_speaker", "SELECT item_id, CASE WHEN contains(t, ':') THEN trim(substr(t, 1, instr(t, ':') - 1)) ELSE '' END AS speaker, length(CASE WHEN contains(t, ':') THEN trim(substr(t, instr(t, ':') + 1)) ELSE trim(t) END) AS chars FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'Speaker ' || item_id || ' : ' || text ELSE text END AS t FROM benchmark)")
 def split_speaker(spark, sf_dir):
     """Speaker and body at the first colon."""
-    t = table(spark, sf_dir, "benchmark").withColumn("t", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Speaker "), "item_id", F.lit(" : "), "text")).otherwise(F.col("text")))
-    at = F.instr("t", ":")
-    return t.select("item_id", F.when(at > 0, F.trim(F.substr("t", F.lit(1), at - 1))).otherwise("").alias("speaker"), F.length(F.when(at > 0, F.trim(F.substr("t", at + 1))).otherwise(F.trim("t"))).cast("long").alias("chars"))
+    t = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Speaker "), "item_id", F.lit(" : "), "text")).otherwise(F.col("text"))
+    parts = table(spark, sf_dir, "benchmark").select("item_id", x.split_speaker(t).alias("p"))
+    return parts.select("item_id", "p.speaker", F.length("p.body").cast("long").alias("chars"))
 
 
-_LABELS = [("names", r"\b(?:idiot|moron)s?\b"), ("licence", r"\blicensed?\b"), ("queue", r"\bqu(?:e|eue)\b"), ("article", r"\b(?:the|der|la)\b")]
+_CALL_SENT = _SENT.replace("regexp_replace(text,", f"regexp_replace({_CALL_SQL},")
 
 
-def _duck(pattern: str) -> str:
-    """The same pattern with Unicode word borders for an engine whose borders are ASCII."""
-    return "(?i)" + pattern.replace(r"\b", r"(?:^|$|[^\p{L}\p{N}_])")
-
-
-@query("sentence_hits", f"SELECT doc_id, pos, array_to_string(list_sort(list_distinct(list_filter([{', '.join(f'CASE WHEN regexp_matches(s, {chr(39)}{_duck(p)}{chr(39)}) THEN {chr(39)}{n}{chr(39)} END' for n, p in _LABELS)}], lambda v: v IS NOT NULL))), ',') AS labels FROM (SELECT doc_id, unnest(range(len({_SENT}))) AS pos, unnest({_SENT}) AS s FROM documents)")
+@query("sentence_hits", f"SELECT doc_id, pos, array_to_string({_labels('s')}, ',') AS labels FROM (SELECT doc_id, unnest(range(len({_CALL_SENT}))) AS pos, unnest({_CALL_SENT}) AS s FROM documents)")
 def sentence_hits(spark, sf_dir):
-    """Sorted labels of the patterns found in each sentence."""
-    s = _docs(spark, sf_dir).select("doc_id", F.posexplode(x.sentences(F.col("text"))).alias("pos", "s"))
-    found = F.array_compact(F.array(*[F.when(F.col("s").rlike(f"(?iU){p}"), F.lit(n)) for n, p in _LABELS]))
-    return s.select("doc_id", F.col("pos").cast("long").alias("pos"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("labels"))
+    """Sorted labels of each sentence."""
+    s = _docs(spark, sf_dir).select("doc_id", F.posexplode(x.sentences(_call())).alias("pos", "s"))
+    return s.select("doc_id", F.col("pos").cast("long").alias("pos"), F.array_join(x.sentence_labels(F.col("s")), ",").alias("labels"))
 
 
-@query("filter_turns", f"SELECT conv_id, turn, string_agg(s, ' ' ORDER BY pos) AS kept FROM (SELECT conv_id, turn, unnest(range(len({_SENT}))) AS pos, unnest({_SENT}) AS s FROM conversations) WHERE regexp_matches(s, '{_duck(_LABELS[3][1])}') AND {_COUNT.format(c='s')} >= 4 GROUP BY conv_id, turn")
+@query("filter_turns", f"""SELECT doc_id, string_agg(s, ' ' ORDER BY pos) AS kept_body, array_to_string(list_sort(list_distinct(flatten(list(l)))), ',') AS labels
+FROM (SELECT doc_id, pos, s, {_labels('s')} AS l FROM (SELECT doc_id, unnest(range(len({_CALL_SENT}))) AS pos, unnest({_CALL_SENT}) AS s FROM documents WHERE NOT contains(text, ':'))) WHERE len(l) > 0 AND {_COUNT.format(c='s')} >= 8 GROUP BY doc_id""".replace("string_agg(s, ' ' ORDER BY pos) AS kept_body", "'Speaker ' || doc_id || ': ' || string_agg(s, ' ' ORDER BY pos) AS kept"))
 def filter_turns(spark, sf_dir):
-    """Hit sentences of a turn, joined again."""
-    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(x.sentences(F.col("text"))).alias("pos", "s"))
-    kept = s.where(F.col("s").rlike(f"(?iU){_LABELS[3][1]}") & (x.word_count(F.col("s")) >= 4))
-    rows = kept.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("r"))
-    return rows.select("conv_id", "turn", F.array_join(F.transform("r", lambda e: e["s"]), " ").alias("kept"))
+    """The labelled sentences of a turn with its speaker, and the union of their labels."""
+    turn = F.concat(F.lit("Speaker "), F.col("doc_id").cast("string"), F.lit(": "), _call())
+    rows = _docs(spark, sf_dir).where(~F.contains("text", F.lit(":"))).select("doc_id", x.filter_turn(turn).alias("t")).where("t.text is not null")
+    return rows.select("doc_id", F.col("t.text").alias("kept"), F.array_join("t.labels", ",").alias("labels"))
 
 
 @query("neighbor_keep", "SELECT conv_id, turn FROM (SELECT conv_id, turn, max(CASE WHEN length(text) > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM conversations) WHERE near = 1")
@@ -174,22 +212,31 @@ def snippets(spark, sf_dir):
     return x.snippets(_docs(spark, sf_dir), "doc_id", F.col("text"), _SNIP)
 
 
-@query("entity_name_ok", """SELECT p_partkey, length(p_name) BETWEEN 3 AND 60 AND NOT regexp_matches(p_name, '^[0-9]') AND length(regexp_replace(p_name, '[^A-Za-z]', '', 'g'))::DOUBLE / greatest(length(p_name), 1) >= 0.55 AND NOT regexp_matches(lower(p_name), '\\b(inc|llc|agreement)\\b') AND len(string_split(p_name, ' ')) = len(list_distinct(string_split(p_name, ' '))) AS ok FROM part""")
+_LOW = "lower(n)"
+_LETTERS = "length(regexp_replace(n, '[^\\p{L}]', '', 'g'))::DOUBLE / greatest(length(n), 1)"
+_NAMED = "CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN 'Exhibit ' || p_name WHEN 2 THEN 'Face ID' WHEN 3 THEN '3M ' || p_name WHEN 4 THEN 'Part Part' ELSE 'Big Bolt Works' END"
+_FILING = f"""length(n) BETWEEN 4 AND 80 AND NOT regexp_matches(n, '^[0-9]') AND NOT contains(n, '/') AND len(string_split(n, ' ')) - 1 <= 7 AND {_LOW} NOT IN ({", ".join(map(repr, voc.FILING_SKIPPED))})
+  AND NOT regexp_matches(n, '(?i){voc.FILING_LEGAL}') AND NOT contains({_LOW}, 'bolt works') AND NOT contains('bolt works', {_LOW}) AND {_LETTERS} >= 0.55 AND len(string_split(n, ' ')) = len(list_distinct(string_split(n, ' ')))"""
+
+
+@query("entity_name_ok", f"""SELECT p_partkey, {_FILING} AS filing, length(n) >= 3 AND NOT regexp_matches(n, '^[0-9]') AND {_LOW} NOT IN ({", ".join(map(repr, voc.COMPONENT_SKIPPED))}) AND {_LETTERS} >= 0.5 AS maker FROM (SELECT p_partkey, {_NAMED} AS n FROM part)""")
 def entity_name_ok(spark, sf_dir):
-    """Plausibility of an entity name."""
-    n = F.col("p_name")
-    letters = F.length(F.regexp_replace(n, "[^A-Za-z]", "")) / F.greatest(F.length(n), F.lit(1))
-    words = F.split(n, " ")
-    ok = F.length(n).between(3, 60) & ~n.rlike("^[0-9]") & (letters >= 0.55) & ~F.lower(n).rlike(r"\b(inc|llc|agreement)\b") & (F.size(words) == F.size(F.array_distinct(words)))
-    return table(spark, sf_dir, "part").select("p_partkey", ok.alias("ok"))
+    """Plausibility of names found in filings and in teardowns."""
+    k, n = F.col("p_partkey") % 6, F.col("p_name")
+    name = F.when(k == 0, n).when(k == 1, F.concat(F.lit("Exhibit "), n)).when(k == 2, "Face ID").when(k == 3, F.concat(F.lit("3M "), n)).when(k == 4, "Part Part").otherwise("Big Bolt Works")
+    parts = table(spark, sf_dir, "part").select("p_partkey", name.alias("n"))
+    return parts.select("p_partkey", x.filing_entity_ok(F.col("n"), F.lit("Bolt Works")).alias("filing"), x.component_maker_ok(F.col("n")).alias("maker"))
+
+
+_KEYED = "CASE p_partkey % 5 WHEN 0 THEN 'Our Contract Manufacturer' WHEN 1 THEN 'a sole source part' WHEN 2 THEN 'assembly and supply' WHEN 3 THEN 'procured' ELSE p_type END"
 
 
-@query("keyword_relation", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'SUPPLIES' WHEN contains(lower(p_type), 'e') THEN 'MANUFACTURES_FOR' ELSE 'DEPENDS_ON' END AS relation FROM part")
+@query("keyword_relation", f"SELECT p_partkey, CASE {' '.join(f'WHEN contains(t, {k!r}) THEN {r!r}' for k, r in voc.KEYWORD_RELATIONS)} ELSE 'SUPPLIES' END AS relation FROM (SELECT p_partkey, lower({_KEYED}) AS t FROM part)")
 def keyword_relation(spark, sf_dir):
     """The first keyword decides the relation."""
-    t = F.lower("p_type")
-    rel = F.when(F.contains(t, F.lit("steel")), "SUPPLIES").when(F.contains(t, F.lit("e")), "MANUFACTURES_FOR").otherwise("DEPENDS_ON")
-    return table(spark, sf_dir, "part").select("p_partkey", rel.alias("relation"))
+    k = F.col("p_partkey") % 5
+    t = F.when(k == 0, "Our Contract Manufacturer").when(k == 1, "a sole source part").when(k == 2, "assembly and supply").when(k == 3, "procured").otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", x.keyword_relation(t).alias("relation"))
 
 
 @query("clean_country", r"SELECT n_nationkey, trim(regexp_replace(trim(regexp_replace(trim(replace(n_name || CASE n_nationkey % 3 WHEN 0 THEN '12, 3' WHEN 1 THEN 'Ne' ELSE chr(160) END, chr(160), ' ')), '[0-9,]+$', '')), '([^aeiouAEIOU ])e$', '\1')) AS name FROM nation")

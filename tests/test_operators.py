@@ -104,7 +104,7 @@ def test_report_round_trip(spark):
     e = report.DisruptionEvent("Quake", ("a",), 0.9, "natural", "strikes")
     full = report.template_report(e, ["a [CRITICAL]", "b (alternative available)"])
     row = report.parse_report(spark.createDataFrame([(full,)], "full_text string")).first()
-    assert row["confidence_assessment"] == "HIGH" and "switch: b" in row["mitigation_strategies"]
+    assert row["resilience_assessment"].startswith("HIGH") and "switch: b" in row["mitigations"] and "a [CRITICAL]" in row["critical_edges"]
     vecs = report.embed_texts(spark.createDataFrame([("steel plant",), (None,)], "t string"), "t").collect()
     assert sum(x * x for x in vecs[0]["vector"]) == pytest.approx(1) and not any(vecs[1]["vector"])
     ans = spark.createDataFrame([('```json\n[{"head": "a"}]\n```',), ('noise [{"head": "b"}] tail',), ("none",)], "t string")
@@ -160,3 +160,54 @@ def test_extraction_default(spark):
 def test_guide_text(spark):
     d = spark.sql("select array(struct('Open' as title, array(struct('lift lid' as text_raw), struct('turn' as text_raw)) as lines)) as steps")
     assert d.select(connectors.guide_text(F.col("steps"))).first()[0] == "Open lift lid turn"
+
+
+def test_fuzzy_matching_loses_nothing(spark):
+    rng = random.Random(21)
+    words = ["steel", "acme", "corp", "works", "north", "ab", "x", "metal", "holding"]
+    names = [" ".join(rng.sample(words, rng.randrange(1, 4))) for _ in range(60)]
+    known = []
+    for n in names:
+        letters = list(" ".join(rng.sample(n.split(), len(n.split()))))
+        for _ in range(rng.randrange(0, 3)):
+            letters[rng.randrange(len(letters))] = rng.choice("abcxyz")
+        known.append("".join(letters).strip() or "z")
+    q = spark.createDataFrame([(f"{i} {n}", n) for i, n in enumerate(names)], "name string, key string")
+    k = spark.createDataFrame([(x, f"{j:02d}") for j, x in enumerate(known)], "key string, canonical string")
+    for cutoff in (85.0, 92.0):
+        got = {r["name"]: (r["canonical"], r["ratio"]) for r in resolve.fuzzy_matches(q, k, cutoff).collect()}
+        want = {}
+        for i, n in enumerate(names):
+            best = min((-resolve._ratio(n, x), f"{j:02d}") for j, x in enumerate(known))
+            if -best[0] >= cutoff:
+                want[f"{i} {n}"] = (best[1], -best[0])
+        assert got == want
+    swapped = resolve.fuzzy_matches(spark.createDataFrame([("a", "acme corp")], "name string, key string"), spark.createDataFrame([("corp acme", "A")], "key string, canonical string"), 88.0)
+    assert swapped.first()["ratio"] == 100
+
+
+def test_equal_triples_have_an_order(spark):
+    rows = [(1, 0, "a", "Part", "supplies", "b", t, 0.5) for t in ("Region", "Part", "Customer")]
+    for some in (rows, rows[::-1]):
+        t = spark.createDataFrame(some, "seq int, chunk int, head string, head_type string, relation string, tail string, tail_type string, confidence double")
+        assert triples.dedupe_first(t, ["chunk"]).first()["tail_type"] == triples.merge_best(t).first()["tail_type"] == "Customer"
+
+
+def test_cache_stores_and_answers(spark, tmp_path):
+    from riskloom.operators import analyze
+
+    cache = report.SemanticCache(spark, str(tmp_path / "cache"))
+    asked = spark.createDataFrame([("which parts does a quake stop",), ("something else entirely",)], "query string")
+    assert cache.size() == 0 and cache.lookup(asked).count() == 0
+    nodes = spark.createDataFrame([("a", "Part"), ("b", "Part")], "name string, entity_type string")
+    edges = spark.createDataFrame([("a", "b", "supplies", 1.0)], "src string, dst string, relation string, weight double")
+    seeds = spark.createDataFrame([("a", 0.9)], "name string, similarity double")
+    event = report.DisruptionEvent("Quake", ("a",), 0.9, "natural", "strikes")
+    first = analyze.analyze_cached(cache, "which parts does a quake stop", event, nodes, edges, seeds)
+    again = analyze.analyze_cached(cache, "which parts does a quake stop", event, nodes, edges, seeds)
+    assert not first[1] and again == (first[0], True) and cache.size() == 1
+    assert [r["query"] for r in cache.lookup(asked).collect()] == ["which parts does a quake stop"]
+    cache.clear()
+    assert cache.size() == 0
+    prompt = report.report_prompt(event, ["a [CRITICAL]"])
+    assert "a [CRITICAL]" in prompt and all(f"## {t}" in prompt for t in report.SECTIONS.values())
