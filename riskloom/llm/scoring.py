@@ -149,7 +149,7 @@ def _branches(mass: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.n
         at -= ((total[low] + total[high]) / 2 - total[at - 1] < total[at] - (total[low] + total[high]) / 2).astype(np.int64)
         at = np.clip(at, low + 1, high - 1)
         bias[at] = np.log((total[high] - total[at]) / (total[at] - total[low]))
-        levels.append((leaf, at))
+        levels.append((leaf.astype(np.int32), at.astype(np.int32)))
         right = leaf >= at
         low, high = np.where(right, at, low), np.where(right, high, at)
 
@@ -206,6 +206,8 @@ class WindowNetwork:
 
     def __init__(self, tree: Tree, weights: dict[str, np.ndarray]):
         self.tree, self.w = tree, {k: v.astype(np.float32) for k, v in weights.items()}  # copies
+        self.path = tree.top_path.astype(np.int64)
+        self.node = np.append(tree.top, 0)[self.path]
 
     def learn(self) -> WindowNetwork:
         self.speed = {k: np.full((len(v), 1) if k in _SPARSE else v.shape, 0.1, np.float32) for k, v in self.w.items()}
@@ -220,10 +222,11 @@ class WindowNetwork:
     def _branch(self, h: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, ...]:
         """The signed scores of the branches on the ways to the leaves: in the top (a row each) and below (flat)."""
         w, tree = self.w, self.tree
-        path = tree.top_path[tree.group_of[leaf]]
-        score = np.zeros((len(leaf), len(tree.top) + 1), np.float32)
-        score[:, :-1] = h @ w["o"][tree.top].T + (tree.bias[tree.top] + w["ob"][tree.top, 0])
-        side = np.where(leaf[:, None] >= np.append(tree.top, 0)[path], np.float32(1), np.float32(-1))
+        group = tree.group_of[leaf]
+        path = self.path[group]
+        score = h @ w["o"][tree.top].T
+        score += tree.bias[tree.top] + w["ob"][tree.top, 0]
+        side = np.where(leaf[:, None] >= self.node[group], np.float32(1), np.float32(-1))
         side[path == len(tree.top)] = 0
         first, size = tree.below_at[leaf], tree.below_at[leaf + 1] - tree.below_at[leaf]
         row = np.arange(len(leaf)).repeat(size)
@@ -231,13 +234,29 @@ class WindowNetwork:
         o, hr = w["o"][branch], h[row]
         under = np.where(leaf[row] >= branch, np.float32(1), np.float32(-1))
         below = under * (np.einsum("ij,ij->i", hr, o) + tree.bias[branch] + w["ob"][branch, 0])
-        return path, side, side * np.take_along_axis(score, path.astype(np.int64), axis=1), row, branch, under, below, o, hr
+        top = side * np.take_along_axis(score, np.minimum(path, len(tree.top) - 1), axis=1)
+        return path, side, top, row, branch, under, below, o, hr
 
     def log_p(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p of the leaves at places ``at`` of ``ids``, which has WINDOW borders at both ends."""
-        _, side, top, row, _, _, below, _, _ = self._branch(self._hidden(ids, at)[2], ids[at])
+        return self._log_p(self._hidden(ids, at)[2], ids[at])
+
+    def log_p_all(self, ids: np.ndarray) -> np.ndarray:
+        """The same for every place of ``ids`` that is no border, but the WINDOW places at both ends."""
+        n, w = len(ids) - 2 * WINDOW, self.w
+        layer = w["h"].reshape(2 * WINDOW, DIM, DIM).transpose(1, 0, 2).reshape(DIM, -1)
+        each = w["e"][ids] @ layer  # what a word adds at each place around it
+        sums = w["hb"].repeat(n, axis=0)
+        for k, place in enumerate(_AROUND.tolist()):
+            sums += each[WINDOW + place : WINDOW + place + n, k * DIM : (k + 1) * DIM]
+        inner = ids[WINDOW : WINDOW + n]
+        words = inner != self.tree.entries
+        return self._log_p(np.tanh(sums[words]), inner[words])
+
+    def _log_p(self, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        _, side, top, row, _, _, below, _, _ = self._branch(h, leaf)
         cost = lambda s: np.log1p(np.exp(-np.maximum(s, -60)))
-        return -(cost(top) * np.abs(side)).sum(axis=1, dtype=np.float64) - np.bincount(row, cost(below), len(at))
+        return -(cost(top) * np.abs(side)).sum(axis=1, dtype=np.float64) - np.bincount(row, cost(below), len(leaf))
 
     def train(self, ids: np.ndarray, at: np.ndarray) -> None:
         """One step up the log p of the leaves at ``at``."""
@@ -245,7 +264,7 @@ class WindowNetwork:
         around, x, h = self._hidden(ids, at)
         path, side, top, row, branch, under, below, o, hr = self._branch(h, ids[at])
         wide = np.zeros((len(at), len(tree.top) + 1), np.float32)
-        np.put_along_axis(wide, path.astype(np.int64), side / (1 + np.exp(np.minimum(top, 60))), axis=1)
+        np.put_along_axis(wide, path, side / (1 + np.exp(np.minimum(top, 60))), axis=1)
         wide = wide[:, :-1]
         d = (under / (1 + np.exp(np.minimum(below, 60))))[:, None]
         dh = wide @ w["o"][tree.top]
@@ -436,8 +455,9 @@ def _worker_network(scorer: Scorer) -> WindowNetwork:
 def token_scores(text: pa.Array, scorer: Scorer) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per chunk of rows: log p of every token, and the first token of each row (rows + 1 entries)."""
     net = _worker_network(scorer)
-    for ids, place, first, (rare, word, code) in _encode(text, scorer.tree):
-        parts = [net.log_p(ids, place[a : a + MOST]) for a in range(0, len(place), MOST)]
+    for ids, _, first, (rare, word, code) in _encode(text, scorer.tree):
+        inside = range(WINDOW, len(ids) - WINDOW, MOST)
+        parts = [net.log_p_all(ids[a - WINDOW : min(a + MOST, len(ids) - WINDOW) + WINDOW]) for a in inside]
         logp = np.concatenate(parts) if parts else np.zeros(0)
         logp[rare] += np.bincount(word, scorer.spelling[code], len(rare))
         yield logp, first
