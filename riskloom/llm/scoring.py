@@ -41,7 +41,7 @@ SHAPES = 48
 MIN_COUNT, MAX_WORDS, DIM, WINDOW = 5, 1 << 19, 24, 3
 TOP = 7
 ROUNDS, SMALL, MASKED, LEAST, MOST, SPEED = 2, 1_000_000, 0.25, 64, 8192, 0.15
-ROWS, FLUSH, BYTES, TASKS = 512, 1 << 20, 257, 8
+ROWS, FLUSH, BYTES, TASKS, LONG, SPAN = 512, 1 << 20, 257, 8, 32, 2048
 _U = np.uint64
 _ASCII = np.arange(256)
 _UPPER = (_ASCII >= 65) & (_ASCII <= 90)
@@ -63,14 +63,32 @@ def _words(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         yield data, *word_bounds(data, off)
 
 
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+
+
+def _run_sums(g: np.ndarray, order: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run of ``size`` places of ``order`` from ``at`` on, the sum of the rows of ``g`` they name."""
+    out, k, live = g.take(order[at], axis=0), 1, np.flatnonzero(size > 1)
+    while k < LONG and len(live):
+        out[live] += g.take(order[at[live] + k], axis=0)
+        k += 1
+        live = live[size[live] > k]
+    for i in live.tolist():
+        out[i] += g.take(order[at[i] + k : at[i] + size[i]], axis=0).sum(axis=0)
+    return out
+
+
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word, count and last three bytes (the last one leads), summed over up to FLUSH words."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, n, tail = (np.concatenate(x) for x in zip(*held, strict=True))
-        word, at, back = np.unique(h, return_index=True, return_inverse=True)
-        return word, np.bincount(back, n, len(word)).astype(np.int64), tail[at]
+        order = np.argsort(h)
+        at = _runs(h[order])
+        return h[order[at]], np.add.reduceat(n[order], at), tail[order[at]]
 
     def batch(word: np.ndarray, n: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n), pa.array(tail)], ["word", "n", "tail"])
@@ -197,8 +215,9 @@ def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """Distinct rows, the sum of their gradients, and how often each came."""
     order = np.argsort(rows)
     mine = rows[order]
-    at = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])[: len(mine)])
-    return mine[at], np.add.reduceat(g[order], at, axis=0) if len(at) else g, np.diff(np.append(at, len(mine)))
+    at = _runs(mine)
+    size = np.diff(np.append(at, len(mine)))
+    return mine[at], _run_sums(g, order, at, size), size
 
 
 class WindowNetwork:
@@ -208,15 +227,26 @@ class WindowNetwork:
         self.tree, self.w = tree, {k: v.astype(np.float32) for k, v in weights.items()}  # copies
         self.path = tree.top_path.astype(np.int64)
         self.node = np.append(tree.top, 0)[self.path]
+        self.fixed = None
 
     def learn(self) -> WindowNetwork:
         self.speed = {k: np.full((len(v), 1) if k in _SPARSE else v.shape, 0.1, np.float32) for k, v in self.w.items()}
         self.hits = {k: np.zeros(len(self.w[k]), np.int32) for k in ("e", "o")}
         return self
 
+    def freeze(self) -> WindowNetwork:
+        """For scoring alone: the biases of all branches are added up once."""
+        self.fixed = self._output()
+        return self
+
+    def _output(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The weights and biases of the top's branches, and all biases."""
+        top, bias = self.tree.top, self.tree.bias + self.w["ob"][:, 0]
+        return np.ascontiguousarray(self.w["o"][top].T), bias[top], bias
+
     def _hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         around = ids[at[:, None] + _AROUND]
-        x = self.w["e"][around.ravel()].reshape(len(at), -1)
+        x = self.w["e"].take(around.ravel(), axis=0).reshape(len(at), -1)
         return around, x, np.tanh(x @ self.w["h"] + self.w["hb"])
 
     def _branch(self, h: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -224,16 +254,17 @@ class WindowNetwork:
         w, tree = self.w, self.tree
         group = tree.group_of[leaf]
         path = self.path[group]
-        score = h @ w["o"][tree.top].T
-        score += tree.bias[tree.top] + w["ob"][tree.top, 0]
+        top_o, top_bias, bias = self.fixed or self._output()
+        score = h @ top_o
+        score += top_bias
         side = np.where(leaf[:, None] >= self.node[group], np.float32(1), np.float32(-1))
         side[path == len(tree.top)] = 0
         first, size = tree.below_at[leaf], tree.below_at[leaf + 1] - tree.below_at[leaf]
         row = np.arange(len(leaf)).repeat(size)
         branch = tree.below[np.arange(len(row)) + (first - (np.cumsum(size) - size)).repeat(size)]
-        o, hr = w["o"][branch], h[row]
-        under = np.where(leaf[row] >= branch, np.float32(1), np.float32(-1))
-        below = under * (np.einsum("ij,ij->i", hr, o) + tree.bias[branch] + w["ob"][branch, 0])
+        o, hr = w["o"].take(branch, axis=0), h.repeat(size, axis=0)
+        under = np.where(leaf.repeat(size) >= branch, np.float32(1), np.float32(-1))
+        below = under * (np.einsum("ij,ij->i", hr, o) + bias.take(branch))
         top = side * np.take_along_axis(score, np.minimum(path, len(tree.top) - 1), axis=1)
         return path, side, top, row, branch, under, below, o, hr
 
@@ -244,18 +275,17 @@ class WindowNetwork:
     def log_p_all(self, ids: np.ndarray) -> np.ndarray:
         """The same for every place of ``ids`` that is no border, but the WINDOW places at both ends."""
         n, w = len(ids) - 2 * WINDOW, self.w
-        layer = w["h"].reshape(2 * WINDOW, DIM, DIM).transpose(1, 0, 2).reshape(DIM, -1)
-        each = w["e"][ids] @ layer  # what a word adds at each place around it
+        layer, e = w["h"].reshape(2 * WINDOW, DIM, DIM), w["e"].take(ids, axis=0)
         sums = w["hb"].repeat(n, axis=0)
         for k, place in enumerate(_AROUND.tolist()):
-            sums += each[WINDOW + place : WINDOW + place + n, k * DIM : (k + 1) * DIM]
+            sums += e[WINDOW + place : WINDOW + place + n] @ layer[k]
         inner = ids[WINDOW : WINDOW + n]
         words = inner != self.tree.entries
         return self._log_p(np.tanh(sums[words]), inner[words])
 
     def _log_p(self, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         _, side, top, row, _, _, below, _, _ = self._branch(h, leaf)
-        cost = lambda s: np.log1p(np.exp(-np.maximum(s, -60)))
+        cost = lambda s: np.log(1 + np.exp(-np.maximum(s, -60)))
         return -(cost(top) * np.abs(side)).sum(axis=1, dtype=np.float64) - np.bincount(row, cost(below), len(leaf))
 
     def train(self, ids: np.ndarray, at: np.ndarray) -> None:
@@ -269,8 +299,8 @@ class WindowNetwork:
         d = (under / (1 + np.exp(np.minimum(below, 60))))[:, None]
         dh = wide @ w["o"][tree.top]
         if len(row):
-            start = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            dh[row[start]] += np.add.reduceat(d * o, start, axis=0)
+            start = _runs(row)
+            dh[row[start]] += _run_sums(d * o, np.arange(len(row)), start, np.diff(np.append(start, len(row))))
         dz = dh * (1 - h * h)
         dx = (dz @ w["h"].T).reshape(-1, DIM)
         for k, g in (("h", x.T @ dz), ("hb", dz.sum(axis=0, keepdims=True))):
@@ -279,18 +309,20 @@ class WindowNetwork:
             w[k] += 0.3 * SPEED * g / np.sqrt(self.speed[k])
         self._step("e", *_summed(around.ravel(), dx))
         used = np.bincount(path.ravel(), minlength=len(tree.top) + 1)[:-1]
-        for rows, g, gb, hits in ((tree.top[used > 0], (wide.T @ h)[used > 0], wide.sum(axis=0)[used > 0, None], used[used > 0]), self._below(branch, d, hr)):
-            self._step("o", rows, g, hits)
-            self._step("ob", rows, gb, None)
-
-    @staticmethod
-    def _below(branch: np.ndarray, d: np.ndarray, hr: np.ndarray) -> tuple[np.ndarray, ...]:
-        rows, g, hits = _summed(branch, np.concatenate([d * hr, d], axis=1))
-        return rows, g[:, :-1], g[:, -1:], hits
+        hit = np.flatnonzero(used)
+        self._step("o", tree.top[hit], (wide.T @ h)[hit], used[hit])
+        self._step("ob", tree.top[hit], wide.sum(axis=0)[hit, None], None)
+        rows, g, hits = _summed(branch, d * hr)
+        self._step("o", rows, g, hits)
+        self._step("ob", rows, np.bincount(branch, d[:, 0], len(self.hits["o"]))[rows, None].astype(np.float32), None)
 
     def _step(self, k: str, rows: np.ndarray, g: np.ndarray, hits: np.ndarray | None) -> None:
-        self.speed[k][rows] += (g * g).mean(axis=1, keepdims=True)
-        self.w[k][rows] += SPEED * g / np.sqrt(self.speed[k][rows])
+        speed = self.speed[k][:, 0]
+        now = speed.take(rows) + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+        speed[rows] = now
+        g *= (SPEED / np.sqrt(now))[:, None]
+        g += self.w[k].take(rows, axis=0)
+        self.w[k][rows] = g
         if hits is not None:
             self.hits[k][rows] += hits.astype(np.int32)
 
@@ -448,7 +480,7 @@ _network: list[tuple[Scorer, WindowNetwork]] = []
 def _worker_network(scorer: Scorer) -> WindowNetwork:
     """One per task, not one per batch."""
     if not _network or _network[0][0] is not scorer:
-        _network[:] = [(scorer, WindowNetwork(scorer.tree, scorer.weights))]
+        _network[:] = [(scorer, WindowNetwork(scorer.tree, scorer.weights).freeze())]
     return _network[0][1]
 
 
@@ -456,8 +488,8 @@ def token_scores(text: pa.Array, scorer: Scorer) -> Iterator[tuple[np.ndarray, n
     """Per chunk of rows: log p of every token, and the first token of each row (rows + 1 entries)."""
     net = _worker_network(scorer)
     for ids, _, first, (rare, word, code) in _encode(text, scorer.tree):
-        inside = range(WINDOW, len(ids) - WINDOW, MOST)
-        parts = [net.log_p_all(ids[a - WINDOW : min(a + MOST, len(ids) - WINDOW) + WINDOW]) for a in inside]
+        inside = range(WINDOW, len(ids) - WINDOW, SPAN)
+        parts = [net.log_p_all(ids[a - WINDOW : min(a + SPAN, len(ids) - WINDOW) + WINDOW]) for a in inside]
         logp = np.concatenate(parts) if parts else np.zeros(0)
         logp[rare] += np.bincount(word, scorer.spelling[code], len(rare))
         yield logp, first
