@@ -46,6 +46,7 @@ _U = np.uint64
 _ASCII = np.arange(256)
 _UPPER = (_ASCII >= 65) & (_ASCII <= 90)
 _DIGIT = (_ASCII >= 48) & (_ASCII <= 57)
+_LOWER = np.where(_UPPER, _ASCII + 32, _ASCII)
 _ENDING = np.where(_ASCII == ord("."), 1, np.where(_ASCII == ord(","), 2, np.where((_ASCII < 128) & ~_UPPER & ~_DIGIT & ~((_ASCII >= 97) & (_ASCII <= 122)), 3, 0)))
 _AROUND = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
 
@@ -97,8 +98,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, starts, ends, _ in _words(b.column(0)):
             if not len(starts):
                 continue
-            low = np.where(_UPPER[data], data + 32, data).astype(np.int64)
-            tail = sum(np.where(ends - k > starts, low[np.maximum(ends - 1 - k, 0)], 0) << (16 - 8 * k) for k in range(3))
+            tail = sum(np.where(ends - k > starts, _LOWER[data[np.maximum(ends - 1 - k, 0)]], 0) << (16 - 8 * k) for k in range(3))
             held.append((word_hashes(data, starts, ends), np.ones(len(starts), np.int64), tail))
             if sum(len(x[0]) for x in held) > FLUSH:
                 held = [summed()]
@@ -112,8 +112,8 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Tree:
     """Vocabulary and tree. Leaves are the words in order of endings, then the shapes; branch i parts the leaves < i from others.
 
-    The way to a leaf is row ``group_of[leaf]`` of ``top_path`` (places in ``top``, its length where the way has ended), then
-    ``below[below_at[leaf] : below_at[leaf + 1]]``.
+    The way to a leaf is row ``group_of[leaf]`` of ``top_path`` (places in ``top``, its length where the way has ended) with the
+    sides it takes in ``top_side`` (1, -1, or 0 at its end), then ``below[below_at[leaf] : below_at[leaf + 1]]``.
     """
 
     sorted_words: np.ndarray
@@ -123,6 +123,7 @@ class Tree:
     bias: np.ndarray
     top: np.ndarray
     top_path: np.ndarray
+    top_side: np.ndarray
     group_of: np.ndarray
     below: np.ndarray
     below_at: np.ndarray
@@ -179,10 +180,11 @@ def grow_tree(words: np.ndarray, counts: np.ndarray, tails: np.ndarray, rare: in
     n = len(mass)
     bias, levels = _branches(mass)
     top = np.unique(np.concatenate([at for _, at in levels[:TOP]]))
-    way = np.full((n, TOP), len(top), np.int16)
+    way = np.full((n, TOP), 2 * len(top), np.int16)
     for k, (leaf, at) in enumerate(levels[:TOP]):
-        way[leaf, k] = np.searchsorted(top, at)
-    top_path, group_of = np.unique(way, axis=0, return_inverse=True)
+        way[leaf, k] = 2 * np.searchsorted(top, at) + (leaf >= at)
+    ways, group_of = np.unique(way, axis=0, return_inverse=True)
+    top_path, top_side = ways >> 1, np.where(ways == 2 * len(top), 0, 2 * (ways & 1) - 1).astype(np.float32)
     size = np.zeros(n, np.int64)
     for leaf, _ in levels[TOP:]:
         size[leaf] += 1
@@ -196,7 +198,7 @@ def grow_tree(words: np.ndarray, counts: np.ndarray, tails: np.ndarray, rare: in
     leaf[order] = np.arange(len(words))
     slots = np.arange((1 << bits) + 1, dtype=np.float64)
     first_at = np.searchsorted((words[place] >> _U(64 - bits)).astype(np.int64), slots)
-    return Tree(words[place], leaf[place].astype(np.int32), first_at, 64 - bits, bias, top, top_path, group_of.ravel().astype(np.int32), below, below_at)
+    return Tree(words[place], leaf[place].astype(np.int32), first_at, 64 - bits, bias, top, top_path, top_side, group_of.ravel().astype(np.int32), below, below_at)
 
 
 def new_weights(entries: int) -> dict[str, np.ndarray]:
@@ -220,13 +222,17 @@ def _summed(rows: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return mine[at], _run_sums(g, order, at, size), size
 
 
+def _row_starts(table: np.ndarray) -> np.ndarray:
+    """Where each row begins in the flat table, as a column."""
+    return np.arange(0, table.size, table.shape[1])[:, None]
+
+
 class WindowNetwork:
     """log p(leaf | words around), and steps of training (Adagrad, one rate a row)."""
 
     def __init__(self, tree: Tree, weights: dict[str, np.ndarray]):
         self.tree, self.w = tree, {k: v.astype(np.float32) for k, v in weights.items()}  # copies
         self.path = tree.top_path.astype(np.int64)
-        self.node = np.append(tree.top, 0)[self.path]
         self.fixed = None
 
     def learn(self) -> WindowNetwork:
@@ -253,19 +259,17 @@ class WindowNetwork:
         """The signed scores of the branches on the ways to the leaves: in the top (a row each) and below (flat)."""
         w, tree = self.w, self.tree
         group = tree.group_of[leaf]
-        path = self.path[group]
+        path, side = self.path.take(group, axis=0), tree.top_side.take(group, axis=0)
         top_o, top_bias, bias = self.fixed or self._output()
         score = h @ top_o
         score += top_bias
-        side = np.where(leaf[:, None] >= self.node[group], np.float32(1), np.float32(-1))
-        side[path == len(tree.top)] = 0
         first, size = tree.below_at[leaf], tree.below_at[leaf + 1] - tree.below_at[leaf]
         row = np.arange(len(leaf)).repeat(size)
         branch = tree.below[np.arange(len(row)) + (first - (np.cumsum(size) - size)).repeat(size)]
         o, hr = w["o"].take(branch, axis=0), h.repeat(size, axis=0)
         under = np.where(leaf.repeat(size) >= branch, np.float32(1), np.float32(-1))
         below = under * (np.einsum("ij,ij->i", hr, o) + bias.take(branch))
-        top = side * np.take_along_axis(score, np.minimum(path, len(tree.top) - 1), axis=1)
+        top = side * score.ravel().take(np.minimum(path, len(tree.top) - 1) + _row_starts(score))
         return path, side, top, row, branch, under, below, o, hr
 
     def log_p(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -294,7 +298,7 @@ class WindowNetwork:
         around, x, h = self._hidden(ids, at)
         path, side, top, row, branch, under, below, o, hr = self._branch(h, ids[at])
         wide = np.zeros((len(at), len(tree.top) + 1), np.float32)
-        np.put_along_axis(wide, path, side / (1 + np.exp(np.minimum(top, 60))), axis=1)
+        wide.ravel()[path + _row_starts(wide)] = side / (1 + np.exp(np.minimum(top, 60)))
         wide = wide[:, :-1]
         d = (under / (1 + np.exp(np.minimum(below, 60))))[:, None]
         dh = wide @ w["o"][tree.top]
@@ -343,9 +347,8 @@ def _encode(text: pa.Array, tree: Tree) -> Iterator[tuple[np.ndarray, np.ndarray
         word = np.arange(len(rare)).repeat(long)
         step = np.arange(len(word)) - (np.cumsum(long) - long).repeat(long)
         at = starts[rare].repeat(long) + step
-        low = np.append(np.where(_UPPER[data], data + 32, data), 0).astype(np.int64)
-        now = np.where(step == (long - 1).repeat(long), BYTES - 1, low[np.minimum(at, len(data))])
-        before = np.where(step == 0, BYTES - 1, low[np.maximum(at - 1, 0)])
+        now = np.where(step == (long - 1).repeat(long), BYTES - 1, _LOWER[data[np.minimum(at, len(data) - 1)]])
+        before = np.where(step == 0, BYTES - 1, _LOWER[data[np.maximum(at - 1, 0)]])
         yield ids, place, first, (rare, word, (shape.repeat(long) * BYTES + before) * BYTES + now)
 
 
