@@ -83,6 +83,7 @@ def _run_sums(g: np.ndarray, order: np.ndarray, at: np.ndarray, size: np.ndarray
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word, count and last three bytes (the last one leads), summed over up to FLUSH words."""
+    enter("training")
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -369,6 +370,7 @@ def _read_change(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _train_rows(batches: Iterable[pa.RecordBatch], shared, again: int) -> Iterator[pa.RecordBatch]:
     """Trains on the task's rows; gives the changes of weights by blocks of ROWS rows, and the counts of spelling."""
+    enter("training")  # drops the network of an earlier scoring
     tree, start = shared.value
     net = WindowNetwork(tree, start).learn()
     rng = np.random.default_rng(3)
@@ -519,4 +521,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     with arrow_scope(docs.sparkSession) as done:
         shared = docs.sparkSession.sparkContext.broadcast(fit_scorer(docs))  # at most MAX_WORDS words
         scores = docs.mapInArrow(partial(_score_rows, shared=shared), "doc_id long, n_words long, log_likelihood double, mean_log_prob double")
-        return done(scores)
+        out = done(scores)
+        shared.destroy()  # the scores are written
+        return out
