@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
+from riskloom.functions.numbering import number_rows
 from riskloom.operators import vocabulary as voc
 
 Extractor = Callable[[str], list[tuple[str, str, str, float]]]
@@ -86,8 +86,7 @@ def filing_relations(snippets: DataFrame) -> DataFrame:
 
 def name_batches(entities: DataFrame, size: int = 200) -> DataFrame:
     """(entity_type, batch, names): sorted names in batches for a canonicaliser, numbered per type."""
-    place = F.row_number().over(Window.partitionBy("entity_type").orderBy("name"))
-    numbered = entities.select("entity_type", "name").distinct().withColumn("batch", F.floor((place - 1) / size))
+    numbered = number_rows(entities.select("entity_type", "name").distinct(), "entity_type", ["name"], "place").withColumn("batch", F.floor((F.col("place") - 1) / size))
     return numbered.groupBy("entity_type", "batch").agg(F.sort_array(F.collect_list("name")).alias("names"))
 
 

@@ -133,10 +133,10 @@ def or_groups_slot(spark, sf_dir):
 def snapshot_order(spark, sf_dir):
     """Snapshot order within a relation."""
     best = t.merge_best(_good(spark, sf_dir))
-    from pyspark.sql.window import Window
+    from riskloom.functions.numbering import number_rows
 
-    place = F.row_number().over(Window.partitionBy("relation").orderBy(F.lower("head"), F.lower("tail")))
-    return best.select("head", "relation", "tail", place.cast("bigint").alias("place"))
+    keyed = best.select("head", "relation", "tail", F.lower("head").alias("low_head"), F.lower("tail").alias("low_tail"))
+    return number_rows(keyed, "relation", ["low_head", "low_tail"], "place").select("head", "relation", "tail", F.col("place").cast("bigint").alias("place"))
 
 
 @query("resolvable_only", _sql("SELECT seq FROM best WHERE head IN (SELECT name FROM known) AND tail IN (SELECT name FROM known)", _BEST, "known AS (SELECT DISTINCT head AS name FROM best WHERE relation = 'depends_on')"))

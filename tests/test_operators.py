@@ -211,3 +211,17 @@ def test_cache_stores_and_answers(spark, tmp_path):
     assert cache.size() == 0
     prompt = report.report_prompt(event, ["a [CRITICAL]"])
     assert "a [CRITICAL]" in prompt and all(f"## {t}" in prompt for t in report.SECTIONS.values())
+
+
+def test_numbering_spreads_a_hot_group(spark):
+    from riskloom.functions.numbering import number_rows
+
+    rows = [("hot", f"n{i * 7 % 900:03}") for i in range(900)] + [(None, "b"), (None, "a"), ("one", "x")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["k"], r["name"]): r["place"] for r in number_rows(spark.createDataFrame(rows, "k string, name string"), "k", ["name"], "place").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {(k, n): i for k in ("hot", None, "one") for i, n in enumerate(sorted(n for q, n in rows if q == k), 1)}
+    assert got == want
+    assert number_rows(spark.createDataFrame([], "k string, name string"), "k", ["name"], "place").collect() == []
