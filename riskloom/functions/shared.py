@@ -92,6 +92,11 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it keeps until the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete every table this application has materialized; results that were not saved elsewhere go too."""
     _delete(spark, f"{shared_folder(spark)}/riskloom/{spark.sparkContext.applicationId}")

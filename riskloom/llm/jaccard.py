@@ -13,9 +13,10 @@ pairing strangers, and still meets every partner in another range.
 Scale: signatures are combined inside each map task (only the least set of a
 bucket and a spanning forest travel on), a range of buckets yields a forest and never all
 pairs. Their number is counted before, so that a range of them holds about PART_SIGNATURES and goes
-to a task chosen by its number. Candidate groups are then linked exactly in blocks of bounded size: first
+to a task chosen by its number. A large candidate group, which shared passages may have chained together, is first cut by its sets' rarest shingles,
+counted in the group: linked sets share one of as many as may differ, and one more. Candidate groups are then linked exactly in blocks of bounded size: first
 inside each block, then between one member per (block, component). Where a group still has two components, the
-sets outside its largest one visit the blocks that hold one of their least shingles (linked sets share one of as many as may differ). Nothing is dropped.
+sets outside its largest one visit the blocks that hold one of their rarest shingles. Nothing is dropped.
 
 Defined results: null or empty text (or text without words) has an empty set,
 links with nothing and is its own component; equal sets always link; repeated
@@ -35,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.functions.shared import materialize
+from riskloom.functions.shared import drop_shuffles, materialize, release
 from riskloom.llm.native import SPACES
 from riskloom.llm.textbytes import mix, shingle_sets
 from riskloom.llm.workers import arrow_scope, enter
@@ -47,6 +48,8 @@ FLUSH = 500_000
 PART_SIGNATURES, LEAST_PARTS, MAX_TASKS = 1_000_000, 64, 20_000
 #: Bounds of one block of a candidate group.
 BLOCK_SHINGLES, BLOCK_DOCS = 4_000_000, 8192
+#: A group beyond this share of a block's bounds is first cut by rare shingles.
+CUT_SHARE = 8
 _U = np.uint64
 
 
@@ -461,13 +464,130 @@ def _grouped_links(rows: DataFrame, width: int, num: int, den: int) -> DataFrame
     return dealt.mapInArrow(partial(_link_rows, width=width, num=num, den=den), "a long, b long")
 
 
-def _prefix_rows(batches: Iterable[pa.RecordBatch], width: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows (grp, block, sid, outside, text): the least shingles of each set, so many that linked sets share one."""
+def _group_shingle_rows(batches: Iterable[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, sid, text) to the shingles by range, those of unlike groups told apart, with the sets they belong to and their sizes."""
+    held: list[np.ndarray] = []
+    owners: list[int] = []
+    n, seen = 0, set()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        sizes, ids = np.array([len(s) for s in held], np.int32), np.array(owners, np.int64)
+        flat = np.concatenate(held)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(held)), sizes)[order]
+        edges = np.searchsorted(flat >> _U(32), np.arange(parts + 1, dtype=np.float64) * (2.0**32 / parts))
+        edges[0], edges[-1] = 0, len(flat)
+        rows: list[tuple] = []
+        for p in range(parts):
+            a, b = edges[p], edges[p + 1]
+            if b > a:
+                who, place = np.unique(owner[a:b], return_inverse=True)
+                kind = np.uint16 if len(who) < 65536 else np.uint32
+                rows.append((p, flat[a:b].tobytes(), len(who).to_bytes(4, "little") + ids[who].tobytes() + place.astype(kind).tobytes(), sizes[who].tobytes()))
+        held.clear()
+        owners.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOB.types, strict=True)], ["part", "vals", "ids", "sizes"])
+
     for b in batches:
-        sets = [s[: len(s) - -(-num * len(s) // den) + 1] for s in shingle_sets(b.column(4), width)]
-        row = np.arange(len(sets)).repeat([len(s) for s in sets])
-        same = [b.column(c).take(pa.array(row)) for c in range(4)]
-        yield pa.RecordBatch.from_arrays([*same, pa.array(np.concatenate(sets).view(np.int64))], ["grp", "block", "sid", "outside", "shingle"])
+        for g, sid, s in zip(b.column(0).to_numpy().view(_U), b.column(1).to_pylist(), shingle_sets(b.column(2), width), strict=True):
+            if sid not in seen:
+                seen.add(sid)
+                held.append(mix(s ^ mix(np.array([g], _U))))
+                owners.append(sid)
+                n += len(s)
+                if n >= FLUSH:
+                    yield from flush()
+                    n, seen = 0, set()
+    yield from flush()
+
+
+def _key_rows(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Shingles of each range that several sets of a group have, as keys that order by frequency first, dealt by set."""
+    part, vals, ids, sizes = None, [], [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if not vals:
+            return
+        value, owner, size = np.concatenate(vals), np.concatenate(ids), np.concatenate(sizes)
+        order = np.argsort(value, kind="stable")
+        value, owner, size = value[order], owner[order], size[order]
+        at = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        times = np.diff(np.append(at, len(value)))
+        times = np.repeat(times, times)
+        many = times > 1
+        value, owner, size = value[many], owner[many], size[many]
+        level = np.minimum(127, 4 * np.log2(times[many])).astype(_U)  # a key is a function of shingle and group alone
+        key = ((level << _U(56)) | (mix(value) >> _U(8))).view(np.int64)
+        home = owner.view(_U) % _U(parts)
+        order = np.argsort(home, kind="stable")
+        owner, size, key = owner[order], size[order], key[order]
+        edges = np.searchsorted(home[order], np.arange(parts + 1, dtype=_U))
+        rows = [(p, key[a:b].tobytes(), owner[a:b].tobytes(), size[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BLOB.types, strict=True)], ["part", "vals", "ids", "sizes"])
+
+    for b in batches:
+        for p, v, i, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            if p != part:
+                yield from close()
+                part, vals, ids, sizes = p, [], [], []
+            vals.append(np.frombuffer(v, _U))
+            m = int.from_bytes(i[:4], "little")
+            place = np.frombuffer(i, np.uint16 if m < 65536 else np.uint32, len(v) // 8, 4 + 8 * m)
+            ids.append(np.frombuffer(i, np.int64, m, 4)[place])
+            sizes.append(np.frombuffer(n, np.int32)[place])
+    yield from close()
+
+
+def rarest(owner: np.ndarray, size: np.ndarray, key: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of the least keys of each set, so many that linked sets have one in common.
+
+    Linked sets share ceil(num / den * size) shingles or more, so the least they share is among the first
+    size - ceil(num / den * size) + 1 of either. Shingles without a key (no other set has them) come first.
+    """
+    order = np.lexsort((key, owner))
+    owner, size, key = owner[order], size[order].astype(np.int64), key[order]
+    once = np.append(True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1]))[: len(owner)]
+    owner, size, key = owner[once], size[once], key[once]
+    at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
+    count = np.diff(np.append(at, len(owner)))
+    rank = np.arange(len(owner)) - np.repeat(at, count)
+    first = rank < np.repeat(count, count) + 1 + (-num * size // den)
+    return owner[first], key[first]
+
+
+def _rarest_rows(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Keys dealt by set to the (sid, key) that ``rarest`` leaves."""
+    part, vals, ids, sizes = None, [], [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if vals:
+            owner, key = rarest(np.concatenate(ids), np.concatenate(sizes), np.concatenate(vals), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(key)], ["sid", "key"])
+
+    for b in batches:
+        for p, v, i, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            if p != part:
+                yield from close()
+                part, vals, ids, sizes = p, [], [], []
+            vals.append(np.frombuffer(v, np.int64))
+            ids.append(np.frombuffer(i, np.int64))
+            sizes.append(np.frombuffer(n, np.int32))
+    yield from close()
+
+
+def _rare_keys(texts: DataFrame, total: int, width: int, num: int, den: int) -> DataFrame:
+    """(sid, key): the rarest shingles of each set within its group; sets that have no partner there give no row.
+
+    ``texts`` has (grp, sid, text), ``total`` is their number of shingles.
+    """
+    parts = max(LEAST_PARTS, -(-total // PART_SIGNATURES))
+    schema = "part int, vals binary, ids binary, sizes binary"
+    counted = _by_part(texts.select("grp", "sid", "text").mapInArrow(partial(_group_shingle_rows, width=width, parts=parts), schema), parts)
+    keys = _by_part(counted.mapInArrow(partial(_key_rows, parts=parts), schema), parts)
+    return materialize(keys.mapInArrow(partial(_rarest_rows, num=num, den=den), "sid long, key long"), "jaccard-rare")
 
 
 def _by_part(rows: DataFrame, parts: int) -> DataFrame:
@@ -483,6 +603,8 @@ def _same_row(docs: DataFrame, keys: DataFrame) -> Column:
 
 def _components(docs: DataFrame, width: int, num: int, den: int, prefilter: bool) -> tuple[DataFrame, DataFrame]:
     """(rows, sets): every row (doc_id, th, n_shingles, sid) of ``docs`` (doc_id, th, text), and each set's (sid, rep, label)."""
+    spark = docs.sparkSession
+    drop_shuffles(spark)
     table = materialize(docs.select("doc_id", "th", "text").mapInArrow(partial(_doc_rows, width=width, num=num, den=den, few=prefilter), _DOCS), "jaccard-docs")
     # the row that stands for a set: the least id, rows without id last
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
@@ -497,9 +619,11 @@ def _components(docs: DataFrame, width: int, num: int, den: int, prefilter: bool
         shared = _by_part(counted, parts).mapInArrow(_shared_rows, "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
         own = F.col("n_counted") - F.coalesce("shared", F.lit(0))
         open_sets = materialize(key(sets.join(shared, "sid", "left").where(den * own <= (den - num) * F.col("n"))).select("key_id", "key_th", "n_sigs"), "jaccard-open-sets")
+        drop_shuffles(spark)
         total = open_sets.agg(F.sum("n_sigs")).first()[0] or 0
         keys = open_sets.hint("merge")
         named = materialize(docs.join(keys, _same_row(docs, keys), "left_semi"), "jaccard-open")
+        drop_shuffles(spark)
     else:
         total = sets.agg(F.sum("n_sigs")).first()[0] or 0
     parts = max(LEAST_PARTS, -(-total // PART_SIGNATURES))
@@ -507,26 +631,47 @@ def _components(docs: DataFrame, width: int, num: int, den: int, prefilter: bool
         partial(_signature_rows, width=width, num=num, den=den, parts=parts, few=prefilter), "part int, sigs binary, ids binary, pairs binary"
     )
     pairs = materialize(_by_part(blobs, parts).mapInArrow(_candidate_rows, "a long, b long").distinct(), "jaccard-pairs")
+    drop_shuffles(spark)
     groups = connected_components(pairs)  # candidate groups
 
     members = key(groups.join(sets, groups.node == sets.sid)).select("sid", F.col("component").alias("grp"), "key_id", "key_th", "n")
     members = materialize(members, "jaccard-members")
-    sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
-    # one text per distinct set
-    wanted = members.join(sizes.select("grp", "blocks"), "grp").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    wanted = materialize(wanted.select("sid", "grp", "key_id", "key_th", "blocks", "block"), "jaccard-blocks")
-
-    # The text of each member's row, fetched once. Members grow with the corpus, so they are never broadcast, whatever a
-    # small run allows.
-    keys = wanted.hint("merge")
-    held = keys.join(named, _same_row(named, keys)).select("sid", "grp", "blocks", "block", "text")
-    held = materialize(held, "jaccard-texts")
-    links = _grouped_links(held.select(F.xxhash64("grp", "block").alias("grp"), "sid", F.col("sid").alias("label"), "text"), width, num, den)
-    links = materialize(links, "jaccard-links")
-    large = held.where("blocks > 1")
-    if not large.isEmpty():
-        links = _across_blocks(large, links, width, num, den)
+    # The text of each member's row (one text per distinct set), fetched once. Members grow with the corpus, so they are never
+    # broadcast, whatever a small run allows.
+    keys = members.hint("merge")
+    texts = materialize(keys.join(named, _same_row(named, keys)).select("sid", "grp", "text"), "jaccard-texts")
+    drop_shuffles(spark)
+    if named is not docs:
+        release(named)
+    members = members.select("sid", "grp", "n")
+    total = F.sum("n").alias("shingles")
+    big = members.groupBy("grp").agg(F.count("*").alias("m"), total).where((F.col("m") > BLOCK_DOCS // CUT_SHARE) | (F.col("shingles") > BLOCK_SHINGLES // CUT_SHARE))
+    big = materialize(big, "jaccard-big")
+    shingles = big.agg(F.sum("shingles")).first()[0]
+    if shingles is None:
+        links = _grouped_links(texts.select("grp", "sid", F.col("sid").alias("label"), "text"), width, num, den)
+        links = materialize(links, "jaccard-links")
+    else:
+        rare = _rare_keys(texts.join(big.select("grp"), "grp", "left_semi"), shingles, width, num, den)
+        drop_shuffles(spark)
+        least = rare.groupBy("key").agg(F.min("sid").alias("a"))
+        cut = connected_components(materialize(rare.join(least, "key").where("a <> sid").select("a", F.col("sid").alias("b")).distinct(), "jaccard-pairs"))
+        small = members.join(big.select("grp"), "grp", "left_anti").select("sid", "grp", "n")
+        members = small.unionByName(cut.join(members, cut.node == members.sid).select("sid", F.col("component").alias("grp"), "n"))
+        members = materialize(members, "jaccard-members")
+        sizes = members.groupBy("grp").agg(F.count("*").alias("m"), total)
+        sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+        wanted = members.join(sizes.select("grp", "blocks"), "grp").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        wanted = materialize(wanted.select("sid", "grp", "blocks", "block"), "jaccard-blocks")
+        held = materialize(wanted.hint("merge").join(texts.select("sid", "text"), "sid").select("sid", "grp", "blocks", "block", "text"), "jaccard-held")
+        release(texts)
+        drop_shuffles(spark)
+        links = _grouped_links(held.select(F.xxhash64("grp", "block").alias("grp"), "sid", F.col("sid").alias("label"), "text"), width, num, den)
+        links = materialize(links, "jaccard-links")
+        large = held.where("blocks > 1")
+        if not large.isEmpty():
+            links = _across_blocks(large, rare, links, width, num, den)
+    drop_shuffles(spark)
     labels = connected_components(links)
     known = sets.join(labels, sets.sid == labels.node, "left").select("sid", "rep", F.coalesce("component", "sid").alias("label"))
     return table, known
@@ -573,8 +718,8 @@ def one_per_component(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     return alone.unionByName(rows.where((words == 0) | words.isNull()).select("row")).select("row.*")
 
 
-def _across_blocks(large: DataFrame, links: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links between the blocks of groups that need more than one block; ``large`` has their texts."""
+def _across_blocks(large: DataFrame, rare: DataFrame, links: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between the blocks of groups that need more than one block; ``large`` has their texts, ``rare`` their sets' rarest shingles."""
 
     def labelled(found: DataFrame) -> DataFrame:
         named = connected_components(found)
@@ -589,13 +734,13 @@ def _across_blocks(large: DataFrame, links: DataFrame, width: int, num: int, den
     more = _grouped_links(heads.select(F.xxhash64("grp", "cell", F.lit("heads")).alias("grp"), "sid", "label", "text"), width, num, den)
     links = materialize(links.unionByName(more), "jaccard-links")
     # Where a group still has two components, every open pair has an end outside the group's largest
-    # one, and its ends share one of their least shingles: those outsiders visit the blocks that hold one of theirs.
+    # one, and its ends share one of their rarest shingles: those outsiders visit the blocks that hold one of theirs.
     state = materialize(labelled(links), "jaccard-state")
     sizes = state.groupBy("grp", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     state = state.join(main.where(F.col("all") > F.col("most")).select("grp", "main"), "grp")
-    rows = state.select("grp", "block", "sid", (F.col("label") != F.col("main")).alias("outside"), "text")
-    least = rows.mapInArrow(partial(_prefix_rows, width=width, num=num, den=den), "grp long, block int, sid long, outside boolean, shingle long")
+    rows = state.select("grp", "block", "sid", (F.col("label") != F.col("main")).alias("outside")).hint("merge")
+    least = rows.join(rare, "sid").select("grp", "block", "sid", "outside", F.col("key").alias("shingle"))
     homes = least.select("grp", "shingle", "block").distinct()
     asked = least.where("outside").select("grp", "shingle", "sid", F.col("block").alias("own"))
     visits = materialize(asked.join(homes, ["grp", "shingle"]).where("block <> own").select("grp", "block", "sid").distinct(), "jaccard-visits")

@@ -102,6 +102,59 @@ def test_jaccard_between_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_jaccard_groups_of_shared_passages(spark, monkeypatch):
+    """Texts that a passage chains into one candidate group do not travel to each other's blocks."""
+    passage = [" ".join(f"p{k}_{i}" for i in range(200)) for k in range(2)]
+    texts = [f"{passage[k % 2]} " + " ".join(f"o{k}_{i}" for i in range(60)) for k in range(60)]
+    texts += [t + " end" for t in texts[:5]]
+    want = brute_components(dict(enumerate(texts)), 4, 85, 100)
+    rows = Counter()
+    write = jaccard.materialize
+
+    def counted(df, tag="step"):
+        out = write(df, tag)
+        rows[tag] += out.count() if tag == "jaccard-visits" else 0
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(documents(spark, texts)).collect()}
+    assert got == want
+    assert rows["jaccard-visits"] <= 10
+
+
+def test_linked_sets_share_a_rarest_key():
+    rng = np.random.default_rng(4)
+    for num, den in ((85, 100), (80, 100), (1, 2), (1, 1)):
+        common = [f"c{i}" for i in range(40)]
+        texts, groups = [], []
+        for g in range(3):
+            for _ in range(25):
+                base = [str(w) for w in rng.integers(0, 400, int(rng.choice([1, 3, 8, 30, 90])))] + common[: int(rng.choice([0, 10, 40]))]
+                for _ in range(3):
+                    texts.append(" ".join(w if rng.random() > 0.01 else "x" + w for w in base))
+                    groups.append(g)
+        sids = np.arange(len(texts))
+        told = [pa.array(groups, pa.int64()), pa.array(sids, pa.int64()), pa.array(texts)]
+        by_part = sorted((r for b in jaccard._group_shingle_rows([pa.RecordBatch.from_arrays(told, ["grp", "sid", "text"])], 4, 3) for r in zip(*b.to_pydict().values(), strict=True)))
+        blobs = lambda rows: [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), jaccard._BLOB.types, strict=True)], ["part", "vals", "ids", "sizes"])]
+        keyed = sorted((r for b in jaccard._key_rows(blobs(by_part), 2) for r in zip(*b.to_pydict().values(), strict=True)))
+        keys = defaultdict(set)
+        for b in jaccard._rarest_rows(blobs(keyed), num, den):
+            for sid, key in zip(*b.to_pydict().values(), strict=True):
+                keys[sid].add(key)
+        sets = [set(s.tolist()) for s in jaccard.shingle_sets(pa.array(texts), 4)]
+        linked = 0
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if groups[i] == groups[j] and den * both >= num * len(sets[i] | sets[j]):
+                    linked += 1
+                    assert keys[i] & keys[j]
+                assert groups[i] == groups[j] or not keys[i] & keys[j]
+        assert linked > 50
+
+
 def test_jaccard_documents_and_odd_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_components({r["doc_id"]: r["text"] for r in docs.collect()}, 4, 85, 100)
