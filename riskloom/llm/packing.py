@@ -60,7 +60,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     bins[full] = np.arange(len(full))
     order = np.argsort(-lengths, kind="stable")[len(full) :]
     least = int(lengths.min())
-    room = np.empty((1024, 3))  # residual capacities of open bins
+    room = np.empty((3, 1024))  # residual capacities of open bins, one row each, so that numpy works along the bins
     name = np.empty(1024, np.int64)
     n_open, used = 0, len(full)
     for i in order.tolist():
@@ -68,27 +68,29 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
         item = np.array([size, 1.0, float(size) * size])
         at = -1
         if n_open:
-            rest = room[:n_open] - item
-            fits = rest.min(axis=1) >= 0
+            rest = room[:, :n_open] - item[:, None]
+            fits = (rest[0] >= 0) & (rest[1] >= 0) & (rest[2] >= 0)
             if fits.any():
                 if capacity.rule == "norm":
-                    score = -((rest * weight) ** 2).sum(axis=1)
+                    rest *= weight[:, None]
+                    rest *= rest
+                    score = -(rest[0] + rest[1] + rest[2])
                 else:
-                    score = (room[:n_open] * weight) @ (item * weight)
+                    score = (room[:, :n_open] * weight[:, None]).T @ (item * weight)
                 score[~fits] = -np.inf
                 at = int(score.argmax())
         if at < 0:
-            if n_open == len(room):
-                room, name = np.concatenate([room, np.empty_like(room)]), np.concatenate([name, np.empty_like(name)])
+            if n_open == len(name):
+                room, name = np.concatenate([room, np.empty_like(room)], axis=1), np.concatenate([name, np.empty_like(name)])
             at = n_open
-            room[at], name[at] = limit, used
+            room[:, at], name[at] = limit, used
             n_open += 1
             used += 1
-        bins[i], offsets[i] = name[at], capacity.tokens - int(room[at, 0])
-        room[at] -= item
-        if room[at, 0] < least or room[at, 1] < 1 or room[at, 2] < float(least) * least:
+        bins[i], offsets[i] = name[at], capacity.tokens - int(room[0, at])
+        room[:, at] -= item
+        if room[0, at] < least or room[1, at] < 1 or room[2, at] < float(least) * least:
             n_open -= 1  # closed: nothing fits any more
-            room[at], name[at] = room[n_open], name[n_open]
+            room[:, at], name[at] = room[:, n_open], name[n_open]
     return bins, offsets
 
 
