@@ -225,3 +225,21 @@ def test_numbering_spreads_a_hot_group(spark):
     want = {(k, n): i for k in ("hot", None, "one") for i, n in enumerate(sorted(n for q, n in rows if q == k), 1)}
     assert got == want
     assert number_rows(spark.createDataFrame([], "k string, name string"), "k", ["name"], "place").collect() == []
+
+
+def test_blocks_search_as_pairs_do(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    make = lambda: [rng.choice([-1.0, -0.5, 0.0, 0.5, 0.1]) for _ in range(3)]
+    rows = [(i, make()) for i in range(60)] + [(i, [0.1, 0.5, 0.1]) for i in range(60, 80)]
+    odd = [None, [1.0, None, 0.0], [1.0, 2.0], [float("nan"), 0.0, 0.0], [float("inf"), 1.0, 0.0], [1e200, 1e200, 0.0], []]
+    for some in (rows, rows + [(100 + i, x) for i, x in enumerate(odd)], [(i, x) for i, x in enumerate(odd)]):
+        index = spark.createDataFrame(some, "id long, vector array<double>").repartition(3)
+        queries = index.where("id % 3 = 0").select(F.col("id").alias("query"), F.col("vector").alias("qvec"), F.col("id").alias("but"))
+        for k, least in ((1, None), (5, None), (5, 0.26), (200, None)):
+            pairs = index.crossJoin(queries).select("query", "id", "but", vectors.dot(F.col("vector"), F.col("qvec")).alias("score"))
+            pairs = pairs if least is None else pairs.where(F.col("score") >= least)
+            for asked, want in ((queries.drop("but"), pairs), (queries, pairs.where("id <> but"))):
+                want = graph.top_per_key(want, ["query"], [F.desc("score"), "id"], k).select("query", "id", "score")
+                got = vectors.search(index, asked, k, least)
+                assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
