@@ -208,3 +208,87 @@ def leader_clusters(items: DataFrame, pairs: DataFrame) -> DataFrame:
     own = leads.select(F.col("first").alias("id"), F.lit(True).alias("leading"))
     out = items.join(own, "id", "left").join(best, F.col("id") == F.col("then"), "left")
     return out.select("id", F.when(F.col("leading"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
+
+
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which rows have an inner product of at least ``least`` (NaN counts as greatest, as in SQL)."""
+    near, off = _products(a, b)
+    out = near >= least  # NaN is looked at again below
+    i, j = np.nonzero(~(np.abs(near - least) > off))
+    out[i, j] = ~(_pair_dots(a, b, i, j) < least)
+    return out
+
+
+def _lead(table: pa.Table, least: float) -> pa.Table:
+    """(id, place, leader) of one group's next rows, taken in turn."""
+    table = table.sort_by([("place", "ascending"), ("id", "ascending")])
+    n, size = len(table), table.column("size")[0].as_py()
+    x = _one(table.column("vector")).flatten().to_numpy(zero_copy_only=False).reshape(n, size) if size > 0 else np.zeros((n, 0))
+    leader, leads = np.full(n, -1), np.zeros(0, np.int64)
+    for start in range(0, n, 512):
+        some = np.arange(start, min(start + 512, n))
+        if len(leads):
+            hit = _similar(x[some], x[leads], least)
+            leader[some] = np.where(hit.any(1), leads[hit.argmax(1)], -1)
+        left = some[leader[some] < 0]
+        alike = _similar(x[left], x[left], least)
+        for i in range(len(left)):
+            if leader[left[i]] < 0:
+                follow = left[i + 1 :][alike[i, i + 1 :]]
+                leader[follow[leader[follow] < 0]] = left[i]
+                leader[left[i]] = left[i]
+        leads = np.append(leads, left[leader[left] == left])
+    ids = _one(table.column("id"))
+    return table.append_column("leader", ids.take(pa.array(leader)))
+
+
+def _follow(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(by, id, place, vector, leader) of a block's rows: the first of the leaders' block that is similar; who found one needs no vector any more."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = {n: batch.column(n)[r] for n in batch.schema.names}
+            ids, leads, size = row["id"].values, row["lead"].values, row["size"].as_py()
+            x = _matrix(row["data"], len(ids), size)
+            hit = _similar(x, _matrix(row["l_data"], len(leads), size), least)
+            some = hit.any(1)
+            leader = leads.take(pa.array(hit.argmax(1), mask=~some))
+            count = np.where(some, 0, size)
+            vectors = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(x[~some].ravel()))
+            by = batch.column("by").slice(r, 1).take(pa.array(np.zeros(len(ids), np.int64)))
+            yield pa.RecordBatch.from_arrays([by, pa.array(np.full(len(ids), size, np.int32)), ids, row["place"].values, vectors, leader], names=["by", "size", "id", "place", "vector", "leader"])
+
+
+def leader_search(items: DataFrame, least: float, by: str) -> DataFrame:
+    """Greedy leader clustering: (id, leader) for items (id, place, vector, ``by``), similar by an inner product of at least ``least`` within ``by``.
+
+    As ``leader_clusters``, without a table of pairs: of the rows that follow no leader yet, the first of each group
+    choose among themselves in turn, the others then meet those leaders in blocks. Leaders found later stand later, so
+    the first similar one found is the first of all.
+    """
+    whole = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()) & F.col(by).isNotNull() & F.col("id").isNotNull()
+    apart = items.where(~F.coalesce(whole, F.lit(False))).select("id", F.col("id").alias("leader"))  # similar to nothing
+    open_ = items.where(whole).select(F.col(by).alias("by"), F.size("vector").alias("size"), "id", "place", F.col("vector").cast("array<double>").alias("vector"))
+    parallel = 2 * items.sparkSession.sparkContext.defaultParallelism
+    open_ = materialize(open_.repartition(parallel, "id"), "leader-open")
+    kinds = dict(open_.dtypes)
+    schema = f"by {kinds['by']}, size int, id {kinds['id']}, place {kinds['place']}, vector array<double>, leader {kinds['id']}"
+    out = [apart]
+
+    def lead(table: pa.Table) -> pa.Table:
+        return _lead(table, least)
+
+    while not open_.isEmpty():
+        head = top_per_key(open_, ["by", "size"], ["place", "id"], BLOCK)
+        head = materialize(head.groupBy("by", "size").applyInArrow(lead, schema), "leader-head")
+        out.append(head.select("id", "leader"))
+        rest = open_.join(head.select("id"), "id", "left_anti")
+        leads = blocks(head.where("id = leader").repartition("by"), ["id", "place"], ["by"], ["place", "id"]).drop("place")
+        leads = leads.select("by", "size", F.col("id").alias("lead"), F.col("data").alias("l_data"))
+        met = blocks(rest, ["id", "place"], ["by"], []).join(leads, ["by", "size"])
+        done = materialize(met.mapInArrow(partial(_follow, least=least), schema), "leader-met")
+        out.append(done.where("leader is not null").select("id", "leader"))
+        open_ = done.where("leader is null").drop("leader")
+    result = out[0]
+    for o in out[1:]:
+        result = result.unionByName(o)
+    return result

@@ -80,9 +80,7 @@ _LEADS = ",\n".join(f"l{i} AS MATERIALIZED (SELECT id FROM items WHERE id NOT IN
 def leader_clusters(spark, sf_dir):
     """Greedy leader clustering by cosine (unit vectors) within each type, in id order."""
     items = _index(spark, sf_dir).select("id", "vector", "label", F.col("id").alias("place"))
-    a, b = items.select("label", F.col("id").alias("a"), F.col("vector").alias("va")), items.select("label", F.col("id").alias("b"), F.col("vector").alias("vb"))
-    pairs = a.join(b, "label").where(F.col("a") < F.col("b")).where(v.dot(F.col("va"), F.col("vb")) >= 0.3).select("a", "b")
-    return v.leader_clusters(items.select("id", "place"), pairs)
+    return v.leader_search(items, 0.3, "label")
 
 
 # ---- retrieval on the supply graph: parts stand for vectors by their number

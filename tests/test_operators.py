@@ -243,3 +243,20 @@ def test_blocks_search_as_pairs_do(spark, monkeypatch):
                 want = graph.top_per_key(want, ["query"], [F.desc("score"), "id"], k).select("query", "id", "score")
                 got = vectors.search(index, asked, k, least)
                 assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_leaders_are_found_without_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(vectors, "BLOCK", 5)
+    make = lambda: [rng.choice([-1.0, -0.5, 0.0, 0.5, 0.1]) for _ in range(3)]
+    odd = [None, [1.0, None, 0.0], [1.0, 2.0], [2.0, 1.0], [float("nan"), 0.0, 0.0], [float("inf"), 1.0, 0.0]]
+    vecs = [make() for _ in range(50)] + [[0.1, 0.5, 0.1]] * 30 + odd
+    rng.shuffle(vecs)
+    rows = [(i, (i * 37) % 101, x, i % 2 if i % 11 else None) for i, x in enumerate(vecs)]
+    items = spark.createDataFrame(rows, "id long, place long, vector array<double>, label int").repartition(3)
+    a, b = items.select("label", F.col("id").alias("a"), F.col("vector").alias("va")), items.select("label", F.col("id").alias("b"), F.col("vector").alias("vb"))
+    pairs = a.join(b, "label").where("a < b").where(vectors.dot(F.col("va"), F.col("vb")) >= 0.26).select("a", "b")
+    want = vectors.leader_clusters(items.select("id", "place"), pairs).collect()
+    got = vectors.leader_search(items, 0.26, "label").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r["leader"] for r in got}) > 10
+    assert vectors.leader_search(items.limit(0), 0.26, "label").collect() == []
