@@ -57,12 +57,11 @@ SELECT q.name, CASE WHEN q.vec_id % 200 = 0 THEN q.name ELSE (SELECT 'v' || e.ve
 def ground_zero_names(spark, sf_dir):
     """V9: named nodes as they are, others by the nearest vector."""
     idx = _index(spark, sf_dir)
-    q = idx.where("id % 100 = 0").select(F.concat(F.lit("v"), F.when(F.col("id") % 200 == 0, F.col("id")).otherwise(F.col("id") + 1000000).cast("string")).alias("query"), F.col("vector").alias("qvec"), F.col("id").alias("own"))
-    nodes = idx.select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"))
-    full = idx.select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), "vector")
+    own = F.concat(F.lit("v"), F.col("id").cast("string"))
+    q = idx.where("id % 100 = 0").select(F.concat(F.lit("v"), F.when(F.col("id") % 200 == 0, F.col("id")).otherwise(F.col("id") + 1000000).cast("string")).alias("query"), F.col("vector").alias("qvec"), F.col("id").alias("own"), own.alias("but"))
+    nodes = idx.select(own.alias("name"))
     # a query's own vector stands under another name, so it is left out of its own search
-    scored = full.crossJoin(q.where("own % 200 <> 0")).where(F.col("id") != F.concat(F.lit("v"), F.col("own").cast("string")))
-    best = top_per_key(scored.select("query", "id", v.dot(F.col("vector"), F.col("qvec")).alias("s")), ["query"], [F.desc("s"), "id"], 1)
+    best = v.search(idx.select(own.alias("id"), "vector"), q.where("own % 200 <> 0").select("query", "qvec", "but"), 1)
     out = q.select(F.col("query").alias("name")).join(nodes.withColumn("node", F.col("name")), "name", "left").join(best.select(F.col("query").alias("name"), F.col("id").alias("near")), "name", "left")
     return out.select("name", F.coalesce("node", "near").alias("node"), F.col("node").isNotNull().alias("exact"))
 
