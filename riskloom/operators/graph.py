@@ -21,13 +21,17 @@ def collapse_pairs(edges: DataFrame, last: Column) -> DataFrame:
     return best.select("src", "dst", *[F.col("e")[c].alias(c) for c in others])
 
 
-def criticality_weights(edges: DataFrame) -> DataFrame:
+def alternatives(edges: DataFrame) -> DataFrame:
+    """(src, n_alts): how many alternatives each source has."""
+    return edges.where("relation = 'alternative_to'").groupBy("src").agg(F.count("*").alias("n_alts"))
+
+
+def criticality_weights(edges: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Weight 0 for alternatives, 1 / (1 + alternatives of the source) for supply relations, else 1.
 
-    Alternatives are counted first and joined, so a hub's edges are not gathered in one window.
+    Alternatives are counted first (or given as ``counted``) and joined, so a hub's edges are not gathered in one window.
     """
-    alternatives = edges.where("relation = 'alternative_to'").groupBy("src").agg(F.count("*").alias("n_alts"))
-    joined = edges.join(alternatives, "src", "left")
+    joined = edges.join(alternatives(edges) if counted is None else counted, "src", "left")
     share = F.round(F.lit(1.0) / (1 + F.coalesce("n_alts", F.lit(0))), 3)
     weight = F.when(F.col("relation") == "alternative_to", 0.0).when(F.col("relation").isin("supplies", "depends_on"), share).otherwise(1.0)
     return joined.select(*edges.columns, weight.alias("weight")) if "weight" not in edges.columns else joined.withColumn("weight", weight).select(*edges.columns)
