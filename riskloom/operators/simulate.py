@@ -5,7 +5,7 @@ flows the parent of greater flow, fewer hops, then smaller name wins. Only nodes
 best path is shorter than ``max_hops`` pass a disruption on, flows under ``prune`` vanish. The
 rounds recompute every node from its parents' last state (a value may shrink when a stronger
 path turns out to be at the hop limit), and end when nothing changes; flows fall along
-every edge, so they do. All scenarios and gammas share one state table and one loop.
+every edge, so they do. In large states the later rounds take only nodes behind changed ones. All scenarios and gammas share one state table and one loop.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from riskloom import schema
 from riskloom.functions.shared import materialize, release
 
 
+#: States of more than ``FEW`` rows follow only changes after so many rounds; by default when all nodes have been reached.
+FEW, SPREAD_ROUNDS = 200_000, schema.MAX_HOPS
+
+
 def severity(score: Column) -> Column:
     out = F.lit(None)
     out = F.when(score >= schema.SEVERITY[0][1], schema.SEVERITY[0][0])
@@ -58,35 +62,66 @@ def ground_zero(scenarios: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     return valid.join(scenarios.select("scenario", "shock"), "scenario").select("scenario", "node", "shock")
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, gammas: tuple[float, ...] = (schema.GAMMA,), max_hops: int = schema.MAX_HOPS, prune: float = schema.PRUNE) -> DataFrame:
-    """(scenario, gamma, node, score, hop, parent) from seeds (scenario, node, shock)."""
+def propagate(seeds: DataFrame, edges: DataFrame, gammas: tuple[float, ...] = (schema.GAMMA,), max_hops: int = schema.MAX_HOPS, prune: float = schema.PRUNE, parents: bool = True) -> DataFrame:
+    """(scenario, gamma, node, score, hop, and parent if asked for) from seeds (scenario, node, shock)."""
     if not all(0 < g < 1 for g in gammas) or prune <= 0:
         raise ValueError("gamma must lie in (0, 1) and prune above 0")
     gamma = F.explode(F.array(*map(F.lit, gammas))).alias("gamma")
-    zero = seeds.groupBy("scenario", "node").agg(F.max("shock").alias("score"))
-    zero = zero.select("scenario", gamma, "node", "score", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent"))
-    zero = materialize(zero, "spread-zero")
-    cap = materialize(capacities(edges).groupBy("src", "dst").agg(F.max("cap").alias("cap")), "spread-caps")
-    key = ["scenario", "gamma", "node"]
-    state, before = zero, None
+    key = ["node", "scenario", "gamma"]  # names first: sorting meets few equal ones
+    zero = seeds.groupBy("scenario", "node").agg(F.max("shock").alias("score")).select("node", "scenario", gamma, "score", F.lit(0).alias("hop"))
+    state = materialize(zero, "spread-zero")
+    cap = materialize(capacities(edges).select("src", "dst", "cap"), "spread-caps")  # of several edges of a pair the best flow wins below
+    # a ground-zero node keeps its own row (z = 0), which comes before any flow into it
+    rank = lambda z, flow, score, hop, *parent: F.struct(F.lit(z).alias("z"), (-flow).alias("a"), (-score).alias("b"), hop.alias("c"), *parent)
+
+    def into(state: DataFrame, cap: DataFrame, on: list[str], *parent: Column) -> DataFrame:
+        """(node, scenario, gamma, rank) of every flow into a node."""
+        flow = F.least("score", "cap") * F.col("gamma")
+        sent = cap.join(state.where(F.col("hop") < max_hops).withColumnRenamed("node", "src").hint("shuffle_hash"), on).withColumn("flow", flow)
+        sent = sent.where((F.col("flow") >= prune) & (F.col("flow") > 0))
+        return sent.select(F.col("dst").alias("node"), "scenario", "gamma", rank(1, F.col("flow"), F.col("score"), F.col("hop"), *parent).alias("r"))
+
+    def settle(flows: DataFrame) -> DataFrame:
+        best = flows.groupBy(*key).agg(F.min("r").alias("r"))
+        return best.select(*key, (-F.col("r.a")).alias("score"), (F.col("r.c") + 1).alias("hop"))
+
+    def changed(old: DataFrame, new: DataFrame) -> DataFrame:
+        """Keys of rows that are not in both."""
+        differ = (F.count("*") < 2) | (F.min("score") != F.max("score")) | (F.min("hop") != F.max("hop"))
+        return old.unionByName(new).groupBy(*key).agg(differ.alias("differ")).where("differ").select(*key)
+
+    first, before, moved = state, None, None
+    kept = first.select(*key, rank(0, F.col("score"), F.col("score"), F.lit(-1)).alias("r"))
     top = seeds.agg(F.max("shock")).first()[0] or 0.0
     rounds = 1 + max(0, math.ceil(math.log(prune / top) / math.log(max(gammas)))) if top > prune else 1
-    for _ in range(rounds + 1):
-        flow = F.least("score", "cap") * F.col("gamma")
-        reached = state.where(F.col("hop") < max_hops).join(cap, F.col("node") == F.col("src")).withColumn("flow", flow)
-        reached = reached.where((F.col("flow") >= prune) & (F.col("flow") > 0))
-        rank = F.struct((-F.col("flow")).alias("a"), (-F.col("score")).alias("b"), F.col("hop").alias("c"), F.col("node").alias("d"))
-        best = reached.groupBy("scenario", "gamma", F.col("dst").alias("node")).agg(F.min(rank).alias("r"))
-        best = best.join(zero, key, "left_anti").select(*key, (-F.col("r.a")).alias("score"), (F.col("r.c") + 1).alias("hop"), F.col("r.d").alias("parent"))
-        new = materialize(zero.unionByName(best), "spread")
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("scenario", "gamma", "node", "score", "hop", "parent").cast("decimal(38,0)"))).first()
-        if state is not zero:
+    for done in range(rounds + 1):
+        if moved is None:
+            new = materialize(settle(kept.unionByName(into(state, cap, ["src"]))), "spread")
+            mark = new.agg(F.count("*"), F.sum(F.xxhash64("scenario", "gamma", "node", "score", "hop").cast("decimal(38,0)"))).first()
+            if mark != before and done >= SPREAD_ROUNDS and mark[0] > FEW:
+                moved = materialize(changed(state, new), "spread-moved")
+        else:  # all nodes are reached by now; only what changed nodes flow into can change
+            near = cap.join(moved.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "scenario", "gamma").distinct()
+            near = materialize(near.join(first, key, "left_anti"), "spread-near")
+            again = materialize(settle(into(state, cap.join(near.withColumnRenamed("node", "dst"), "dst"), ["src", "scenario", "gamma"])), "spread-again")
+            release(moved)
+            moved = materialize(changed(state.join(near, key, "left_semi"), again), "spread-moved")
+            mark = before if moved.isEmpty() else None
+            new = state if mark else materialize(state.join(near, key, "left_anti").unionByName(again), "spread")
+            release(near)
+            release(again)
+        if state is not first and state is not new:
             release(state)
         state = new
         if mark == before:
             break
-        before = mark
-    return state
+        before = mark or before
+    if not parents:
+        return state.select("scenario", "gamma", "node", "score", "hop")
+    # nothing changes any more, so the parents of one more round are those of the state itself
+    kept = first.select(*key, rank(0, F.col("score"), F.col("score"), F.lit(-1), F.lit(None).cast("string").alias("d")).alias("r"))
+    best = kept.unionByName(into(state, cap, ["src"], F.col("src").alias("d"))).groupBy(*key).agg(F.min("r").alias("r"))
+    return materialize(best.select("scenario", "gamma", "node", (-F.col("r.a")).alias("score"), (F.col("r.c") + 1).alias("hop"), F.col("r.d").alias("parent")), "spread")
 
 
 def with_paths(state: DataFrame, max_hops: int = schema.MAX_HOPS) -> DataFrame:
@@ -97,6 +132,7 @@ def with_paths(state: DataFrame, max_hops: int = schema.MAX_HOPS) -> DataFrame:
     for h in range(1, max_hops + 1):
         up = last.select(*key, F.col("node").alias("parent"), F.col("path").alias("head"))
         last = state.where(F.col("hop") == h).join(up, [*key, "parent"]).withColumn("path", F.concat("head", F.array("node"))).select(*done.columns)
+        last = materialize(last, "paths")  # else each length would follow all shorter ones anew
         done = done.unionByName(last)
     return done
 

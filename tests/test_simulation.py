@@ -84,3 +84,24 @@ def test_ground_zero_takes_in_places(spark):
     sc = spark.createDataFrame([("s", ["co", "missing"], 0.5, None)], "scenario string, ground_zero array<string>, shock double, affected_region string")
     got = {r["node"] for r in simulate.ground_zero(sc, nodes, edges).collect()}
     assert got == {"co", "R", "sub", "other", "deep"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_following_changes_alone_gives_the_same(spark, seed, monkeypatch):
+    rng = random.Random(10 + seed)
+    names = [f"n{i}" for i in range(40)]
+    pairs = sorted({(rng.choice(names), rng.choice(names)) for _ in range(140)})
+    edges = [(a, b, rng.choice([*SPREAD, "alternative_to"]), rng.choice([0.25, 0.333, 0.5, 1.0])) for a, b in pairs if a != b]
+    # a strong long path to the hop limit, found after a weak short one, takes back what lay behind
+    edges += [("n0", "c0", "supplies", 1.0), *[(f"c{i}", f"c{i + 1}", "supplies", 1.0) for i in range(4)], ("n0", "c4", "supplies", 0.3), ("c4", "w", "supplies", 1.0), ("w", "n1", "supplies", 1.0)]
+    e, z = frames(spark, edges, {"n0": 1.0, "n2": 0.7})
+    every = simulate.propagate(z, e, (0.7, 0.85))
+    want = sorted((r["gamma"], r["node"], r["score"], r["hop"], r["parent"] or "") for r in every.collect())
+    flow, hops = heap_model({"n0": 1.0, "n2": 0.7}, edges)
+    assert {n: (s, h) for g, n, s, h, _ in want if g == 0.85} == {n: (flow[n], hops[n]) for n in flow}
+    monkeypatch.setattr(simulate, "FEW", 0)
+    for hops_before in (5, 1):  # changes are followed from an early round on, too
+        monkeypatch.setattr(simulate, "SPREAD_ROUNDS", hops_before)
+        some = simulate.propagate(z, e, (0.7, 0.85))
+        assert sorted((r["gamma"], r["node"], r["score"], r["hop"], r["parent"] or "") for r in some.collect()) == want
+    assert simulate.propagate(z, e, (0.85,), parents=False).columns == ["scenario", "gamma", "node", "score", "hop"]
